@@ -49,10 +49,11 @@ def nearest_zone(points: DataFrame, zones: DataFrame, max_inline: int = 1000) ->
     zones = measured(zones.select("zone_id", "lat", "lng"))
     if zones.limit(max_inline + 1).count() <= max_inline:
         packed = zones.agg(F.collect_list(F.struct("zone_id", "lat", "lng"))).scalar()
-        best = F.array_min(F.transform(packed, lambda z: F.struct(
+        best = F.array_min(F.transform("_zones", lambda z: F.struct(
             planar_distance(F.col("lat"), F.col("lng"), z["lat"], z["lng"]).alias("dist"),
             z["zone_id"].alias("zone_id"))))
-        return points.withColumn("_best", best).select(*points.columns, "_best.zone_id", "_best.dist")
+        placed = points.withColumn("_zones", packed).withColumn("_best", best)
+        return placed.select(*points.columns, "_best.zone_id", "_best.dist")
     return nearest_zone_grid(points, zones)
 
 

@@ -2,12 +2,165 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitgauge.functions import scoring as S
+from pitgauge.operators import windows as W
+from pitgauge.operators.chain import recompute
+from pitgauge.operators.joins import measured
+from pitgauge.schemas import ENUMS
+
+BASELINE = "none"
+MAX_INLINE = 1000
+
 
 def template_windows(series: DataFrame, templates: DataFrame) -> DataFrame:
     """Days, total and largest day of each template window, by expansion to days and an equi-join."""
     days = templates.select("template_id", F.explode(F.sequence("first_day", "last_day")).alias("day"))
     return series.join(days, "day").groupBy("template_id").agg(
         F.count(F.lit(1)).alias("n_days"), F.sum("value").alias("window_total"), F.max("value").alias("window_max_day"))
+
+
+def template_profiles(series: DataFrame, templates: DataFrame) -> DataFrame:
+    """Daily values of each template in order; an array holds at most the days of its window."""
+    days = templates.select("template_id", F.posexplode(F.sequence("first_day", "last_day")).alias("pos", "day"))
+    hit = days.join(series.select("day", "value"), "day", "left")
+    packed = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("value", F.lit(0.0)).alias("value"))))
+    return hit.groupBy("template_id").agg(F.transform(packed, lambda x: x["value"]).alias("profile"))
+
+
+def check_kinds(scenarios: DataFrame) -> None:
+    """Unknown kinds fail before any data is touched (the scenario table is a request list)."""
+    known = ENUMS["scenario_kind"]
+    bad = scenarios.where(~F.col("kind").isin(known)).select("kind").limit(1).collect()
+    if bad:
+        raise ValueError(f"unknown scenario kind {bad[0]['kind']!r}; expected one of {known}")
+
+
+def overlay(s: Column, day: Column) -> Column:
+    """Rain added on ``day`` by scenario struct ``s``; 0 outside its window.
+
+    A template shorter than the window adds nothing after its end, one that is longer is cut.
+    """
+    k = day - s["start_day"] + 1
+    inside = k.between(1, s["duration_days"])
+    peak = F.coalesce(s["params"]["peak_mm"], F.lit(100.0))
+    added = (
+        F.when(s["kind"].isin("rainfall_storm", "combined"), S.triangular_profile(k, s["duration_days"], peak))
+        .when(s["kind"] == "prolonged_rain", F.coalesce(s["params"]["daily_mm"], F.lit(20.0)))
+        .when(s["kind"] == "historical_rain",
+              F.coalesce(F.get(s["profile"], k - 1), F.lit(0.0)) * F.coalesce(s["params"]["scale"], F.lit(1.0))))
+    return F.when(inside, F.coalesce(added, F.lit(0.0))).otherwise(0.0)
+
+
+def surged_ppv(s: Column, day: Column) -> Column:
+    """Vibration inside the window times the multiplier, capped, on event days of blastable zones."""
+    k = day - s["start_day"] + 1
+    hit = (s["kind"].isin("blast_surge", "combined") & k.between(1, s["duration_days"])
+           & F.col("blast_occurs") & F.col("blastable"))
+    return F.when(hit, F.least(F.col("ppv") * F.coalesce(s["params"]["ppv_mult"], F.lit(1.5)), F.lit(100.0))).otherwise(F.col("ppv"))
+
+
+def expand(panel: DataFrame, scenarios: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """Panel rows repeated for every scenario that concerns their zone, as struct column ``s``.
+
+    Up to ``MAX_INLINE`` scenarios are one array exploded inside the row, so the panel keeps its
+    partitioning. A larger table is cut into numbered chunks of that size which are equi-joined.
+    """
+    check_kinds(scenarios)
+    if profiles is not None:
+        scenarios = scenarios.join(profiles, "template_id", "left")
+    else:
+        scenarios = scenarios.withColumn("profile", F.lit(None).cast("array<double>"))
+    fields = F.struct("scenario_id", "kind", "zone_id", "start_day", "duration_days", "params", "profile")
+    table = measured(scenarios.select(fields.alias("s")))
+    n = table.count()
+    if n <= MAX_INLINE:
+        every = panel.withColumn("_all", table.agg(F.collect_list("s")).scalar())
+    else:
+        chunks = -(-n // MAX_INLINE)
+        numbered = table.withColumn("_chunk", F.pmod(F.xxhash64("s.scenario_id"), F.lit(chunks)).cast("int"))
+        grouped = measured(numbered.groupBy("_chunk").agg(F.collect_list("s").alias("_all")))
+        every = (panel.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+                 .join(grouped, "_chunk").drop("_chunk"))
+    own = F.filter("_all", lambda s: s["zone_id"].isNull() | (s["zone_id"] == F.col("zone_id").cast("string")))
+    return every.withColumn("_all", own).select(*panel.columns, F.explode("_all").alias("s"))
+
+
+def run(panel: DataFrame, scenarios: DataFrame, profiles: DataFrame | None = None,
+        keys: Sequence[str] = W.SERIES) -> DataFrame:
+    """All scenarios at once: overlay the drivers, recompute the chain, attach the baseline.
+
+    The baseline is one of the scenarios (kind ``none``); its values reach the others through a
+    window over (series, day), which needs no join because scenarios of a series share a task.
+    """
+    day = F.col("day_idx")
+    x = expand(panel, scenarios, profiles).withColumns({"scenario_id": F.col("s.scenario_id"), "kind_of_run": F.col("s.kind"),
+                                                       "start_day": F.col("s.start_day"), "duration_days": F.col("s.duration_days")})
+    x = x.withColumns({"rainfall_mm": F.col("rainfall_mm") + overlay(F.col("s"), day), "ppv": surged_ppv(F.col("s"), day)}).drop("s")
+    out = recompute(x, [*keys, "scenario_id"])
+    same_day = Window.partitionBy(*keys, "day_idx")
+    base = lambda c: F.max(F.when(F.col("kind_of_run") == BASELINE, F.col(c))).over(same_day)
+    return out.withColumns({"base_fos": base("fos"), "base_score": base("instability_score"), "base_label": base("risk_label")})
+
+
+def summarize(runs: DataFrame, keys: Sequence[str] = W.SERIES) -> DataFrame:
+    """Measures per scenario and series against its baseline; ties go to the earliest day."""
+    d_fos = F.round(F.col("fos") - F.col("base_fos"), 9)
+    d_score = F.col("instability_score") - F.col("base_score")
+    day, hot = F.col("day_idx"), ["high", "critical"]
+    worst = F.min_by(F.struct(day.alias("day"), F.col("risk_label").alias("label")),
+                     F.struct(F.negate(F.col("instability_score")), day))
+    agg = runs.groupBy("scenario_id", *keys).agg(
+        F.min("base_fos").alias("baseline_min_fos"), F.min("fos").alias("scenario_min_fos"),
+        F.min(d_fos).alias("fos_divergence_min"), F.min_by(day, F.struct(d_fos, day)).alias("divergence_day"),
+        F.count_if(F.abs(d_fos) > 0.01).alias("days_diverging"),
+        F.max("base_score").alias("baseline_peak"), F.max("instability_score").alias("scenario_peak"),
+        F.count_if(F.col("base_label").isin(hot)).alias("baseline_days_hot"),
+        F.count_if(F.col("risk_label").isin(hot)).alias("scenario_days_hot"),
+        F.min(F.when(F.abs(d_score) > 1.0, day)).alias("first_response_day"), worst.alias("_w"),
+        F.max("growth_mm").alias("peak_growth"), F.max("pore_kpa").alias("peak_pore_kpa"),
+        F.max("groundwater_proxy").alias("max_proxy"),
+        F.max((F.col("crack_severity") == "critical") & F.col("water_filled")).alias("open_crack_branch"))
+    return agg.withColumns({
+        "delta_min_fos": F.col("scenario_min_fos") - F.col("baseline_min_fos"),
+        "delta_peak": F.col("scenario_peak") - F.col("baseline_peak"),
+        "worst_day": F.col("_w.day"), "worst_day_risk": F.col("_w.label")}).drop("_w")
+
+
+def compare(summary: DataFrame) -> DataFrame:
+    """One row per scenario over all its series."""
+    return summary.groupBy("scenario_id").agg(
+        F.count(F.lit(1)).alias("n_series"), F.max("scenario_peak").alias("peak_score"), F.max("delta_peak").alias("max_delta_peak"),
+        F.min("scenario_min_fos").alias("min_fos"), F.sum("scenario_days_hot").alias("days_hot"),
+        F.max("peak_growth").alias("peak_growth"), F.max("max_proxy").alias("max_proxy"),
+        F.min("first_response_day").alias("onset_day"))
+
+
+def trajectory(runs: DataFrame, max_points: int, keys: Sequence[str] = W.SERIES) -> DataFrame:
+    """Evenly spaced days of every run beside the baseline."""
+    cols = ["scenario_id", *keys, "day_idx", "fos", "instability_score", "risk_label", "base_fos"]
+    return W.decimate(runs.select(*cols), max_points, ["scenario_id", *keys])
+
+
+def gates(runs: DataFrame) -> DataFrame:
+    """Checks a set of runs must pass, as (gate, checked_rows, failed_rows)."""
+    same = F.abs(F.col("fos") - F.col("base_fos")) <= 1e-12
+    before = (F.col("day_idx") < F.col("start_day")) & (F.col("kind_of_run") != BASELINE)
+    no_op = (F.col("kind_of_run") == "blast_surge") & ~F.col("blastable")
+    wetter = F.col("kind_of_run").isin("rainfall_storm", "prolonged_rain", "historical_rain")
+    rules = [
+        ("baseline_replays_itself", F.col("kind_of_run") == BASELINE, same),
+        ("unchanged_before_start", before, same),
+        ("surge_skips_unblasted_zones", no_op, same),
+        ("more_rain_never_safer", wetter, F.col("fos") <= F.col("base_fos") + 1e-9),
+        ("fos_is_finite", F.lit(True), F.col("fos").isNotNull() & ~F.isnan("fos")),
+    ]
+    sums = runs.agg(*[c for i, (_, scope, ok) in enumerate(rules) for c in (
+        F.count_if(scope).alias(f"n{i}"), F.count_if(scope & ~F.coalesce(ok, F.lit(False))).alias(f"f{i}"))])
+    return sums.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("gate"), F.col(f"n{i}").alias("checked_rows"), F.col(f"f{i}").alias("failed_rows"))
+        for i, (name, _, _) in enumerate(rules)])))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["panel_plans", "profile_plans"]
+FAMILIES = ["panel_plans", "profile_plans", "score_plans", "scenario_plans"]
 
 
 def load_all():

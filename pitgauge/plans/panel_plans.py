@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitgauge.functions import physics as P
@@ -10,6 +9,7 @@ from pitgauge.functions import scoring as S
 from pitgauge.operators import panel as PN
 from pitgauge.operators import stats as ST
 from pitgauge.operators import windows as W
+from pitgauge.operators.chain import crack_chain, with_rain_state
 from pitgauge.plans.registry import R, Rs, query, rounded
 from pitgauge.plans.sql import DENSE, LINEITEM_DAILY, ORDERS_DAILY, PANEL, PANEL_W, band, severity, trend
 from pitgauge.sources import adapters as A
@@ -113,15 +113,16 @@ def wetting_memory(spark, folder):
     return rounded(p, [*KEYS, "groundwater_state", "rainfall_regime"], ["groundwater_proxy", "pore_pressure_kpa"])
 
 
-_DAMAGE_SQL = f"""WITH {PANEL},
-r AS (SELECT *, day_idx - coalesce(max(CASE WHEN wet_day THEN day_idx END) OVER (PARTITION BY seed, zone_id ORDER BY day_idx ROWS UNBOUNDED PRECEDING),
-        first_value(day_idx) OVER (PARTITION BY seed, zone_id ORDER BY day_idx ROWS UNBOUNDED PRECEDING) - 1) AS dry_days,
-      sum(rainfall_mm) OVER (PARTITION BY seed, zone_id ORDER BY day_idx ROWS 6 PRECEDING) AS r7,
-      ['ZONE_A','ZONE_B','ZONE_C','ZONE_D'][CAST(zone_id % 4 AS INTEGER) + 1] AS zc,
-      [25e0, 18e0, 6e0, 0e0][CAST(zone_id % 4 AS INTEGER) + 1] AS bench_h,
-      [60e0, 55e0, 75e0, 5e0][CAST(zone_id % 4 AS INTEGER) + 1] AS slope,
-      [0.75e0, 0.55e0, 0.3e0, 1e0][CAST(zone_id % 4 AS INTEGER) + 1] AS weakness,
-      [0.4e0, 0.45e0, 0.2e0, 1e0][CAST(zone_id % 4 AS INTEGER) + 1] AS clay FROM panel),
+def damage_ctes(src: str = "panel", keys: str = "seed, zone_id") -> str:
+    """The crack chain in SQL over a panel-shaped relation; the last relation is ``damage``."""
+    o = f"PARTITION BY {keys} ORDER BY day_idx"
+    zone = "[CAST(zone_id % 4 AS INTEGER) + 1]"
+    return f"""
+r AS (SELECT *, day_idx - coalesce(max(CASE WHEN wet_day THEN day_idx END) OVER ({o} ROWS UNBOUNDED PRECEDING),
+        first_value(day_idx) OVER ({o} ROWS UNBOUNDED PRECEDING) - 1) AS dry_days,
+      sum(rainfall_mm) OVER ({o} ROWS 6 PRECEDING) AS r7,
+      ['ZONE_A','ZONE_B','ZONE_C','ZONE_D']{zone} AS zc, [25e0, 18e0, 6e0, 0e0]{zone} AS bench_h, [60e0, 55e0, 75e0, 5e0]{zone} AS slope,
+      [0.75e0, 0.55e0, 0.3e0, 1e0]{zone} AS weakness, [0.4e0, 0.45e0, 0.2e0, 1e0]{zone} AS clay FROM {src}),
 t0 AS (SELECT *, least(greatest(groundwater_proxy / 60e0, 0e0), 3e0) AS wn, 0.5e0 + 0.5e0 * weakness AS s,
       CASE WHEN zc = 'ZONE_D' THEN 1e0 ELSE 0.4e0 * bench_h END AS cap FROM r),
 t AS (SELECT *,
@@ -132,8 +133,8 @@ t AS (SELECT *,
   CASE WHEN clay > 0.5 AND dry_days >= 14 AND zc <> 'ZONE_D' THEN 0.15e0 * clay * least(greatest(dry_days / 30e0, 0e0), 1e0) ELSE 0e0 END AS desiccation,
   CASE WHEN zc = 'ZONE_D' THEN 0.5e0 * greatest(600e0 / 490e0 - 1e0, 0e0) * (0.5e0 + 0.5e0 * wn) ELSE 0e0 END AS heave FROM t0),
 g AS (SELECT *, tension + hydraulic + blast + seepage + desiccation + heave AS growth_mm FROM t),
-d AS (SELECT *, least(CASE WHEN zc = 'ZONE_D' THEN 60e0 ELSE 150e0 END, sum(growth_mm * 0.85e0) OVER (PARTITION BY seed, zone_id ORDER BY day_idx ROWS UNBOUNDED PRECEDING)) AS width_mm,
-      least(cap, sum(growth_mm * 0.012e0) OVER (PARTITION BY seed, zone_id ORDER BY day_idx ROWS UNBOUNDED PRECEDING)) AS depth_m FROM g),
+d AS (SELECT *, least(CASE WHEN zc = 'ZONE_D' THEN 60e0 ELSE 150e0 END, sum(growth_mm * 0.85e0) OVER ({o} ROWS UNBOUNDED PRECEDING)) AS width_mm,
+      least(cap, sum(growth_mm * 0.012e0) OVER ({o} ROWS UNBOUNDED PRECEDING)) AS depth_m FROM g),
 damage AS (SELECT *, wet_day OR r7 > 15 OR groundwater_proxy > 60 AS water_filled, {severity('depth_m / greatest(cap, 1e-6)')} AS crack_severity,
   least(greatest(0.3e0 + 0.4e0 * least(greatest(depth_m / greatest(cap, 1e-6) * 2e0, 0e0), 1e0) + 0.2e0 * least(greatest(growth_mm / 10e0, 0e0), 1e0), 0.05e0), 2.5e0) AS density,
   CASE WHEN NOT (depth_m > 0.05 OR width_mm > 1) THEN 'none' WHEN zc = 'ZONE_D' THEN 'floor_heave'
@@ -144,41 +145,14 @@ damage AS (SELECT *, wet_day OR r7 > 15 OR groundwater_proxy > 60 AS water_fille
        WHEN desiccation >= 0e0 THEN 'desiccation' ELSE 'tension_crest' END AS crack_family FROM d)"""
 
 
-def damage_panel(spark, folder):
-    """Events panel with zones assigned round-robin and the crack chain computed on it."""
-    code = F.array(*[F.lit(z) for z in ("ZONE_A", "ZONE_B", "ZONE_C", "ZONE_D")])[(F.col("zone_id") % 4).cast("int")]
+_DAMAGE_SQL = f"WITH {PANEL}, {damage_ctes()}"
 
-    def by_zone(*vals):
-        return F.array(*[F.lit(float(v)) for v in vals])[(F.col("zone_id") % 4).cast("int")]
 
+def damage_panel(spark, folder):
+    """Events panel with zones assigned round-robin and the crack chain computed on it."""
     ws = W.series_window()
-    base = A.events_panel(spark, folder).withColumns({
-        "zone_code": code, "bench_h": by_zone(25, 18, 6, 0), "slope": by_zone(60, 55, 75, 5),
-        "weakness": by_zone(0.75, 0.55, 0.3, 1), "clay": by_zone(0.4, 0.45, 0.2, 1)})
-    base = base.withColumns({
-        "kind": F.when(F.col("zone_code") == "ZONE_D", "floor").otherwise("bench"),
-        "blastable": F.col("zone_code").isin("ZONE_A", "ZONE_B"),
-        "cap": F.when(F.col("zone_code") == "ZONE_D", 1.0).otherwise(0.4 * F.col("bench_h")),
-        "dry_days": W.run_length(~F.col("wet_day"), ws), "rainfall_7d_mm": W.trailing_sum("rainfall_mm", 7, ws)})
-    return crack_chain(base, ws)
-
-
-def crack_chain(base, ws):
-    """Growth terms -> growth -> capped width and depth -> severity, density, family."""
-    terms = P.crack_growth_terms(
-        proxy="groundwater_proxy", slope="slope", weakness="weakness", clay="clay", ppv="ppv", blast_day="blast_occurs",
-        blastable="blastable", thrust=F.lit(600.0), dry_days="dry_days", zone_kind="kind", zone_id="zone_code")
-    grown = base.withColumns({f"t_{n}": c for n, c in terms.items()})
-    grown = grown.withColumn("growth_mm", sum((F.col(f"t_{n}") for n in list(terms)[1:]), F.col(f"t_{list(terms)[0]}")))
-    width_cap = F.when(F.col("kind") == "floor", 60.0).otherwise(150.0)
-    sized = grown.withColumns({"width_mm": W.capped_total("growth_mm", 0.85, width_cap, ws),
-                               "depth_m": W.capped_total("growth_mm", 0.012, "cap", ws)})
-    term_cols = {n: F.col(f"t_{n}") for n in terms}
-    return sized.withColumns({
-        "water_filled": P.water_filled("wet_day", "rainfall_7d_mm", "groundwater_proxy"),
-        "crack_severity": P.crack_severity("depth_m", "cap"),
-        "density": P.crack_density(F.lit(0.3), "depth_m", "cap", "growth_mm"),
-        "crack_family": P.dominant_driver(term_cols, "depth_m", "width_mm", "kind")})
+    sited = A.with_site_attributes(A.events_panel(spark, folder))
+    return crack_chain(with_rain_state(sited, ws), ws)
 
 
 @query("capped_damage", _DAMAGE_SQL + f" SELECT seed, zone_id, day_idx, {R('growth_mm')}, {R('width_mm')}, {R('depth_m')}, {R('density')}, "

@@ -338,7 +338,7 @@ _SEV = "list_position(['normal','minor','moderate','severe','critical'], crack_s
 
 
 @query("observed_states", _DAMAGE_SQL + f""", l AS (SELECT DISTINCT zc, crack_severity, {_SEV} AS o FROM damage),
- r AS (SELECT *, row_number() OVER (PARTITION BY zc ORDER BY o DESC) AS rn FROM l),
+ lv AS (SELECT *, row_number() OVER (PARTITION BY zc ORDER BY o DESC) AS rn FROM l),
  st AS (SELECT zc, max(density) AS mx, quantile_cont(density, 0.95) AS p95, avg(density) FILTER (WHERE blast_occurs) AS me, avg(density) FILTER (WHERE NOT blast_occurs) AS mo FROM damage GROUP BY zc)
 SELECT st.zc AS zone_code, {R('mx', alias='max_value')}, {R('p95', alias='p95_value')}, {R('me', alias='mean_event')}, {R('mo', alias='mean_other')},
  (SELECT crack_severity FROM lv WHERE lv.zc = st.zc AND rn = 1) AS worst_level, (SELECT crack_severity FROM lv WHERE lv.zc = st.zc AND rn = 2) AS second_worst_level FROM st""")

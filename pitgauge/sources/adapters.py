@@ -54,6 +54,28 @@ def events_panel(spark: SparkSession, folder: str) -> DataFrame:
     return state.withColumn("score", demo_score("groundwater_proxy", "crack_density", "ppv"))
 
 
+def with_site_attributes(panel: DataFrame) -> DataFrame:
+    """Static slope attributes, assigned to zones round-robin over the four site zones."""
+    i = (F.col("zone_id") % 4).cast("int")
+
+    def pick(*values):
+        return F.array(*[F.lit(v) for v in values])[i]
+
+    sited = panel.withColumns({
+        "zone_code": pick("ZONE_A", "ZONE_B", "ZONE_C", "ZONE_D"), "kind": pick("bench", "bench", "bench", "floor"),
+        "bench_h": pick(25.0, 18.0, 6.0, 0.0), "slope": pick(60.0, 55.0, 75.0, 5.0), "weakness": pick(0.75, 0.55, 0.3, 1.0),
+        "clay": pick(0.4, 0.45, 0.2, 1.0), "thrust": pick(40.0, 80.0, 200.0, 600.0), "cohesion": pick(300.0, 90.0, 60.0, 0.0),
+        "phi": pick(24.0, 32.0, 20.0, 20.0), "gamma": pick(20.0, 21.5, 13.5, 19.0), "height": pick(25.0, 18.0, 6.0, 0.0),
+        "theta": pick(60.0, 55.0, 75.0, 5.0), "face": pick(60.0, 55.0, 75.0, 5.0), "blastable": pick(True, True, False, False)})
+    return sited.withColumn("cap", F.when(F.col("kind") == "floor", 1.0).otherwise(0.4 * F.col("bench_h")))
+
+
+def site_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """Drivers only (rain in mm, blasting) with site attributes: the input of the causal chain."""
+    dense = events_dense(spark, folder).withColumn("rainfall_mm", F.col("rainfall_mm") / 10.0)
+    return with_site_attributes(dense.select("seed", "zone_id", "day_idx", "rainfall_mm", "blast_occurs", "ppv"))
+
+
 def demo_score(proxy, density, ppv):
     raw = 0.6 * F.col(proxy) + 15.0 * F.col(density) + 0.6 * F.col(ppv)
     return F.least(F.lit(100.0), raw)
