@@ -35,7 +35,7 @@ def tolerance_report(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequ
     right = b.select(*keys, *[F.col(c).alias(f"_r_{c}") for c in cols], F.lit(True).alias("_in_b"))
     left = a.select(*keys, *cols, F.lit(True).alias("_in_a"))
     both = left.join(right, list(keys), "full_outer")
-    gap = F.greatest(*[F.abs(F.col(c) - F.col(f"_r_{c}")) for c in cols])
+    gap = F.array_max(F.array(*[F.abs(F.col(c) - F.col(f"_r_{c}")) for c in cols]))
     return both.agg(
         F.count_if(F.col("_in_a").isNull() | F.col("_in_b").isNull()).alias("n_unmatched"),
         F.max(gap).alias("max_gap"), F.count_if(gap > tol).alias("n_beyond"))
