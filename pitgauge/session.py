@@ -49,6 +49,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable ``checkpoint()``: the data survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate table below the shared folder and read it back.
+
+    One computation (a checkpoint computes an unpersisted plan twice), the files outlive lost
+    executors, and their size is known when the next join is planned.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
