@@ -50,14 +50,14 @@ def edges_without_risk(edges: DataFrame) -> DataFrame:
 
 
 def cheapest_paths(edges: DataFrame, requests: DataFrame, costs: Mapping[str, Column], hot_degree: int = 10_000,
-                   max_rounds: int = 10_000) -> DataFrame:
+                   rounds_per_stage: int = 2) -> DataFrame:
     """Cheapest path per (metric, request) for several cost metrics in one run.
 
     Rounds of relaxation: improved states meet the edges of their node, the better of old and
     new survives per (metric, source, node); equal costs go to the smaller path. A state dearer
     than the dearest answer its source still needs is not extended. Edges of a node with more
-    than ``hot_degree`` of them are split by salt. Each round is written to the shared folder, so
-    lost executors cost one round.
+    than ``hot_degree`` of them are split by salt. Every other round is written to the shared
+    folder, so lost executors cost two rounds.
     """
     labels = F.explode(F.array(*[F.lit(m) for m in costs])).alias("metric")
     roads = cut_lineage(edges.select(F.col("src").alias("node"), "dst", F.inline(F.array(*[
@@ -66,11 +66,15 @@ def cheapest_paths(edges: DataFrame, requests: DataFrame, costs: Mapping[str, Co
     extend = _relaxation(roads, hot_degree)
     best = cut_lineage(wanted.select("metric", "source").distinct().select(
         "metric", "source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.array("source").alias("path"), F.lit(0).alias("round")))
-    frontier = best
-    for k in range(1, max_rounds + 1):
-        step = extend(frontier).withColumn("round", F.lit(k))
-        merged = best.unionByName(step).groupBy("metric", "source", "node").agg(F.min(F.struct("cost", "path", "round")).alias("s"))
-        best = cut_lineage(merged.select("metric", "source", "node", "s.cost", "s.path", "s.round"))
+    frontier, k = best, 0
+    while True:
+        for _ in range(rounds_per_stage):
+            k += 1
+            step = extend(frontier).withColumn("round", F.lit(k))
+            better = best.unionByName(step).groupBy("metric", "source", "node").agg(F.min(F.struct("cost", "path", "round")).alias("s"))
+            best = better.select("metric", "source", "node", "s.cost", "s.path", "s.round")
+            frontier = best.where(F.col("round") == k)
+        best = cut_lineage(best)
         frontier = best.where(F.col("round") == k)
         if frontier.isEmpty():
             break
