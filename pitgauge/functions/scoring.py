@@ -80,10 +80,11 @@ def zone_status(band) -> Column:
             .otherwise("Normal Operations"))
 
 
-def route_deltas(base_cost, aware_cost, base_risk, aware_risk) -> dict[str, Column]:
+def route_deltas(base_cost, aware_cost, base_risk, aware_risk, digits: int = 2) -> dict[str, Column]:
+    """Extra distance, extra minutes at 1.5 per unit, and the share of risk avoided (0 without risk)."""
     delta = _c(aware_cost) - _c(base_cost)
     pct = F.when(_c(base_risk) > 0, F.floor((_c(base_risk) - _c(aware_risk)) / _c(base_risk) * 100.0 + 0.5)).otherwise(0)
-    return {"distance_delta": F.round(delta, 2), "time_delta_min": F.round(delta * 1.5, 1),
+    return {"distance_delta": F.round(delta, digits), "time_delta_min": F.round(delta * 1.5, digits - 1),
             "risk_reduction_pct": pct.cast("long")}
 
 

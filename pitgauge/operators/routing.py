@@ -117,14 +117,15 @@ def exposure(routes: DataFrame, edges: DataFrame, risk: DataFrame) -> DataFrame:
     return met.groupBy("metric", "src", "dst").agg(F.max(F.greatest("risk", "worst")).alias("max_risk"))
 
 
-def compare_routes(routes: DataFrame, exposed: DataFrame, base: str = "length", aware: str = "risk") -> DataFrame:
+def compare_routes(routes: DataFrame, exposed: DataFrame, base: str = "length", aware: str = "risk",
+                   digits: int = 2) -> DataFrame:
     """Both routes of each request side by side, the zones avoided and the deltas."""
     r = routes.join(exposed, ["metric", "src", "dst"])
     pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
     wide = r.groupBy("src", "dst").agg(*[
         pick(m, c).alias(f"{n}_{c}") for m, n in ((base, "base"), (aware, "aware")) for c in ("cost", "path", "max_risk")])
     wide = wide.withColumn("avoided", F.array_except("base_path", "aware_path"))
-    return wide.withColumns(S.route_deltas("base_cost", "aware_cost", "base_max_risk", "aware_max_risk"))
+    return wide.withColumns(S.route_deltas("base_cost", "aware_cost", "base_max_risk", "aware_max_risk", digits))
 
 
 def unreachable(requests: DataFrame, nodes: DataFrame, routes: DataFrame) -> DataFrame:

@@ -115,13 +115,13 @@ _RT = _routes_sql()
 
 
 @query("route_compare", f"""WITH {_RT} SELECT src, dst, {Rs(['base_cost', 'aware_cost', 'base_max_risk', 'aware_max_risk'])}, array_to_string(base_path, '>') AS base_path, array_to_string(aware_path, '>') AS aware_path,
- array_to_string([x FOR x IN base_path IF NOT list_contains(aware_path, x)], ',') AS avoided, {R('aware_cost - base_cost', 2, 'distance_delta')}, {R('(aware_cost - base_cost) * 1.5', 1, 'time_delta_min')},
+ array_to_string([x FOR x IN base_path IF NOT list_contains(aware_path, x)], ',') AS avoided, {R('aware_cost - base_cost', 6, 'distance_delta')}, {R('(aware_cost - base_cost) * 1.5', 5, 'time_delta_min')},
  CAST(CASE WHEN base_max_risk > 0 THEN floor((base_max_risk - aware_max_risk) / base_max_risk * 100 + 0.5) ELSE 0 END AS BIGINT) AS risk_reduction_pct FROM wide""")
 def route_compare(spark, folder):
     """Shortest and risk-aware route per request, zones avoided and deltas."""
     nodes, edges, risk, requests = supplier_graph(spark, folder)
     rt = routes(edges, requests)
-    c = RT.compare_routes(rt, RT.exposure(rt, edges, risk))
+    c = RT.compare_routes(rt, RT.exposure(rt, edges, risk), digits=6)
     text = lambda p, sep: F.array_join(F.transform(p, lambda x: x.cast("string")), sep)
     return c.select("src", "dst", *[F.round(x, 4).alias(x) for x in ("base_cost", "aware_cost", "base_max_risk", "aware_max_risk")],
                     text("base_path", ">").alias("base_path"), text("aware_path", ">").alias("aware_path"), text("avoided", ",").alias("avoided"),
