@@ -32,12 +32,14 @@ def template_profiles(series: DataFrame, templates: DataFrame) -> DataFrame:
     return hit.groupBy("template_id").agg(F.transform(packed, lambda x: x["value"]).alias("profile"))
 
 
-def check_kinds(scenarios: DataFrame) -> None:
-    """Unknown kinds fail before any data is touched (the scenario table is a request list)."""
+def check_kinds(scenarios: DataFrame) -> int:
+    """Unknown kinds fail before any data is touched; returns the number of scenarios."""
     known = ENUMS["scenario_kind"]
-    bad = scenarios.where(~F.col("kind").isin(known)).select("kind").limit(1).collect()
-    if bad:
-        raise ValueError(f"unknown scenario kind {bad[0]['kind']!r}; expected one of {known}")
+    bad = F.min(F.when(~F.col("kind").isin(known), F.col("kind"))).alias("bad")
+    found = scenarios.agg(bad, F.count(F.lit(1)).alias("n")).first()
+    if found["bad"] is not None:
+        raise ValueError(f"unknown scenario kind {found['bad']!r}; expected one of {known}")
+    return found["n"]
 
 
 def overlay(s: Column, day: Column) -> Column:
@@ -70,14 +72,13 @@ def expand(panel: DataFrame, scenarios: DataFrame, profiles: DataFrame | None =
     Up to ``MAX_INLINE`` scenarios are one array exploded inside the row, so the panel keeps its
     partitioning. A larger table is cut into numbered chunks of that size which are equi-joined.
     """
-    check_kinds(scenarios)
+    n = check_kinds(scenarios)
     if profiles is not None:
         scenarios = scenarios.join(profiles, "template_id", "left")
     else:
         scenarios = scenarios.withColumn("profile", F.lit(None).cast("array<double>"))
     fields = F.struct("scenario_id", "kind", "zone_id", "start_day", "duration_days", "params", "profile")
-    table = measured(scenarios.select(fields.alias("s")))
-    n = table.count()
+    table = scenarios.select(fields.alias("s"))
     if n <= MAX_INLINE:
         every = panel.withColumn("_all", table.agg(F.collect_list("s")).scalar())
     else:

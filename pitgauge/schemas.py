@@ -70,6 +70,25 @@ RASTER_SCHEMA = T.StructType(
 EVENTS_SCHEMA = T.StructType(
     [T.StructField("event_id", _L), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", _L),
      T.StructField("event_type", _S), T.StructField("value", _D), T.StructField("props", _S)])
+_N = T.TimestampNTZType()
+
+
+def _struct(**fields) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+# The benchmark tables that queries read; declared, so opening one costs no job.
+TABLE_SCHEMAS = {
+    "events": EVENTS_SCHEMA,
+    "orders": _struct(o_orderkey=_L, o_custkey=_L, o_orderstatus=_S, o_totalprice=_D, o_orderdate=_N, o_orderpriority=_S),
+    "lineitem": _struct(l_orderkey=_L, l_partkey=_L, l_suppkey=_L, l_linenumber=_I, l_quantity=_D, l_extendedprice=_D, l_discount=_D,
+                        l_tax=_D, l_returnflag=_S, l_linestatus=_S, l_shipdate=_N),
+    "part": _struct(p_partkey=_L, p_name=_S, p_brand=_S, p_type=_S, p_size=_I, p_retailprice=_D),
+    "supplier": _struct(s_suppkey=_L, s_name=_S, s_nationkey=_I, s_acctbal=_D),
+    "embeddings": _struct(vec_id=_L, embedding=T.ArrayType(T.FloatType()), label=_I),
+    "documents": _struct(doc_id=_L, text=_S, lang=_S, source=_S, n_chars=_L),
+    "labels": _struct(doc_id=_L, quality=_I, toxic=_I),
+}
 SCENARIO_SCHEMA = T.StructType(
     [T.StructField("scenario_id", _S), T.StructField("kind", _S), T.StructField("zone_id", _S),
      T.StructField("start_day", _I), T.StructField("duration_days", _I),

@@ -15,9 +15,8 @@ from pitgauge.sources.readers import table
 PANEL_START = dt.date(2024, 1, 1)
 
 
-def events_daily(spark: SparkSession, folder: str) -> DataFrame:
+def events_daily(ev: DataFrame) -> DataFrame:
     """Sparse user-day totals of the event stream (map-side combined before the exchange)."""
-    ev = table(spark, folder, "events")
     kind, v = F.col("event_type"), F.col("value")
     return (
         ev.select((F.col("user_id") % 5).alias("seed"), F.col("user_id").alias("zone_id"),
@@ -36,9 +35,10 @@ def events_daily(spark: SparkSession, folder: str) -> DataFrame:
 
 def events_dense(spark: SparkSession, folder: str) -> DataFrame:
     """Every user on every day from the panel start to the last day seen."""
-    last_day = table(spark, folder, "events").agg(F.max(F.to_date("ts"))).scalar()
+    ev = table(spark, folder, "events")
+    last_day = ev.agg(F.to_date(F.max("ts"))).scalar()
     dense = fill_daily_gaps(
-        events_daily(spark, folder), ["seed", "zone_id"], "day", F.lit(PANEL_START), last_day,
+        events_daily(ev), ["seed", "zone_id"], "day", F.lit(PANEL_START), last_day,
         {"rainfall_mm": 0.0, "n_blast": 0, "ppv": 0.0, "n_inspect": 0, "err": 0, "growth": 0.0})
     return dense.select(
         "seed", "zone_id", F.date_diff("day", F.lit(PANEL_START)).alias("day_idx"), "rainfall_mm",
@@ -91,9 +91,8 @@ def station_daily(orders: DataFrame) -> DataFrame:
         orders.select(F.to_date("o_orderdate").alias("day"), F.when(wet, F.col("o_totalprice")).alias("v"))
         .groupBy("day").agg((F.coalesce(F.sum("v"), F.lit(0.0)) / 10000.0).alias("value"))
         .select(F.lit("S1").alias("station_id"), "day", "value"))
-    last_day = orders.agg(F.max(F.to_date("o_orderdate"))).scalar()
-    first_day = orders.agg(F.min(F.to_date("o_orderdate"))).scalar()
-    return fill_daily_gaps(per_day, ["station_id"], "day", first_day, last_day, {"value": 0.0})
+    span = orders.agg(F.struct(F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last"))).scalar()
+    return fill_daily_gaps(per_day, ["station_id"], "day", span["first"], span["last"], {"value": 0.0})
 
 
 def orders_daily(spark: SparkSession, folder: str) -> DataFrame:

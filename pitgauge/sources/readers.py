@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitgauge.schemas import DAILY_SERIES_SCHEMA, GRID_SCHEMA, RASTER_SCHEMA
+from pitgauge.schemas import DAILY_SERIES_SCHEMA, GRID_SCHEMA, RASTER_SCHEMA, TABLE_SCHEMAS
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def daily_series(spark: SparkSession, path: str, fmt: str = "parquet",
