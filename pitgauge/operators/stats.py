@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitgauge.operators.joins import lookup
+from pitgauge.operators.quantiles import exact_quantiles, quantile_columns
 from pitgauge.operators.windows import SERIES, series_window
+from pitgauge.session import cut_lineage
 
 
 def group_baselines(rows: DataFrame, zone: str = "zone_id") -> DataFrame:
@@ -144,16 +146,19 @@ def series_audit(df: DataFrame, depth: str, cap: float, growth: str, acute: floa
         (F.min(F.when(d >= cap - 1e-9, F.col(day))) - F.min(day)).alias("days_to_cap"))
 
 
-def audit_across_worlds(audits: DataFrame, by: Sequence[str], exact_pool: bool = True) -> DataFrame:
-    """P50 and P90 of the per-series measures over worlds.
+def audit_across_worlds(audits: DataFrame, by: Sequence[str]) -> DataFrame:
+    """P50 and P90 of the per-series measures over all series of a group.
 
-    A zone has one row per world here; ``percentile`` sees numbers of worlds, not of rows.
+    A group may hold any number of series, so the quantiles take the distributed form.
     """
-    return audits.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_series"), F.percentile("final_depth", F.lit(0.5)).alias("depth_p50"),
-        F.percentile("final_depth", F.lit(0.9)).alias("depth_p90"), F.avg("hit_cap").alias("cap_rate"),
-        F.percentile("days_to_cap", F.lit(0.5)).alias("days_to_cap_p50"),
-        F.max("max_growth").alias("max_growth"), F.sum("acute_days").alias("acute_days"))
+    by = list(by)
+    audits = cut_lineage(audits.select(*by, "final_depth", "hit_cap", "days_to_cap", "max_growth", "acute_days"))
+    depth = quantile_columns(exact_quantiles(audits, "final_depth", [0.5, 0.9], by), by, {0.5: "depth_p50", 0.9: "depth_p90"})
+    days = quantile_columns(exact_quantiles(audits, "days_to_cap", [0.5], by), by, {0.5: "days_to_cap_p50"})
+    sums = audits.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_series"), F.avg("hit_cap").alias("cap_rate"), F.max("max_growth").alias("max_growth"),
+        F.sum("acute_days").alias("acute_days"))
+    return sums.join(depth, by).join(days, by, "left")
 
 
 def static_columns(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The ordered enumerations of the panel contract.
@@ -152,26 +155,36 @@ PROVENANCE_GAPS = [
 ]
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table as an inlined literal, so that its size is known when a join is planned.
+
+    ``createDataFrame`` over a list has no size estimate and would shuffle the other side.
+    """
+    names = [field.split()[0] for field in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':').replace(',:', ', ')}>>")))
+
+
 def zones(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ZONES, ZONE_SCHEMA)
+    return literal_table(spark, ZONES, ZONE_SCHEMA)
 
 
 def materials(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MATERIALS, MATERIAL_SCHEMA)
+    return literal_table(spark, MATERIALS, MATERIAL_SCHEMA)
 
 
 def blast_constants(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BLAST_CONSTANTS, "key string, value double, unit string")
+    return literal_table(spark, BLAST_CONSTANTS, "key string, value double, unit string")
 
 
 def decisions(spark: SparkSession) -> DataFrame:
     """Band -> four role actions; bands below Moderate use the Moderate rows."""
     rows = list(DECISIONS)
     rows += [(band, *r[1:]) for band in ("Very Low", "Low") for r in DECISIONS if r[0] == "Moderate"]
-    return spark.createDataFrame(
-        rows, "band string, pos int, role string, message string, action string, priority string")
+    return literal_table(
+        spark, rows, "band string, pos int, role string, message string, action string, priority string")
 
 
 def enum_table(spark: SparkSession) -> DataFrame:
     rows = [(e, v, i) for e, vs in ENUMS.items() for i, v in enumerate(vs)]
-    return spark.createDataFrame(rows, "enum string, value string, ordinal int")
+    return literal_table(spark, rows, "enum string, value string, ordinal int")
