@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitgauge.llm import bpe, minhash, quality_cnn, token_counts, toxicity
+from pitgauge.llm import bpe, decontaminate, ego_join, minhash, quality_cnn, token_counts, toxicity
 from pitgauge.llm.labelled import labelled_sample, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,13 @@ def op8_toxicity_lexicon(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score_toxicity(docs, fitted_lexicon(docs, labels), keep=["doc_id"])
     return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", "n_hits")
+
+
+@query("op3_ego_join")
+def op3_ego_join(spark, sf_dir):
+    return ego_join.epsilon_join(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
