@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitgauge.llm import bpe, decontaminate, ego_join, minhash, quality_cnn, token_counts, toxicity
+from pitgauge.llm import bpe, decontaminate, ego_join, minhash, pii, quality_cnn, token_counts, toxicity
 from pitgauge.llm.labelled import labelled_sample, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op3_ego_join(spark, sf_dir):
 @query("op4_decontamination")
 def op4_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_personal_data")
+def op10_personal_data(spark, sf_dir):
+    return pii.digest_personal_data(table(spark, sf_dir, "documents"), pii.learn())
