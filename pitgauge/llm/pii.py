@@ -32,6 +32,7 @@ LONGEST = 18
 TRIGGER = re.compile(r"[0-9]+|@|[\[({<]\s?(?:at|AT|dot|DOT)\s?[\])}>]")
 SPELLED = re.compile(TRIGGER.pattern + r"|\b(?:at|AT)\b(?=.{1,40}\b(?:dot|DOT)\b)")
 DOT = re.compile(r"\b(?:dot|DOT)\b")
+INSIDE = frozenset("[](){}<>.-_+@/%")
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
 Span = tuple[int, int, str]
 
@@ -134,11 +135,24 @@ class Field:
 
 
 def lattice(tokens: list[str], gaps: list[bool]) -> list[list[tuple[int, list[str]]]]:
-    """By end position: starts and features of the candidates that end there."""
+    """By end position: starts and features of the candidates that end there.
+
+    A candidate has no sign outside ``INSIDE``, has a digit or an @ (spelled out or not), and has letters only if it has an @.
+    """
     out: list[list[tuple[int, list[str]]]] = [[] for _ in range(len(tokens) + 1)]
     for j in range(1, len(tokens) + 1):
-        for i in range(max(0, j - LONGEST), j):
-            if (f := span_features(tokens, gaps, i, j)) is not None:
+        digit = letter = at = False
+        for i in range(j - 1, max(-1, j - 1 - LONGEST), -1):
+            t = tokens[i]
+            if t.isalpha():
+                letter, at = True, at or t in ("at", "AT")
+            elif t.isdecimal():
+                digit = True
+            elif t not in INSIDE:
+                break
+            else:
+                at |= t == "@"
+            if (at or digit and not letter) and (f := span_features(tokens, gaps, i, j)) is not None:
                 out[j].append((i, f))
     return out
 

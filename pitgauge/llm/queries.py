@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pitgauge.llm import bpe, decontaminate, ego_join, minhash, pii, quality_cnn, token_counts, toxicity
+from pitgauge.llm import bpe, decontaminate, ego_join, minhash, packing, pii, quality_cnn, token_counts, toxicity, url_filter
 from pitgauge.llm.labelled import labelled_sample, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +77,53 @@ def op4_decontamination(spark, sf_dir):
 @query("op10_personal_data")
 def op10_personal_data(spark, sf_dir):
     return pii.digest_personal_data(table(spark, sf_dir, "documents"), pii.learn())
+
+
+RULES = [url_filter.Rule("net", "/", "block"), url_filter.Rule("example.net", "/en/", "allow"), url_filter.Rule("example.com", "/de/", "block"), url_filter.Rule("org", "/fr/", "allow")]
+
+
+def level_sql(name: str, groups: str) -> str:
+    """Prior strength of a level, as one row."""
+    lo, hi = url_filter.STRENGTHS
+    return f"""{name} AS (
+  SELECT CASE WHEN coalesce(sum(n), 0) = 0 OR sum(n) = count(*) THEN 1e0
+              WHEN sum(n * pow(bad / n - m, 2) / (m * (1 - m))) <= count(*) THEN {hi}e0
+              ELSE least({hi}e0, greatest({lo}e0, (sum(n) - count(*)) / (sum(n * pow(bad / n - m, 2) / (m * (1 - m))) - count(*)) - 1)) END AS s
+  FROM {groups} WHERE n > 0)"""
+
+
+OP1_SQL = f"""
+WITH cut AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+placed AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS host,
+                  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+known AS (SELECT doc_id, count(*) AS n, sum(CAST(quality = 0 OR toxic = 1 AS BIGINT)) AS bad FROM labels WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
+hosts AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, CAST(coalesce(sum(n), 0) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad
+          FROM placed LEFT JOIN known ON doc_id = page_id GROUP BY 1, 2),
+domains AS (SELECT domain, string_split(domain, '.')[-1] AS suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2),
+suffixes AS (SELECT *, (sum(bad) OVER () + 0.5e0) / (sum(n) OVER () + 1e0) AS m FROM (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY 1)),
+{level_sql("s1", "suffixes")},
+domains2 AS (SELECT d.*, (f.bad + s * f.m) / (f.n + s) AS m FROM domains d JOIN suffixes f USING (suffix), s1),
+{level_sql("s2", "domains2")},
+hosts2 AS (SELECT h.*, (d.bad + s * d.m) / (d.n + s) AS m FROM hosts h JOIN domains2 d USING (domain), s2),
+{level_sql("s3", "hosts2")},
+post AS (SELECT host, n, s, (bad + s * m) / (n + s) AS mean FROM hosts2, s3),
+ruled AS (SELECT p.*, CAST(n AS BIGINT) AS n_labelled, mean - {url_filter.Z}e0 * sqrt(mean * (1 - mean) / (n + s + 1)) AS bound,
+                 CASE WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/' WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+                      WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/' WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule
+          FROM placed p JOIN post USING (host))
+SELECT page_id, host, path, rule, n_labelled,
+       CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound > {url_filter.LIMIT}e0 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled"""
+
+
+@query("op1_url_reputation", OP1_SQL)
+def op1_url_reputation(spark, sf_dir):
+    """Outcomes: the labels whose id is the page's; a page is bad if it is of poor quality or toxic."""
+    labels = table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, RULES).select("page_id", "host", "path", "rule", "verdict", "n_labelled")
+
+
+@query("op5_packing")
+def op5_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
