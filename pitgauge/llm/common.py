@@ -95,7 +95,10 @@ def append_columns(df: DataFrame, text: str, fields: Sequence[T.StructField], ma
                 arrays += [v if isinstance(v, pa.Array) else pa.array(v, type=arrow.field(n + i).type) for i, v in enumerate(new)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.select(*[col(c) for c in kept], col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    spare = "_text"
+    while spare in {c.lower() for c in kept}:
+        spare += "_"
+    return df.select(*[col(c) for c in kept], col(text).cast("string").alias(spare)).mapInArrow(run, schema)
 
 
 def field(name: str, kind: str) -> T.StructField:

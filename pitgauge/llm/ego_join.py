@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitgauge.llm.common import col
-from pitgauge.llm.graph import connected_components
+from pitgauge.llm.graph import connected_components, forest
 from pitgauge.session import cut_lineage
 
 AXES = 4
@@ -167,20 +167,6 @@ def pair_links(xa: np.ndarray, xb: np.ndarray, axes: np.ndarray | None, threshol
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """Smallest index reachable from each of ``n`` nodes."""
-    low = np.arange(n)
-    while True:
-        least = np.minimum(low[i], low[j])
-        new = low.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = np.minimum(new, new[new])
-        if (new == low).all():
-            return low
-        low = new
-
-
 def epsilon_join(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """One row per row of ``df``: its id, ``n_links``, ``component_id``, ``kept``; vectors of one label link at a cosine of ``threshold`` or more.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "node long, component long")
     tops = roots.select(F.col("v").alias("u")).distinct().select("u", F.col("u").alias("v"))
     return roots.union(tops).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+
+
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Smallest index reachable from each of ``n`` nodes."""
+    low = np.arange(n)
+    while True:
+        least = np.minimum(low[i], low[j])
+        new = low.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = np.minimum(new, new[new])
+        if (new == low).all():
+            return low
+        low = new

@@ -5,8 +5,9 @@ value; after as many rounds as bins, round ``bins + i`` throws everything into b
 bins are: later values are larger. Bins agree with the probability of the Jaccard similarity, and more sharply than
 independent hashes would.
 
-Texts with the same set are one class. Classes that share a band are compared with the band's leader first; only what that leaves
-apart is compared within the band, so a group of thousands of copies costs one comparison for each.
+Texts with the same set are one class. A class is compared with the leader of the band that it shares most bands with, and that joins
+most of a large group at one comparison each. What is still apart within a group of candidates is compared in tiles, whole tiles
+against whole tiles, and pairs of one band that no leader brings into one group are compared one by one.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitgauge.llm.common import append_columns, col, field, without
-from pitgauge.llm.graph import connected_components
+from pitgauge.llm.graph import connected_components, forest
 from pitgauge.session import cut_lineage
 
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 #: Bits of the agreement filter: one of each bin. 0.775 of them agree at a similarity of 0.55; at 0.8 that is six standard deviations away.
 LEAST_BITS = 155
+TILE = 256
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # fixed values of a published 64-bit mixer
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, 2 * BINS, dtype=np.uint64) | np.uint64(1)
 _VALUE = np.uint64(48)
@@ -121,16 +123,23 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & (same >= LEAST_BITS + 256 - BINS)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity. Texts of the ids concerned are read again; a hot ``b`` is split by AQE."""
-    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+def full_sets(ids: DataFrame, docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """(id, shingles) of the given ids, from their texts."""
     texts = docs.select(col(key).alias("_id"), col(text).alias("_text0")).join(ids, "_id", "left_semi")
 
     def make():
         memo: dict[bytes, int] = {}
         return lambda rows: [pa.array([shingle_set(t, words, memo).view(np.int64) for t in rows], pa.list_(pa.int64()))]
 
-    sets = cut_lineage(append_columns(texts, "_text0", [field("shingles", "array<long>")], make, keep=["_id"]))
+    return cut_lineage(append_columns(texts, "_text0", [field("shingles", "array<long>")], make, keep=["_id"]))
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity; a hot ``b`` is split by AQE."""
     of_a = pairs.join(sets.select(F.col("_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = of_a.join(sets.select(F.col("_id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -138,6 +147,66 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int, key: str
     return both.where(100 * shared >= percent * total).select("a", "b")
 
 
+def tile_links(left: list[np.ndarray], right: list[np.ndarray], percent: int, columns: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of two lists of sets that reach the similarity: their intersections are products of 0/1 matrices, some columns at a time."""
+    sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in (left, right)]
+    owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    flat = [np.concatenate(side) for side in (left, right)]
+    common = np.intersect1d(flat[0], flat[1])
+    shared = np.zeros((len(left), len(right)), dtype=np.float32)
+    at = [np.searchsorted(common, f) for f in flat]
+    hit = [(k < len(common)) & (common[np.minimum(k, len(common) - 1)] == f) if len(common) else np.zeros(len(f), bool) for k, f in zip(at, flat)]
+    cells = []
+    for side in (0, 1):
+        order = np.argsort(at[side][hit[side]], kind="stable")
+        cells.append((at[side][hit[side]][order], owner[side][hit[side]][order]))
+    for lo in range(0, len(common), columns):
+        block = []
+        for (column, row), n in zip(cells, (len(left), len(right))):
+            i, j = np.searchsorted(column, (lo, lo + columns))
+            m = np.zeros((n, columns), dtype=np.float32)
+            m[row[i:j], column[i:j] - lo] = 1
+            block.append(m)
+        shared += block[0] @ block[1].T
+    return np.nonzero(100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared))
+
+
+def tiled_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between what is still apart in a candidate group, as a spanning forest (a, b).
+
+    ``members`` has (rep, n, cand, part). Of each group the largest part is one already, so the other members are compared with all.
+    Members are dealt by size into classes, of which only neighbours can be similar enough, and by hash into tiles of
+    about ``TILE``; a pair of tiles is one group of rows, and no pair of members becomes a row.
+    """
+    parts = members.groupBy("cand", "part").agg(F.count(F.lit(1)).alias("k"))
+    mains = parts.groupBy("cand").agg(F.max(F.struct("k", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("cand", F.col("main.part").alias("main"))
+    here = cut_lineage(members.join(mains, "cand").select("rep", "cand", (F.col("part") != F.col("main")).alias("apart"), F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).alias("class")))
+    cells = here.groupBy("cand", "class").agg(F.count(F.lit(1)).alias("all"), F.count_if("apart").alias("own"))
+    tile = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(F.col(n) / TILE))
+    x = cells.where("own > 0").withColumn("tx", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("own") / TILE) - 1))).withColumn("cy", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)]))).select("cand", F.col("class").alias("cx"), "tx", "cy")
+    y = cells.withColumn("ty", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("all") / TILE) - 1))).select("cand", F.col("class").alias("cy"), "ty")
+    meets = cut_lineage(x.join(y, ["cand", "cy"]))
+    placed = here.join(cells, ["cand", "class"]).select("rep", "cand", "class", F.when(F.col("apart"), tile("own")).alias("tx"), tile("all").alias("ty"))
+    left = placed.where("tx is not null").select("rep", "cand", F.col("class").alias("cx"), "tx").join(meets, ["cand", "cx", "tx"]).select("rep", "cand", "cx", "tx", "cy", "ty", F.lit(0).alias("side"))
+    right = placed.select("rep", "cand", F.col("class").alias("cy"), "ty").join(meets, ["cand", "cy", "ty"]).select("rep", "cand", "cx", "tx", "cy", "ty", F.lit(1).alias("side"))
+    rows = left.union(right).join(sets.select(F.col("_id").alias("rep"), "shingles"), "rep").withColumn("meet", F.struct("cand", "cx", "tx", "cy", "ty"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        side, rep = table.column("side").to_numpy(), table.column("rep").to_numpy()
+        sets = [x.values.to_numpy().view(np.uint64) for x in table.column("shingles")]
+        at = [np.flatnonzero(side == k) for k in (0, 1)]
+        if not len(at[0]) or not len(at[1]):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        i, j = tile_links([sets[k] for k in at[0]], [sets[k] for k in at[1]], percent)
+        i, j = rep[at[0][i]], rep[at[1][j]]
+        names, flat = np.unique(np.concatenate([i, j]), return_inverse=True)
+        top = forest(flat[:len(i)], flat[len(i):], len(names))
+        far = np.flatnonzero(top != np.arange(len(names)))
+        return pa.table({"a": names[far], "b": names[top[far]]})
+
+    return rows.select("meet", "side", "rep", "shingles").groupBy("meet").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``n_shingles``, ``component_id`` and ``kept`` (the smallest id of its component).
 
@@ -153,14 +222,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     rows = sets.select(F.explode("bands").alias("band"), member.alias("m"))
     full = cut_lineage(rows.groupBy("band").agg(F.min("m").alias("lead"), F.max("m.rep").alias("most")).where("lead.rep <> most").select("band", "lead"))
     led = rows.join(full, "band").where("m.rep <> lead.rep").where(may_link("m", "lead", percent))
-    pairs = led.groupBy(F.col("m.rep").alias("a"), F.col("lead.rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    best = cut_lineage(pairs.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("nb"))).alias("x")).select("a", (-F.col("x.nb")).alias("b")))
-    links = cut_lineage(verify(best, docs, words, percent, key, text))
-    parts = cut_lineage(connected_components(links))
-    rest = cut_lineage(open_pairs(rows, full, parts, percent).join(best, ["a", "b"], "left_anti"))
+    pairs = cut_lineage(led.groupBy(F.col("m.rep").alias("a"), F.col("lead.rep").alias("b")).agg(F.count(F.lit(1)).alias("shared")))
+    cands = cut_lineage(connected_components(pairs.select("a", "b")))
+    shingles = full_sets(ends(pairs), docs, words, key, text)
+    best = pairs.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("nb"))).alias("x")).select("a", (-F.col("x.nb")).alias("b"))
+    links = cut_lineage(verify(best, shingles, percent))
+    parts = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    members = cands.select(F.col("node").alias("rep"), F.col("component").alias("cand")).join(sets.select("rep", "n"), "rep").join(parts, "rep", "left")
+    members = cut_lineage(members.select("rep", "n", "cand", F.coalesce("part", "rep").alias("part")))
+    links = links.union(cut_lineage(tiled_links(members, shingles, percent)))
+    rest = cut_lineage(open_pairs(rows, full, cands, percent))
     if not rest.isEmpty():
-        links = links.union(verify(rest, docs, words, percent, key, text))
-        parts = cut_lineage(connected_components(links))
+        links = links.union(verify(rest, full_sets(ends(rest), docs, words, key, text), percent))
+    parts = cut_lineage(connected_components(links))
     named = sets.join(parts, F.col("rep") == F.col("node"), "left").where("copies > 1 or component <> rep")
     named = named.select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("_id", "n_shingles", "set_hi", "set_lo").join(named, ["set_hi", "set_lo"], "left")
@@ -169,9 +243,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
 
 
 def open_pairs(rows: DataFrame, full: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one band that are still in different components and may be linked.
+    """Pairs of one band that may be linked although their candidate groups differ.
 
-    Bands that are one component already are left out before anything meets; the join is on the band and AQE splits hot ones.
+    Bands that are one group are left out before anything meets; the join is on the band and AQE splits hot ones.
     """
     here = rows.join(full.select("band"), "band", "left_semi").withColumn("node", F.col("m.rep"))
     here = here.join(parts, "node", "left").select("band", "m", F.coalesce("component", "node").alias("part"))
