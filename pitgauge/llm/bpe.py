@@ -14,8 +14,10 @@ import json
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pitgauge.llm.common import Memo, append_columns, field, segments
 
@@ -183,9 +185,6 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", name: str =
 
 def decode_documents(rows: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """``rows`` with the texts of their ids (null ids: empty text); an existing column ``decoded`` is replaced."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("string")
     def texts(column: pd.Series) -> pd.Series:
         bpe = load(path)

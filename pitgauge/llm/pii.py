@@ -16,7 +16,7 @@ from dataclasses import dataclass, field as plain
 
 from pyspark.sql import DataFrame
 
-from pitgauge.llm.common import append_columns, field
+from pitgauge.llm.common import append_columns, col, field
 
 #: The kinds in the order in which equal starts are listed, and the patterns of the contract.
 KINDS = ("email", "ip", "card", "phone")
@@ -357,28 +357,19 @@ def digest_personal_data(docs: DataFrame, model: Field, text: str = "text", keep
     return append_columns(docs, text, fields, make, keep=list(keep))
 
 
-def redact(docs: DataFrame, model: Field, text: str = "text", name: str = "text") -> DataFrame:
+def redact(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
     """``docs`` with each span of its texts replaced by its kind in angle brackets; spans that overlap become one, named by the first. A null text stays null."""
 
-    def make():
-        def run(texts):
-            out = []
-            for t in texts:
-                base = base_spans(t)
-                parts, at = [], 0
-                for a, b, k in sorted(base + added_spans(t, base, model), key=lambda s: (s[0], KINDS.index(s[2]))):
-                    if a >= at:
-                        parts += [t[at:a], f"<{k}>"]
-                    at = max(at, b)
-                out.append("".join([*parts, t[at:]]))
-            return [out]
+    def clean(t):
+        base = base_spans(t)
+        parts, at = [], 0
+        for a, b, k in sorted(base + added_spans(t, base, model), key=lambda s: (s[0], KINDS.index(s[2]))):
+            if a >= at:
+                parts += [t[at:a], f"<{k}>"]
+            at = max(at, b)
+        return "".join([*parts, t[at:]])
 
-        return run
-
-    from pyspark.sql import functions as F
-
-    from pitgauge.llm.common import col
+    def make():
+        return lambda texts: [[None if t is None else clean(t) for t in texts]]
 
-    order = docs.columns
-    clean = append_columns(docs.withColumn("_was", col(text).isNull()), text, [field("_clean", "string")], make)
-    return clean.select(*[F.when(~F.col("_was"), F.col("_clean")).alias(c) if c == name else col(c) for c in order])
+    return append_columns(docs, text, [field(text, "string")], make, nulls=True).select(*[col(c) for c in docs.columns])

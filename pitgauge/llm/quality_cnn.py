@@ -70,13 +70,17 @@ def logits(pooled: np.ndarray, fill: np.ndarray, w: dict[str, np.ndarray]) -> tu
 def forward(texts: list[str], w: dict[str, np.ndarray], block: int = 1 << 18) -> tuple:
     """Chunk logits of whole texts; responses exist for one block of bytes at a time."""
     flat, first, sizes = lay_out(texts)
-    tops = [responses(flat[k:min(k + block, len(flat) - WIDTH) + WIDTH], w).reshape(-1, PLACES, FILTERS).max(axis=1)
-            for k in range(0, len(flat) - WIDTH, block)]
+    last = first[1:] * PLACES - 1  # these windows reach into the next text
+    tops = []
+    for k in range(0, len(flat) - WIDTH, block):
+        r = responses(flat[k:min(k + block, len(flat) - WIDTH) + WIDTH], w)
+        r[last[np.searchsorted(last, k // STRIDE):np.searchsorted(last, k // STRIDE + len(r))] - k // STRIDE] = 0
+        tops.append(r.reshape(-1, PLACES, FILTERS).max(axis=1))
     top = np.concatenate(tops) if tops else np.zeros((0, FILTERS), np.float32)
     owner, a, b, fill = chunks(first, sizes)
     pooled = np.maximum(top[a], top[b])
     z, hidden = logits(pooled, fill, w)
-    return flat, owner, a, b, fill, pooled, z, hidden
+    return flat, owner, a, b, fill, pooled, z, hidden, last
 
 
 def poorest(owner: np.ndarray, z: np.ndarray, n: int) -> np.ndarray:
@@ -89,7 +93,7 @@ def score(texts: list[str], network: Network) -> np.ndarray:
     """Probability of good quality; of a text's own bytes alone."""
     if network.always is not None or not texts:
         return np.full(len(texts), network.always or 0.0)
-    _, owner, _, _, _, _, z, _ = forward(texts, network.weights)
+    _, owner, _, _, _, _, z, _, _ = forward(texts, network.weights)
     worst = np.full(len(texts), -np.inf)
     np.maximum.at(worst, owner, z.astype(np.float64))
     return 1 / (1 + np.exp(np.clip(worst, -30, 30)))
@@ -112,7 +116,7 @@ def learn(texts: list[str], labels: list[int], epochs: int = 14, batch: int = 32
         order = rng.permutation(len(texts))
         for k in range(0, len(order), batch):
             ids = order[k:k + batch]
-            flat, owner, a, b, fill, pooled, z, hidden = forward([texts[i] for i in ids], w)
+            flat, owner, a, b, fill, pooled, z, hidden, last = forward([texts[i] for i in ids], w)
             pick = poorest(owner, z, len(ids))
             p = 1 / (1 + np.exp(-np.clip(z[pick], -30, 30)))
             dz = ((p - y[ids]) * np.array([share[float(v)] for v in y[ids]], dtype=np.float32) / len(ids)).astype(np.float32)
@@ -126,6 +130,7 @@ def learn(texts: list[str], labels: list[int], epochs: int = 14, batch: int = 32
                 windows = flat[(places * STRIDE)[:, None] + np.arange(WIDTH)]
                 x = w["embed"][windows].reshape(len(places), -1)
                 r = x @ w["filter"] + w["filter_bias"]
+                r[places == last[i]] = 0
                 win = r.argmax(axis=0)
                 g = np.where(r[win, np.arange(FILTERS)] > 0, dp[i], 0)
                 d_filter += x[win].T * g

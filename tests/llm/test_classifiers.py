@@ -80,7 +80,7 @@ def test_gradients_of_the_network():
     rng = np.random.default_rng(0)
     network = quality_cnn.learn(["abc def " * 40, "ABC!! " * 60], [1, 0], epochs=1)
     w = {k: v.astype(np.float64) for k, v in network.weights.items()}
-    flat, owner, a, b, fill, pooled, z, hidden = quality_cnn.forward(["xyz abc " * 100], w)
+    flat, owner, a, b, fill, pooled, z, hidden, _ = quality_cnn.forward(["xyz abc " * 100], w)
     c = quality_cnn.poorest(owner, z, 1)[0]
     for name in ("out", "hidden"):
         at = tuple(rng.integers(0, s) for s in w[name].shape)
