@@ -40,11 +40,6 @@ def edge_cost(length, worst_risk, alpha) -> Column:
     return F.when(valid, length * (1.0 + alpha * worst_risk))
 
 
-def midpoint_edge_cost(dist, end_risk, weight) -> Column:
-    """The older variant: distance weighted by the share of the end zone's risk."""
-    return _c(dist) * (1.0 + _c(weight) * _c(end_risk) / 100.0)
-
-
 def band_upper(band) -> Column:
     """Upper case with the first blank replaced."""
     return F.regexp_replace(F.upper(F.coalesce(_c(band), F.lit(""))), "^([^ ]*) ", "$1_")

@@ -29,74 +29,59 @@ def lookup(rows: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str =
     return rows.join(measured(dim), on, how)
 
 
-def replace_nulls_where_absent(rows: DataFrame, column: str, default) -> DataFrame:
-    return rows.withColumn(column, F.coalesce(F.col(column), F.lit(default)))
-
-
 def missing_keys(rows: DataFrame, dim: DataFrame, key: str, reason: str) -> DataFrame:
     """Keys without a partner, for checks that must come out empty."""
     return (rows.select(key).distinct().join(dim.select(key).distinct(), key, "left_anti")
             .withColumn("reason", F.lit(reason)))
 
 
-def nearest_zone(points: DataFrame, zones: DataFrame, max_inline: int = 1000) -> DataFrame:
-    """Closest zone per point (ties go to the smaller zone id).
+def _finite(c: str) -> Column:
+    return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
 
-    ``points`` has (point_id, lat, lng), ``zones`` (zone_id, lat, lng). Up to ``max_inline``
-    zones travel as one array inside the scan of the points, which needs neither a join nor a
-    shuffle; larger zone tables use the grid search below. Both are exact.
-    """
-    zones = measured(zones.select("zone_id", "lat", "lng"))
-    if zones.limit(max_inline + 1).count() <= max_inline:
-        packed = zones.agg(F.collect_list(F.struct("zone_id", "lat", "lng"))).scalar()
-        best = F.array_min(F.transform("_zones", lambda z: F.struct(
-            planar_distance(F.col("lat"), F.col("lng"), z["lat"], z["lng"]).alias("dist"),
-            z["zone_id"].alias("zone_id"))))
-        placed = points.withColumn("_zones", packed).withColumn("_best", best)
-        return placed.select(*points.columns, "_best.zone_id", "_best.dist")
-    return nearest_zone_grid(points, zones)
-
-
-def nearest_zone_grid(points: DataFrame, zones: DataFrame, salts: int = 8) -> DataFrame:
-    """Nearest zone by rounds of equi-joins on grid cells whose size doubles each round.
-
-    A point is settled once its best candidate is no farther than one cell, because every zone
-    within that distance lies in the 3x3 neighbourhood that was searched. The last cell size
-    covers the whole extent, so every point settles. Zones are copied to their neighbour cells
-    and salts; points are not copied, and a cell holding a third of them is split by salt.
+
+def nearest_zone(points: DataFrame, zones: DataFrame, cell_rows: int = 50_000) -> DataFrame:
+    """``points`` with the closest zone's ``zone_id`` and ``dist`` (ties go to the smaller zone id), one row per row of ``points``.
+
+    ``points`` has (lat, lng) and any other columns, ``zones`` (zone_id, lat, lng). Rounds of equi-joins on grid cells
+    whose size grows fourfold each round: a point is settled once its best candidate is no farther than one cell,
+    because every zone within that distance lies in the 3x3 neighbourhood that was searched, and the last cell size covers
+    the whole extent. Zones are copied to their neighbour cells; a cell of more than ``cell_rows`` waiting points is dealt to as
+    many salts as its count asks for. Points without a finite position and points in an empty zone table keep a null zone and distance;
+    repeated rows are repeated; zones without a finite position are never near.
     """
-    box = F.struct(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lng").alias("c"), F.max("lng").alias("d"))
-    zb = zones.agg(box.alias("z"), F.count(F.lit(1)).alias("n")).first()
-    pb = points.agg(box.alias("p")).first()["p"]
-    zc, n = zb["z"], max(int(zb["n"]), 1)
-    extent = max(max(zc["b"], pb["b"]) - min(zc["a"], pb["a"]), max(zc["d"], pb["d"]) - min(zc["c"], pb["c"]), 1e-12)
-    size = max(max(zc["b"] - zc["a"], zc["d"] - zc["c"]) / max(n ** 0.5, 1.0), extent * 1e-6)
+    names = [c for c in points.columns if c not in ("zone_id", "dist")]
+    own = cut_lineage(points.select(*names).withColumn("_row", F.monotonically_increasing_id()))
+    zones = zones.select("zone_id", F.col("lat").alias("_zlat"), F.col("lng").alias("_zlng")).where(_finite("_zlat") & _finite("_zlng"))
+    places = own.where(_finite("lat") & _finite("lng")).select("_row", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
+    zb = zones.agg(F.min("_zlat"), F.max("_zlat"), F.min("_zlng"), F.max("_zlng"), F.count(F.lit(1))).first()
+    pb = places.agg(F.min("_lat"), F.max("_lat"), F.min("_lng"), F.max("_lng")).first()
+    if zb[4] == 0 or pb[0] is None:
+        return own.select(*names, F.lit(None).cast(zones.schema["zone_id"].dataType).alias("zone_id"), F.lit(None).cast("double").alias("dist"))
+    extent = max(max(zb[1], pb[1]) - min(zb[0], pb[0]), max(zb[3], pb[3]) - min(zb[2], pb[2]), 1e-12)
+    size = max(max(zb[1] - zb[0], zb[3] - zb[2]) / zb[4] ** 0.5, extent * 1e-6)
     offsets = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    pending, settled = points, None
+    pending, settled = places, None
     while True:
         last = size >= extent
+        keyed = pending.withColumns({"_cy": F.floor(F.col("_lat") / size), "_cx": F.floor(F.col("_lng") / size)})
+        shares = keyed.groupBy("_cy", "_cx").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("_salts"))
         cells = (
-            zones.select("zone_id", F.col("lat").alias("_zlat"), F.col("lng").alias("_zlng"),
-                         F.floor(F.col("lat") / size).alias("_gy"), F.floor(F.col("lng") / size).alias("_gx"))
+            zones.withColumns({"_gy": F.floor(F.col("_zlat") / size), "_gx": F.floor(F.col("_zlng") / size)})
             .withColumn("_dy", F.explode(offsets)).withColumn("_dx", F.explode(offsets))
-            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            .select("zone_id", "_zlat", "_zlng", (F.col("_gy") + F.col("_dy")).alias("_cy"),
-                    (F.col("_gx") + F.col("_dx")).alias("_cx"), "_salt"))
-        keyed = pending.select(
-            "*", F.floor(F.col("lat") / size).alias("_cy"), F.floor(F.col("lng") / size).alias("_cx"),
-            F.pmod(F.xxhash64("point_id"), F.lit(salts)).cast("int").alias("_salt"))
-        dist = planar_distance(F.col("lat"), F.col("lng"), F.col("_zlat"), F.col("_zlng"))
-        best = (keyed.join(cells, ["_cy", "_cx", "_salt"], "left")
-                .groupBy(*points.columns)
-                .agg(F.min(F.when(F.col("zone_id").isNotNull(), F.struct(dist.alias("dist"), "zone_id"))).alias("_best")))
-        best = cut_lineage(best)
-        done = best.where(F.col("_best").isNotNull() & ((F.col("_best.dist") <= size) | F.lit(last)))
-        done = done.select(*points.columns, "_best.zone_id", "_best.dist")
+            .select("zone_id", "_zlat", "_zlng", (F.col("_gy") + F.col("_dy")).alias("_cy"), (F.col("_gx") + F.col("_dx")).alias("_cx"))
+            .join(shares, ["_cy", "_cx"]).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts"))
+        salted = keyed.join(shares, ["_cy", "_cx"]).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts"))).drop("_salts")
+        dist = planar_distance(F.col("_lat"), F.col("_lng"), F.col("_zlat"), F.col("_zlng"))
+        best = cut_lineage(
+            salted.join(cells, ["_cy", "_cx", "_salt"], "left").groupBy("_row", "_lat", "_lng")
+            .agg(F.min(F.when(F.col("zone_id").isNotNull(), F.struct(dist.alias("dist"), "zone_id"))).alias("_best")))
+        near = F.col("_best").isNotNull() & ((F.col("_best.dist") <= size) | F.lit(last))
+        done = best.where(near).select("_row", "_best.zone_id", "_best.dist")
         settled = done if settled is None else settled.unionByName(done)
-        pending = best.where(F.col("_best").isNull() | ((F.col("_best.dist") > size) & ~F.lit(last))).select(*points.columns)
+        pending = best.where(~near).select("_row", "_lat", "_lng")
         if last or pending.isEmpty():
-            return settled
-        size *= 2
+            return own.join(settled, "_row", "left").select(*names, "zone_id", "dist")
+        size *= 4
 
 
 def dense_index(df: DataFrame, bucket: Column, order: Sequence[str | Column], name: str = "idx") -> DataFrame:
@@ -113,8 +98,3 @@ def dense_index(df: DataFrame, bucket: Column, order: Sequence[str | Column], na
     ranked = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
     return (lookup(ranked, shifts, "_bucket", "inner")
             .withColumn(name, F.col("_rn") - 1 + F.col("_shift")).drop("_bucket", "_rn", "_shift"))
-
-
-def explode_variants(df: DataFrame, name: str, values: Sequence) -> DataFrame:
-    """One copy of each row per variant value (rows x variants is the wanted result)."""
-    return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))

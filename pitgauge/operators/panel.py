@@ -15,11 +15,15 @@ def fill_daily_gaps(daily: DataFrame, keys: Sequence[str], day: str, start: Colu
                     defaults: Mapping[str, object]) -> DataFrame:
     """One row per series and day between ``start`` and ``end``; absent days take ``defaults``.
 
+    Both bounds are parameters of the result: rows outside them (or without a day) are left out before
+    anything is filled, so a day comes once and never before ``start``. A series without a row inside has none.
+
     Each row also emits the empty days up to its successor, so no calendar grid is joined:
     one exchange by series, and the result stays partitioned by series for later windows. The
     exchange keeps the session's partition count: it is small, and merging its partitions would
     run the windows that follow (and scenarios exploded after it) in few tasks.
     """
+    daily = daily.where((F.col(day) >= start) & (F.col(day) <= end))
     daily = daily.repartition(int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     w = Window.partitionBy(*keys).orderBy(day)
     spans = daily.select(

@@ -39,16 +39,6 @@ def distribution(series: DataFrame, value: str = "value", by: Sequence[str] = ("
         F.stddev_pop(v).alias("std_value"))
 
 
-def distribution_sketched(df: DataFrame, value: str, by: Sequence[str], accuracy: int = 10000) -> DataFrame:
-    """The approximate, constant-memory variant for pools without a calendar bound."""
-    v = F.col(value)
-    q = F.percentile_approx(v, [0.5, 0.9, 0.95, 0.99], accuracy)
-    return df.groupBy(*by).agg(F.count(v).alias("n"), q.alias("_q"), F.max(v).alias("max_value"),
-                               F.avg(v).alias("mean_value"), F.stddev_pop(v).alias("std_value")).select(
-        *by, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(["p50", "p90", "p95", "p99"])],
-        "max_value", "mean_value", "std_value")
-
-
 def rolling_totals(series: DataFrame, windows: Sequence[int] = (1, 3, 7), by: Sequence[str] = ("station_id",)) -> DataFrame:
     ws = Window.partitionBy(*by).orderBy("day")
     return series.select("*", *[full_frame_sum("value", n, ws).alias(f"sum_{n}d") for n in windows])

@@ -21,16 +21,17 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     cuts are counted (both combined map-side), and the piece with the rank remains. Then only
     the rows of the remaining intervals are shuffled, counted by value and ranked. Pieces of a
     single repeated value are answered at once, so a value held by a third of all rows is no
-    obstacle. The interval table has two rows per group and probability.
+    obstacle. The interval table has two rows per group and probability. Nulls are left out; NaN is the
+    largest value, as in ``percentile``. The narrow projection is written once, so what computes ``df`` runs once.
     """
     by = list(by)
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    rows = cut_lineage(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")))
     spots = F.array(*[
         F.struct(F.lit(float(p)).alias("prob"), F.lit(side).alias("side"), fn(F.lit(float(p)) * (F.col("_size") - 1).cast("double")).alias("rank"))
         for p in probs for side, fn in (("a", F.floor), ("b", F.ceil))])
     totals = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).where("_size > 0")
     targets = totals.select("*", F.col("_size").alias("_n"), F.inline(spots)).withColumns({
-        "lo": F.lit(float("-inf")), "hi": F.lit(float("inf")), "before": F.lit(0).cast("long"), "answer": F.lit(None).cast("double")})
+        "lo": F.lit(float("-inf")), "hi": F.lit(float("nan")), "before": F.lit(0).cast("long"), "answer": F.lit(None).cast("double")})
     targets = cut_lineage(targets)
     while not targets.where((F.col("_size") > task_rows) & F.col("answer").isNull()).isEmpty():
         targets = cut_lineage(_narrow(rows, targets, by, splits))
@@ -50,7 +51,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
         F.max("_n").alias("_n"), F.max(F.when(F.col("side") == "a", F.col("answer"))).alias("_a"),
         F.max(F.when(F.col("side") == "b", F.col("answer"))).alias("_b"))
     exact = F.col("prob") * (F.col("_n") - 1).cast("double")
-    return pairs.select(*by, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * (exact - F.floor(exact))).alias("quantile"))
+    between = F.col("_a") + (F.col("_b") - F.col("_a")) * (exact - F.floor(exact))
+    return pairs.select(*by, "prob", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(between).alias("quantile"))
 
 
 def _inside(rows: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pitgauge.plans.registry import R, query, rounded
 from pitgauge.plans.score_plans import _DECT
 from pitgauge.plans.sql import band, trend
 from pitgauge.schemas import EVENTS_SCHEMA
-from pitgauge.sources.readers import reading_stream
+from pitgauge.sources.readers import table_stream
 from pitgauge.streaming import live as L
 
 ORDER = ["micros", "event_id"]
@@ -18,7 +18,7 @@ _SCORED = """sc AS (SELECT event_id, user_id AS zone_id, epoch_us(ts) AS micros,
 
 def scored_readings(spark, folder):
     """Each reading scored on arrival, without state."""
-    ev = reading_stream(spark, folder, EVENTS_SCHEMA, pathGlobFilter="events.parquet")
+    ev = table_stream(spark, folder, "events", EVENTS_SCHEMA)
     kind = F.col("event_type")
     bonus = F.when(kind == "error", 40.0).when(kind == "purchase", 20.0).otherwise(0.0)
     return ev.select("event_id", F.col("user_id").alias("zone_id"), F.col("ts").cast("timestamp").alias("event_time"),
@@ -52,11 +52,8 @@ def stream_trend_state(spark, folder):
 @query("stream_alerts", f"""WITH {_SCORED}, {_DECT}, h AS (SELECT DISTINCT zone_id, {band('score')} AS band FROM sc WHERE score >= 75)
 SELECT zone_id, h.band, replace(message, '{{zone}}', 'Zone ' || zone_id) AS summary, action FROM h JOIN dec ON dec.band = h.band AND pos = 0""")
 def stream_alerts(spark, folder):
-    """One alert per zone and band (the watermark spans the whole replay)."""
-    path = L.new_run_path(spark, "alerts")
-    out = L.VersionedTable(spark, f"{path}/out")
-    L.run_available(L.alert_stream(scored_readings(spark, folder), "event_time", "400 days"), out.write, f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/out").drop("v")
+    """One alert per zone and band."""
+    return L.alerts(scored_readings(spark, folder), L.new_run_path(spark, "alerts")).latest()
 
 
 @query("stream_board", f"""WITH {_SCORED}, l AS (SELECT zone_id, score, {band('score')} AS band FROM sc QUALIFY row_number() OVER (PARTITION BY zone_id ORDER BY micros DESC, event_id DESC) = 1)
@@ -64,13 +61,12 @@ SELECT count(*) FILTER (WHERE band = 'Critical') AS n_critical, count(*) FILTER
  count(*) AS n_zones, CAST(floor(avg(floor(score / 100e0 * 100e0 + 0.5)) + 0.5) AS BIGINT) AS confidence_pct, CAST(0 AS BIGINT) AS people_in_hazard,
  CASE WHEN count(*) FILTER (WHERE band = 'Critical') > 0 THEN 'CRITICAL_ALERT' WHEN count(*) FILTER (WHERE band = 'High') > 0 THEN 'HIGH_ALERT' ELSE 'NORMAL_OPERATIONS' END AS status FROM l""")
 def stream_board(spark, folder):
-    return L.board_per_batch(scored_readings(spark, folder).drop("event_time"), L.new_run_path(spark, "board"), ORDER).latest()
+    return L.board_per_batch(scored_readings(spark, folder).drop("event_time"), L.new_run_path(spark, "board"), ORDER)()
 
 
 @query("stream_daily_rollup", f"WITH {_SCORED} SELECT zone_id, day, count(*) AS n, {R('avg(score)', 6, 'mean_score')}, {R('max(score)', 6, 'max_score')} FROM sc GROUP BY 1, 2")
 def stream_daily_rollup(spark, folder):
-    """Readings per zone and day with a two-day watermark."""
-    aggs = {"n": F.count(F.lit(1)), "mean_score": F.avg("score"), "max_score": F.max("score")}
-    days = L.daily_rollup(scored_readings(spark, folder), "event_time", "2 days", aggs)
-    t = L.merge_updates(days, L.new_run_path(spark, "days"), ["zone_id", "day"]).latest()
+    """Readings per zone and day, whatever the order of files."""
+    days, _ = L.daily_rollup(scored_readings(spark, folder), "event_time", L.new_run_path(spark, "days"))
+    t = days.latest().select("zone_id", "day", "n", (F.col("total") / F.col("n")).alias("mean_score"), F.col("top").alias("max_score"))
     return rounded(t, ["zone_id", "day", "n"], ["mean_score", "max_score"], 6)

@@ -29,14 +29,16 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A private folder is made only where the session names none, which is the
-    case in tests; on a cluster the setting has to be a path every executor sees.
+    A private folder is made only for a local master, which is the case in tests; on a cluster the
+    setting has to be a path that every executor sees, and a session without it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         current = spark.sparkContext.getCheckpointDir()
         configured = current.rsplit("/", 1)[0] if current else None
     if not configured:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="pitgauge-")
         spark.sparkContext.setCheckpointDir(configured)
     elif spark.sparkContext.getCheckpointDir() is None:

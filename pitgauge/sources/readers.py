@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitgauge.schemas import DAILY_SERIES_SCHEMA, GRID_SCHEMA, RASTER_SCHEMA, TABLE_SCHEMAS
+from pitgauge.schemas import DAILY_SERIES_SCHEMA, GRID_SCHEMA, TABLE_SCHEMAS
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,10 +42,6 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType([*GRID_SCHEMA.fields, T.StructField("year", T.IntegerType())])).parquet(path)
 
 
-def read_raster(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RASTER_SCHEMA).parquet(path)
-
-
 def raster_box(cells: DataFrame, west: float, south: float, east: float, north: float,
                lon: str = "lon", lat: str = "lat") -> DataFrame:
     return cells.where(F.col(lon).between(west, east) & F.col(lat).between(south, north))
@@ -92,3 +88,12 @@ def latest_states(panel: DataFrame, seed: int | None = None, zone: str = "zone_i
 def reading_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", **options) -> DataFrame:
     """Live readings as files appear; other sources need only another ``fmt`` and options."""
     return spark.readStream.schema(schema).format(fmt).options(**options).load(path)
+
+
+def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_trigger: int = 1000) -> DataFrame:
+    """A table of the folder as a stream of its part files; a table that is a single file is found by its name."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop_path).isDirectory()
+    options = {"maxFilesPerTrigger": str(files_per_trigger)} | ({} if whole else {"pathGlobFilter": f"{name}.parquet"})
+    return reading_stream(spark, path if whole else folder, schema, **options)

@@ -1,25 +1,26 @@
 """Structured Streaming jobs over live readings: latest state, trend, alerts, board, daily roll-up.
 
-State tables are written below the shared folder, one version per micro-batch: batch n reads
-version n-1 and writes version n, so a replayed batch rewrites the same version and the result
-does not depend on which executors survive.
+State tables are written below the shared folder in buckets of their key. Batch n reads what older batches left of the buckets it
+touches and writes these buckets anew as version n, so a replayed batch rewrites the same files, untouched buckets cost nothing,
+and the result does not depend on which executors survive. Of each bucket the last two versions are kept.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pitgauge.functions import scoring as S
 from pitgauge.operators import boards as B
 from pitgauge.operators.windows import trend_of_last3
 from pitgauge.schemas import decisions
-from pitgauge.session import scratch_path
+from pitgauge.session import cut_lineage, scratch_path
 
 HISTORY = 12
 
@@ -32,48 +33,83 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
 
 
 class VersionedTable:
-    """A small table kept as one folder per micro-batch under a shared path."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        found = []
-        for s in fs.listStatus(root):
-            name = s.getPath().getName()
-            done = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
-            if name.startswith("v=") and fs.exists(done):
-                found.append(int(name[2:]))
-        return sorted(found)
-
-    def before(self, version: int) -> DataFrame | None:
-        """The newest complete version older than ``version``."""
-        older = [v for v in self._versions() if v < version]
-        return self.spark.read.parquet(f"{self.path}/v={older[-1]}") if older else None
+    """A keyed state table below a shared path: ``v=<batch>/b=<bucket>``, the newest version of each bucket being current."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], schema: T.StructType | None = None, buckets: int = 16):
+        self.spark, self.path, self.keys, self.schema, self.buckets = spark, path.rstrip("/"), list(keys), schema, buckets
+
+    def _fs(self):
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return root, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> dict[int, list[int]]:
+        """Complete versions by bucket, from the oldest."""
+        root, fs = self._fs()
+        found: dict[int, list[int]] = {}
+        for s in fs.listStatus(root) if fs.exists(root) else []:
+            names = {f.getPath().getName() for f in fs.listStatus(s.getPath())} if s.isDirectory() else set()
+            if "_SUCCESS" in names:
+                for n in names:
+                    if n.startswith("b="):
+                        found.setdefault(int(n[2:]), []).append(int(s.getPath().getName()[2:]))
+        return {b: sorted(v) for b, v in found.items()}
+
+    def _read(self, newest: dict[int, int]) -> DataFrame:
+        if not newest:
+            return self.spark.createDataFrame([], self.schema)
+        reader = self.spark.read if self.schema is None else self.spark.read.schema(self.schema)
+        return reader.parquet(*[f"{self.path}/v={v}/b={b}" for b, v in sorted(newest.items())])
+
+    def bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("b", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def before(self, version: int, touched: Sequence[int] | None = None) -> DataFrame | None:
+        """What batches before ``version`` left, of the touched buckets or of all."""
+        older = {b: [v for v in vs if v < version] for b, vs in self._versions().items() if touched is None or b in touched}
+        newest = {b: vs[-1] for b, vs in older.items() if vs}
+        return self._read(newest) if newest else None
 
     def latest(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={self._versions()[-1]}")
+        """The current state; empty before the first batch."""
+        return self._read({b: vs[-1] for b, vs in self._versions().items()})
+
+    def merge(self, new: DataFrame, version: int, combine: Callable[[DataFrame], DataFrame]) -> None:
+        """``combine`` over the old rows and the new ones of the buckets that the batch touches, as version ``version``."""
+        if self.schema is None:
+            self.schema = new.schema
+        touched = [r["b"] for r in self.bucketed(new).select("b").distinct().collect()]
+        old = self.before(version, touched)
+        rows = combine(new if old is None else old.unionByName(new))
+        self.bucketed(rows).write.mode("overwrite").partitionBy("b").parquet(f"{self.path}/v={version}")
+        self._forget(version)
+
+    def _forget(self, version: int) -> None:
+        """Delete buckets that two newer complete versions replace, and versions that have none left."""
+        root, fs = self._fs()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        versions = self._versions()
+        for b, vs in versions.items():
+            for v in [v for v in vs if v < version][:-1]:
+                fs.delete(path(f"{self.path}/v={v}/b={b}"), True)
+        kept = {v for vs in self._versions().values() for v in vs}
+        for v in {v for vs in versions.values() for v in vs} - kept:
+            fs.delete(path(f"{self.path}/v={v}"), True)
+
+
+def newest_rows(order: Sequence[str], key: str = "zone_id") -> Callable[[DataFrame], DataFrame]:
+    """The latest row per key, by an aggregate that is combined map-side."""
+
+    def combine(rows: DataFrame) -> DataFrame:
+        packed = F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(*order))
+        return rows.groupBy(key).agg(packed.alias("s")).select(key, "s.*")
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+    return combine
 
 
 def latest_state(stream: DataFrame, path: str, order: list[str], key: str = "zone_id") -> VersionedTable:
-    """Score table with the latest reading per zone (upsert by aggregation, combined map-side)."""
-    table = VersionedTable(stream.sparkSession, f"{path}/latest")
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        old = table.before(batch_id)
-        rows = batch if old is None else old.unionByName(batch)
-        packed = F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(*order))
-        table.write(rows.groupBy(key).agg(packed.alias("s")).select(key, "s.*"), batch_id)
-
-    run_available(stream, upsert, f"{path}/latest-checkpoint")
+    """Score table with the latest reading per zone."""
+    table = VersionedTable(stream.sparkSession, f"{path}/latest", [key], T.StructType([stream.schema[key]] + [f for f in stream.schema if f.name != key]))
+    run_available(stream, lambda batch, n: table.merge(batch, n, newest_rows(order, key)), f"{path}/latest-checkpoint")
     return table
 
 
@@ -89,15 +125,9 @@ def last_scores(rows: DataFrame, order: list[str], n: int = HISTORY, key: str =
 
 def score_history(stream: DataFrame, path: str, order: list[str], key: str = "zone_id") -> VersionedTable:
     """The last twelve scores per zone, kept across micro-batches."""
-    table = VersionedTable(stream.sparkSession, f"{path}/history")
-    cols = [key, *order, "score"]
-
-    def update(batch: DataFrame, batch_id: int) -> None:
-        old = table.before(batch_id)
-        rows = batch.select(*cols) if old is None else old.unionByName(batch.select(*cols))
-        table.write(last_scores(rows, order, key=key), batch_id)
-
-    run_available(stream, update, f"{path}/history-checkpoint")
+    rows = stream.select(key, *order, "score")
+    table = VersionedTable(stream.sparkSession, f"{path}/history", [key], rows.schema)
+    run_available(rows, lambda batch, n: table.merge(batch, n, lambda both: last_scores(both, order, key=key)), f"{path}/history-checkpoint")
     return table
 
 
@@ -143,49 +173,66 @@ def trend_by_state(stream: DataFrame) -> DataFrame:
         _keep_newest, TREND_SCHEMA, "history string", "update", GroupStateTimeout.NoTimeout)
 
 
-def alert_stream(scored: DataFrame, event_time: str, delay: str = "1 day") -> DataFrame:
-    """High and Critical readings with the first decision, once per zone and band within the watermark."""
-    first = decisions(scored.sparkSession).where("pos = 0").select("band", "message", "action")
-    hot = scored.withColumn("band", S.score_band("score")).where(F.col("band").isin("High", "Critical"))
-    once = hot.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["zone_id", "band"])
-    named = F.concat(F.lit("Zone "), F.col("zone_id").cast("string"))
-    return once.join(first, "band").select("zone_id", "band", F.replace("message", F.lit("{zone}"), named).alias("summary"), "action")
+def alerts(scored: DataFrame, path: str, key: str = "zone_id") -> VersionedTable:
+    """High and Critical readings with the first decision, once per zone and band however long the stream runs.
 
+    The state is the alerts raised so far, at most one row per zone and band; it needs no watermark.
+    """
+    spark = scored.sparkSession
+    first = decisions(spark).where("pos = 0").select("band", "message", "action")
+    named = F.concat(F.lit("Zone "), F.col(key).cast("string"))
 
-def board_per_batch(stream: DataFrame, path: str, order: list[str]) -> VersionedTable:
-    """Board counters over the latest state, refreshed with every micro-batch."""
-    spark = stream.sparkSession
-    state, board = VersionedTable(spark, f"{path}/board-state"), VersionedTable(spark, f"{path}/board")
+    def raised(batch: DataFrame) -> DataFrame:
+        hot = batch.withColumn("band", S.score_band("score")).where(F.col("band").isin("High", "Critical")).select(key, "band").distinct()
+        return hot.join(first, "band").select(key, "band", F.replace("message", F.lit("{zone}"), named).alias("summary"), "action")
+
+    table = VersionedTable(spark, f"{path}/alerts", [key], raised(scored).schema)
+    run_available(scored, lambda batch, n: table.merge(raised(batch), n, lambda both: both.distinct()), f"{path}/alerts-checkpoint")
+    return table
+
+
+def board_per_batch(stream: DataFrame, path: str, order: list[str]) -> Callable[[], DataFrame]:
+    """Board counters over the latest state: kept per bucket-merged batch, counted when asked."""
+    state = latest_state(stream, f"{path}/board", order)
+    return lambda: B.risk_board(state.latest().withColumns({"band": S.score_band("score"), "confidence": F.col("score") / 100.0}))
 
-    def refresh(batch: DataFrame, batch_id: int) -> None:
-        old = state.before(batch_id)
-        rows = batch if old is None else old.unionByName(batch)
-        packed = F.max_by(F.struct(*[c for c in rows.columns if c != "zone_id"]), F.struct(*order))
-        state.write(rows.groupBy("zone_id").agg(packed.alias("s")).select("zone_id", "s.*"), batch_id)
-        current = state.latest().withColumns({"band": S.score_band("score"), "confidence": F.col("score") / 100.0})
-        board.write(B.risk_board(current), batch_id)
 
-    run_available(stream, refresh, f"{path}/board-checkpoint")
-    return board
+def daily_rollup(stream: DataFrame, event_time: str, path: str, value: str = "score", late_after: str = "2 days") -> tuple[VersionedTable, VersionedTable]:
+    """Readings per zone and day as (n, total, top), and a side table of late readings.
+
+    The parts add up, so the order of files doesn't matter and no reading is lost: one that comes ``late_after`` or more behind
+    the newest day of earlier batches is counted in its day and also noted per zone, day and batch in the side table.
+    """
+    spark = stream.sparkSession
+    rows = stream.select("zone_id", F.to_date(event_time).alias("day"), F.col(value).alias("_v"))
+    add = {"n": F.sum("n"), "total": F.sum("total"), "top": F.max("top")}
+    once = lambda df: df.groupBy("zone_id", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("total"), F.max("_v").alias("top"))
+    days = VersionedTable(spark, f"{path}/days", ["zone_id", "day"], once(rows).schema)
+    late = VersionedTable(spark, f"{path}/late", ["zone_id", "day"], T.StructType([*once(rows).schema.fields[:3], T.StructField("batch_id", T.LongType())]))
 
+    def update(batch: DataFrame, n: int) -> None:
+        part = cut_lineage(once(batch))
+        seen = days.before(n)
+        if seen is not None:
+            newest = seen.agg(F.max("day")).first()[0]
+            behind = part.where(F.col("day") <= F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {late_after}"))
+            late.merge(behind.select("zone_id", "day", "n", F.lit(n).cast("long").alias("batch_id")), n, lambda both: both.distinct())
+        days.merge(part, n, lambda both: both.groupBy("zone_id", "day").agg(*[c.alias(k) for k, c in add.items()]))
 
-def daily_rollup(stream: DataFrame, event_time: str, delay: str, aggs: dict[str, Column]) -> DataFrame:
-    """Readings per zone and day; later than the watermark means dropped (and counted by Spark)."""
-    days = stream.withWatermark(event_time, delay).groupBy("zone_id", F.window(event_time, "1 day").alias("w"))
-    return days.agg(*[c.alias(n) for n, c in aggs.items()]).select("zone_id", F.to_date("w.start").alias("day"), *aggs)
+    run_available(rows, update, f"{path}/days-checkpoint")
+    return days, late
 
 
 def merge_updates(stream: DataFrame, path: str, keys: list[str]) -> VersionedTable:
     """Update-mode output kept as a table: per key the values of the newest micro-batch."""
-    table = VersionedTable(stream.sparkSession, f"{path}/merged")
+    schema = T.StructType([*[stream.schema[k] for k in keys], *[f for f in stream.schema if f.name not in keys], T.StructField("batch_id", T.LongType())])
+    table = VersionedTable(stream.sparkSession, f"{path}/merged", keys, schema)
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        new, old = batch.withColumn("batch_id", F.lit(batch_id).cast("long")), table.before(batch_id)
-        rows = new if old is None else old.unionByName(new)
+    def newest(rows: DataFrame) -> DataFrame:
         packed = F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), F.col("batch_id"))
-        table.write(rows.groupBy(*keys).agg(packed.alias("s")).select(*keys, "s.*"), batch_id)
+        return rows.groupBy(*keys).agg(packed.alias("s")).select(*keys, "s.*")
 
-    run_available(stream, upsert, f"{path}/merged-checkpoint", "update")
+    run_available(stream, lambda batch, n: table.merge(batch.withColumn("batch_id", F.lit(n).cast("long")), n, newest), f"{path}/merged-checkpoint", "update")
     return table
 
 

@@ -37,8 +37,50 @@ def test_nearest_zone_search_agrees_with_brute_force(spark):
     zs = [(i, rng.random() * 10, rng.random() * 50) for i in range(60)]
     p, z = spark.createDataFrame(pts, "point_id long, lat double, lng double"), spark.createDataFrame(zs, "zone_id long, lat double, lng double")
     want = {i: min(zs, key=lambda s: (np.sqrt((a - s[1]) ** 2 + (b - s[2]) ** 2), s[0]))[0] for i, a, b in pts}
-    for limit in (1000, 5):
-        assert {r.point_id: r.zone_id for r in nearest_zone(p, z, max_inline=limit).collect()} == want
+    for rows in (50_000, 7):
+        assert {r.point_id: r.zone_id for r in nearest_zone(p, z, cell_rows=rows).collect()} == want
+
+
+def test_nearest_zone_loses_no_row(spark):
+    nan, inf = float("nan"), float("inf")
+    pts = [(1, 0.0, 0.0), (1, 0.0, 0.0), (2, None, 1.0), (3, nan, 1.0), (4, 5.0, inf), (None, 1.0, 1.0), (5, 9.0, 9.0)]
+    p = spark.createDataFrame(pts, "point_id long, lat double, lng double")
+    z = spark.createDataFrame([(7, 0.0, 1.0), (6, 1.0, 0.0), (8, 9.0, 9.5), (9, nan, 0.0), (5, None, None)], "zone_id long, lat double, lng double")
+    got = sorted(((r.point_id or 0, r.zone_id or 0, -1 if r.dist is None else r.dist) for r in nearest_zone(p, z).collect()))
+    assert got == [(0, 6, 1.0), (1, 6, 1.0), (1, 6, 1.0), (2, 0, -1), (3, 0, -1), (4, 0, -1), (5, 8, 0.5)]
+    assert [r.zone_id for r in nearest_zone(p, z.limit(0)).collect()] == [None] * 7
+    assert nearest_zone(p.limit(0), z).count() == 0
+
+
+def test_quantiles_with_nan_and_infinities_equal_percentile(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", v) for v in (1.0, 2.0, 3.0, 4.0, 5.0, nan)] + [("b", v) for v in (inf, inf, 1.0, -inf, None)] + [("c", nan), ("c", nan), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.4, 0.5, 0.8, 1.0]
+    want = {(r.g, p): r.q[i] for r in df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect() if r.q for i, p in enumerate(probs)}
+    for task_rows in (1000, 2):
+        got = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, "v", probs, ["g"], task_rows=task_rows).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == want[k] or (np.isnan(got[k]) and np.isnan(want[k])) for k in want), (got, want)
+
+
+def test_rows_outside_the_panel_are_left_out(spark):
+    from pitgauge.operators.panel import fill_daily_gaps
+
+    days = ["2023-12-20", "2023-12-29", "2024-01-02", "2024-01-01", "2024-01-04", "2024-02-01", None]
+    df = spark.createDataFrame([("s", d, float(i)) for i, d in enumerate(days)] + [("t", "2023-12-31", 9.0)], "k string, d string, v double").select("k", F.to_date("d").alias("day"), "v")
+    got = fill_daily_gaps(df, ["k"], "day", F.lit("2024-01-01").cast("date"), F.lit("2024-01-05").cast("date"), {"v": 0.0})
+    assert sorted((r.k, str(r.day), r.v) for r in got.collect()) == [("s", "2024-01-01", 3.0), ("s", "2024-01-02", 2.0), ("s", "2024-01-03", 0.0), ("s", "2024-01-04", 4.0), ("s", "2024-01-05", 0.0)]
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    import types
+
+    from pitgauge import session
+
+    fake = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *a: None), sparkContext=types.SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(fake)
 
 
 def test_dense_index_has_no_gaps(spark):
@@ -165,31 +207,31 @@ def test_raster_uses_one_exchange(spark):
 
 # ---------------------------------------------------------------- routing
 def _graph(spark):
-    nodes = spark.createDataFrame([(n,) for n in "ABCDE"], "node string")
-    roads = spark.createDataFrame([(1, "A", "B", 1.0), (2, "B", "C", 1.0), (3, "A", "D", 1.5), (4, "D", "C", 1.5), (5, "A", "X", 1.0), (6, "B", "D", -1.0)],
+    """Three ways from gate to plant: short and steep, level at the same risk-free cost twice (a tie), and a detour."""
+    nodes = spark.createDataFrame([(n,) for n in ("gate", "cut", "ramp", "rim", "yard", "plant", "shed")], "node string")
+    roads = spark.createDataFrame([(11, "gate", "cut", 40.0), (12, "cut", "plant", 35.0), (13, "gate", "ramp", 50.0), (14, "ramp", "plant", 52.0), (15, "gate", "rim", 50.0),
+                                   (16, "rim", "plant", 52.0), (17, "gate", "yard", 90.0), (18, "yard", "plant", 95.0), (19, "gate", "moon", 5.0), (20, "cut", "ramp", -3.0)],
                                   "road_id int, src string, dst string, length double").withColumn("adjacent", F.lit(None).cast("array<string>"))
-    risk = spark.createDataFrame([("A", 0.0), ("B", 90.0), ("C", 0.0), ("D", 10.0), ("E", 0.0)], "node string, risk double")
+    risk = spark.createDataFrame([("gate", 5.0), ("cut", 80.0), ("ramp", 20.0), ("rim", 20.0), ("yard", 0.0), ("plant", 0.0), ("shed", 0.0)], "node string, risk double")
     return nodes, roads, risk
 
 
 @pytest.mark.parametrize("hot", [10_000, 1])
-def test_routes_of_the_two_way_graph(spark, hot):
+def test_routes_around_a_risk(spark, hot):
     nodes, roads, risk = _graph(spark)
     edges = RT.with_worst_risk(RT.build_edges(nodes, roads), risk)
-    req = spark.createDataFrame([("A", "C"), ("A", "E"), ("A", "Q")], "src string, dst string")
-    costs = {"length": F.col("length"), "risk": S.edge_cost("length", "worst", F.lit(0.01))}
+    req = spark.createDataFrame([("gate", "plant"), ("gate", "shed"), ("gate", "quay")], "src string, dst string")
+    costs = {"length": F.col("length"), "risk": S.edge_cost("length", "worst", F.lit(0.02))}
     rt = RT.cheapest_paths(edges, req, costs, hot_degree=hot)
-    c = RT.compare_routes(rt, RT.exposure(rt, edges, risk)).collect()
-    assert len(c) == 1
-    r = c[0]
-    assert (r.base_path, r.base_cost, r.base_max_risk) == (["A", "B", "C"], 2.0, 90.0)
-    assert (r.aware_path, r.aware_max_risk, r.avoided) == (["A", "D", "C"], 10.0, ["B"]) and r.aware_cost == pytest.approx(3.3)
-    assert r.distance_delta == pytest.approx(1.3) and r.risk_reduction_pct == 89
-    assert {(u.dst, u.reason) for u in RT.unreachable(req, nodes, rt).collect()} == {("E", "no route"), ("Q", "unknown endpoint")}
-    assert {(u.road_id, u.reason) for u in RT.road_rejects(nodes, roads).collect()} == {(5, "unknown endpoint"), (6, "invalid length")}
+    r, = RT.compare_routes(rt, RT.exposure(rt, edges, risk)).collect()
+    assert (r.base_path, r.base_cost, r.base_max_risk) == (["gate", "cut", "plant"], 75.0, 80.0)
+    want = (50 + 52) * (1 + 0.02 * 20)
+    assert r.aware_path in (["gate", "ramp", "plant"], ["gate", "rim", "plant"]) and r.aware_max_risk == 20.0 and r.avoided == ["cut"] and r.aware_cost == pytest.approx(want)
+    assert {(u.dst, u.reason) for u in RT.unreachable(req, nodes, rt).collect()} == {("shed", "no route"), ("quay", "unknown endpoint")}
+    assert {(u.road_id, u.reason) for u in RT.road_rejects(nodes, roads).collect()} == {(19, "unknown endpoint"), (20, "invalid length")}
 
 
 def test_missing_risk_is_reported(spark):
     nodes, roads, risk = _graph(spark)
-    edges = RT.with_worst_risk(RT.build_edges(nodes, roads), risk.where("node <> 'B'"))
-    assert {(r.src, r.dst) for r in RT.edges_without_risk(edges).collect()} == {("A", "B"), ("B", "A"), ("B", "C"), ("C", "B")}
+    edges = RT.with_worst_risk(RT.build_edges(nodes, roads), risk.where("node <> 'cut'"))
+    assert {(r.src, r.dst) for r in RT.edges_without_risk(edges).collect()} == {("gate", "cut"), ("cut", "gate"), ("cut", "plant"), ("plant", "cut")}
