@@ -272,14 +272,14 @@ def nearest_zone_query(spark, folder):
     return rounded(nearest_zone(pts, A.label_centres(spark, folder)), ["point_id", "zone_id"], ["dist"], 6)
 
 
-@query("nearest_zone_many", f"""WITH z AS (SELECT p_partkey AS zone_id, p_retailprice AS zlat, CAST(p_size AS DOUBLE) AS zlng FROM part),
- p AS (SELECT l_orderkey, l_linenumber, 900e0 + l_extendedprice % 1100e0 AS lat, CAST(l_quantity AS DOUBLE) AS lng FROM lineitem),
+@query("nearest_zone_many", f"""WITH z AS (SELECT p_partkey AS zone_id, (p_partkey % 200) * 1e0 AS zlat, CAST(p_size AS DOUBLE) AS zlng FROM part),
+ p AS (SELECT l_orderkey, l_linenumber, l_extendedprice % 200e0 AS lat, CAST(l_quantity AS DOUBLE) AS lng FROM lineitem),
  u AS (SELECT DISTINCT lat, lng FROM p), b AS (SELECT lat, lng, min({{'d': sqrt(pow(lat - zlat, 2) + pow(lng - zlng, 2)), 'z': zone_id}}) AS m FROM u, z GROUP BY 1, 2)
 SELECT l_orderkey, l_linenumber, m.z AS zone_id, {R('m.d', 6, 'dist')} FROM p JOIN b USING (lat, lng)""")
 def nearest_zone_many(spark, folder):
     """Every order line against a zone table of all parts: price and quantity as positions."""
-    zones_of = RD.table(spark, folder, "part").select(F.col("p_partkey").alias("zone_id"), F.col("p_retailprice").alias("lat"), F.col("p_size").cast("double").alias("lng"))
-    lines = RD.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", (900.0 + F.col("l_extendedprice") % 1100.0).alias("lat"), F.col("l_quantity").cast("double").alias("lng"))
+    zones_of = RD.table(spark, folder, "part").select(F.col("p_partkey").alias("zone_id"), (F.col("p_partkey") % 200).cast("double").alias("lat"), F.col("p_size").cast("double").alias("lng"))
+    lines = RD.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") % 200.0).alias("lat"), F.col("l_quantity").cast("double").alias("lng"))
     return rounded(nearest_zone(lines, zones_of), ["l_orderkey", "l_linenumber", "zone_id"], ["dist"], 6)
 
 
