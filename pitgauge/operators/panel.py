@@ -57,6 +57,15 @@ def column_differences(df: DataFrame, schema: T.StructType) -> tuple[list[str],
     return [c for c in expected if c not in have], [c for c in have if c not in expected]
 
 
+def column_presence(df: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """(column_name, status, n_values): present, missing or unexpected columns, counted in one aggregate."""
+    have = df.columns
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(have)])
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit("present" if c in expected else "unexpected").alias("status"), F.col(f"n{i}").alias("n_values")) for i, c in enumerate(have)]
+    rows += [F.struct(F.lit(c).alias("column_name"), F.lit("missing").alias("status"), F.lit(0).cast("long").alias("n_values")) for c in expected if c not in have]
+    return counts.select(F.inline(F.array(*rows)))
+
+
 def split_by_group(df: DataFrame, group: str, splits: Mapping[str, Sequence[int]]) -> DataFrame:
     """Label whole groups (worlds) as train / validation / test by membership."""
     out = None

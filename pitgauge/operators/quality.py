@@ -144,6 +144,12 @@ def stability_rules(fos: str = "fos", label: str = "risk_label", score: str = "i
             RowRule("score_bounds", F.col(score).between(0, 100))]
 
 
+def ordering_rules(dry: str = "fos_dry", wet: str = "fos_wet", cracked: str = "fos_cracked", blast: str = "fos_blast") -> list[RowRule]:
+    """Water, cracks and blasting never add stability."""
+    steps = [("wet_not_above_dry", wet, dry), ("cracked_not_above_wet", cracked, wet), ("blast_not_above_cracked", blast, cracked)]
+    return [RowRule(name, F.col(low) <= F.col(high) + 1e-9) for name, low, high in steps]
+
+
 def with_steps(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = SERIES) -> DataFrame:
     """Day-on-day change of columns as ``<name>_step`` (NULL at the head)."""
     ws = series_window(keys)
