@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitgauge.functions import scoring as S
 from pitgauge.operators import windows as W
 from pitgauge.operators.chain import recompute
-from pitgauge.operators.joins import measured
 from pitgauge.schemas import ENUMS
 
 BASELINE = "none"
-MAX_INLINE = 1000
 
 
 def template_windows(series: DataFrame, templates: DataFrame) -> DataFrame:
@@ -32,14 +30,15 @@ def template_profiles(series: DataFrame, templates: DataFrame) -> DataFrame:
     return hit.groupBy("template_id").agg(F.transform(packed, lambda x: x["value"]).alias("profile"))
 
 
-def check_kinds(scenarios: DataFrame) -> int:
-    """Unknown kinds fail before any data is touched; returns the number of scenarios."""
+def check_scenarios(scenarios: DataFrame, zones: DataFrame) -> None:
+    """Unknown kinds and zones fail before anything is run."""
     known = ENUMS["scenario_kind"]
-    bad = F.min(F.when(~F.col("kind").isin(known), F.col("kind"))).alias("bad")
-    found = scenarios.agg(bad, F.count(F.lit(1)).alias("n")).first()
-    if found["bad"] is not None:
-        raise ValueError(f"unknown scenario kind {found['bad']!r}; expected one of {known}")
-    return found["n"]
+    bad = scenarios.agg(F.min(F.when(~F.col("kind").isin(known), F.col("kind")))).first()[0]
+    if bad is not None:
+        raise ValueError(f"unknown scenario kind {bad!r}; expected one of {known}")
+    lost = scenarios.where(F.col("zone_id").isNotNull()).join(zones.select(F.col("_zone").alias("zone_id")), "zone_id", "left_anti").agg(F.min("zone_id")).first()[0]
+    if lost is not None:
+        raise ValueError(f"unknown zone {lost!r} in the scenario table")
 
 
 def overlay(s: Column, day: Column) -> Column:
@@ -69,43 +68,37 @@ def surged_ppv(s: Column, day: Column) -> Column:
 def expand(panel: DataFrame, scenarios: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """Panel rows repeated for every scenario that concerns their zone, as struct column ``s``.
 
-    Up to ``MAX_INLINE`` scenarios are one array exploded inside the row, so the panel keeps its
-    partitioning. A larger table is cut into numbered chunks of that size which are equi-joined.
+    Site-wide scenarios are first listed once per zone (a table of zones x scenarios, as many rows as there
+    are runs), so the panel meets its scenarios in one equi-join on the zone, for any number of either.
     """
-    n = check_kinds(scenarios)
+    zones = panel.select(F.col("zone_id").cast("string").alias("_zone")).distinct()
+    check_scenarios(scenarios, zones)
     if profiles is not None:
         scenarios = scenarios.join(profiles, "template_id", "left")
     else:
         scenarios = scenarios.withColumn("profile", F.lit(None).cast("array<double>"))
     fields = F.struct("scenario_id", "kind", "zone_id", "start_day", "duration_days", "params", "profile")
-    table = scenarios.select(fields.alias("s"))
-    if n <= MAX_INLINE:
-        every = panel.withColumn("_all", table.agg(F.collect_list("s")).scalar())
-    else:
-        chunks = -(-n // MAX_INLINE)
-        numbered = table.withColumn("_chunk", F.pmod(F.xxhash64("s.scenario_id"), F.lit(chunks)).cast("int"))
-        grouped = measured(numbered.groupBy("_chunk").agg(F.collect_list("s").alias("_all")))
-        every = (panel.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-                 .join(grouped, "_chunk").drop("_chunk"))
-    own = F.filter("_all", lambda s: s["zone_id"].isNull() | (s["zone_id"] == F.col("zone_id").cast("string")))
-    return every.withColumn("_all", own).select(*panel.columns, F.explode("_all").alias("s"))
+    table = scenarios.select(F.col("zone_id").alias("_own"), fields.alias("s"))
+    own = table.where(F.col("_own").isNotNull()).select(F.col("_own").alias("_zone"), "s")
+    everywhere = zones.join(table.where(F.col("_own").isNull()).select("s"), F.lit(True)).select("_zone", "s")
+    return panel.withColumn("_zone", F.col("zone_id").cast("string")).join(own.unionByName(everywhere), "_zone").drop("_zone")
 
 
 def run(panel: DataFrame, scenarios: DataFrame, profiles: DataFrame | None = None,
         keys: Sequence[str] = W.SERIES) -> DataFrame:
-    """All scenarios at once: overlay the drivers, recompute the chain, attach the baseline.
+    """All scenarios at once: overlay the drivers, recompute the chain, with the baseline beside it.
 
-    The baseline is one of the scenarios (kind ``none``); its values reach the others through a
-    window over (series, day), which needs no join because scenarios of a series share a task.
+    The baseline is the panel recomputed without any overlay, whether the table lists it or not. It is attached to the panel's
+    rows before they are repeated, so it reaches every run without a join. The repeated panel is exchanged once, by series
+    and scenario, so the runs of one zone are spread over tasks.
     """
     day = F.col("day_idx")
-    x = expand(panel, scenarios, profiles).withColumns({"scenario_id": F.col("s.scenario_id"), "kind_of_run": F.col("s.kind"),
+    base = {"base_fos": "fos", "base_score": "instability_score", "base_label": "risk_label"}
+    based = recompute(panel, keys).select(*panel.columns, *[F.col(c).alias(n) for n, c in base.items()])
+    x = expand(based, scenarios, profiles).withColumns({"scenario_id": F.col("s.scenario_id"), "kind_of_run": F.col("s.kind"),
                                                        "start_day": F.col("s.start_day"), "duration_days": F.col("s.duration_days")})
     x = x.withColumns({"rainfall_mm": F.col("rainfall_mm") + overlay(F.col("s"), day), "ppv": surged_ppv(F.col("s"), day)}).drop("s")
-    out = recompute(x, [*keys, "scenario_id"])
-    same_day = Window.partitionBy(*keys, "day_idx")
-    base = lambda c: F.max(F.when(F.col("kind_of_run") == BASELINE, F.col(c))).over(same_day)
-    return out.withColumns({"base_fos": base("fos"), "base_score": base("instability_score"), "base_label": base("risk_label")})
+    return recompute(x.repartition(*keys, "scenario_id"), [*keys, "scenario_id"])
 
 
 def summarize(runs: DataFrame, keys: Sequence[str] = W.SERIES) -> DataFrame:

@@ -47,9 +47,10 @@ sx AS (SELECT * EXCLUDE (s, r7), groundwater_proxy AS proxy, crack_severity AS s
   [40e0, 80e0, 200e0, 600e0][CAST(zone_id % 4 AS INTEGER) + 1] + groundwater_proxy AS pore_kpa, [300e0, 90e0, 60e0, 0e0][CAST(zone_id % 4 AS INTEGER) + 1] AS cohesion,
   [24e0, 32e0, 20e0, 20e0][CAST(zone_id % 4 AS INTEGER) + 1] AS phi, [20e0, 21.5e0, 13.5e0, 19e0][CAST(zone_id % 4 AS INTEGER) + 1] AS gamma, bench_h AS height, slope AS theta, slope AS face FROM damage),
 {_STAB.format(src='sx')},
-lab AS (SELECT *, round_even(least(greatest(100e0 * (2.5e0 - fos) / 2e0, 0e0), 100e0), 1) AS instability_score,
+lab AS MATERIALIZED (SELECT *, round_even(least(greatest(100e0 * (2.5e0 - fos) / 2e0, 0e0), 100e0), 1) AS instability_score,
   CASE WHEN fos < 0.8 THEN 'critical' WHEN fos < 1.0 THEN 'high' WHEN fos < 1.2 THEN 'moderate' WHEN fos < 1.5 THEN 'low' ELSE 'very_low' END AS risk_label FROM fs),
-runs AS (SELECT a.*, b.fos AS base_fos, b.instability_score AS base_score, b.risk_label AS base_label FROM lab a JOIN lab b ON a.seed = b.seed AND a.zone_id = b.zone_id AND a.day_idx = b.day_idx AND b.scenario_id = 'none'),
+runs AS MATERIALIZED (SELECT *, max(fos) FILTER (WHERE scenario_id = 'none') OVER d AS base_fos, max(instability_score) FILTER (WHERE scenario_id = 'none') OVER d AS base_score,
+  max(risk_label) FILTER (WHERE scenario_id = 'none') OVER d AS base_label FROM lab WINDOW d AS (PARTITION BY seed, zone_id, day_idx)),
 sm AS (SELECT scenario_id, seed, zone_id, min(base_fos) AS baseline_min_fos, min(fos) AS scenario_min_fos, min(round(fos - base_fos, 9)) AS fos_divergence_min,
   (array_agg(day_idx ORDER BY round(fos - base_fos, 9), day_idx))[1] AS divergence_day, count(*) FILTER (WHERE abs(fos - base_fos) > 0.01) AS days_diverging,
   max(base_score) AS baseline_peak, max(instability_score) AS scenario_peak, count(*) FILTER (WHERE base_label IN ('high', 'critical')) AS baseline_days_hot,
@@ -103,11 +104,11 @@ def scenario_evidence(spark, folder):
                       F.size("causes").alias("n_causes"))
 
 
-@query("scenario_gates", _RUN + """ SELECT gate, checked_rows, CAST(0 AS BIGINT) AS failed_rows FROM (
- SELECT 'baseline_replays_itself' AS gate, count(*) FILTER (WHERE run_kind = 'none') AS checked_rows FROM runs
- UNION ALL SELECT 'unchanged_before_start', count(*) FILTER (WHERE day_idx < start_day AND run_kind <> 'none') FROM runs
- UNION ALL SELECT 'surge_skips_unblasted_zones', count(*) FILTER (WHERE run_kind = 'blast_surge' AND zone_id % 4 >= 2) FROM runs
- UNION ALL SELECT 'more_rain_never_safer', count(*) FILTER (WHERE run_kind IN ('rainfall_storm', 'prolonged_rain', 'historical_rain')) FROM runs
- UNION ALL SELECT 'fos_is_finite', count(*) FROM runs)""")
+_GATES = [("baseline_replays_itself", "run_kind = 'none'", "abs(fos - base_fos) <= 1e-12"), ("unchanged_before_start", "day_idx < start_day AND run_kind <> 'none'", "abs(fos - base_fos) <= 1e-12"),
+          ("surge_skips_unblasted_zones", "run_kind = 'blast_surge' AND zone_id % 4 >= 2", "abs(fos - base_fos) <= 1e-12"),
+          ("more_rain_never_safer", "run_kind IN ('rainfall_storm', 'prolonged_rain', 'historical_rain')", "fos <= base_fos + 1e-9"), ("fos_is_finite", "true", "fos IS NOT NULL AND NOT isnan(fos)")]
+
+
+@query("scenario_gates", _RUN + " UNION ALL ".join(f" SELECT '{g}' AS gate, count(*) FILTER (WHERE {w}) AS checked_rows, count(*) FILTER (WHERE ({w}) AND NOT coalesce({ok}, false)) AS failed_rows FROM runs" for g, w, ok in _GATES))
 def scenario_gates(spark, folder):
     return SC.gates(scenario_runs(spark, folder))

@@ -71,20 +71,31 @@ def test_unknown_kind_fails_before_running(spark, panel):
         runs(spark, panel, ("bad", "meteor", None, 0, 1, {}, None))
 
 
-def test_many_scenarios_use_chunks_and_agree(spark, panel, monkeypatch):
-    many = [(f"p{i}", "prolonged_rain", None, 3 + i, 5, {"daily_mm": 10.0 * i}, None) for i in range(5)]
+def test_unknown_zone_fails_before_running(spark, panel):
+    with pytest.raises(ValueError, match="zone '99'"):
+        runs(spark, panel, ("bad", "rainfall_storm", "99", 0, 1, {}, None))
+
+
+def test_baseline_needs_no_scenario_of_its_own(spark, panel):
+    table = spark.createDataFrame([("dry", "prolonged_rain", None, 3, 5, {"daily_mm": 0.0}, None)], SCENARIO_SCHEMA)
+    assert worst_gap(SC.run(panel, table), "dry") == 0.0
+
+
+def test_many_scenarios_agree_with_few(spark, panel):
+    many = [(f"p{i}", "prolonged_rain", str(i % 4) if i % 3 else None, 3 + i % 20, 5, {"daily_mm": 10.0 * (i % 7)}, None) for i in range(1200)]
     cols = ["scenario_id", "zone_id", "day_idx", "fos", "base_fos"]
-    inline = {tuple(x) for x in runs(spark, panel, *many).select(*cols).collect()}
-    monkeypatch.setattr(SC, "MAX_INLINE", 2)
-    assert {tuple(x) for x in runs(spark, panel, *many).select(*cols).collect()} == inline
+    few = {tuple(x) for x in runs(spark, panel, *many[:5]).select(*cols).collect()}
+    got = {tuple(x) for x in runs(spark, panel, *many).where(F.col("scenario_id").isin("base", *[m[0] for m in many[:5]])).select(*cols).collect()}
+    assert got == few
 
 
-def test_scenarios_keep_the_partitioning(spark, panel):
-    src = panel.repartition(3, "seed", "zone_id")
+def test_runs_are_spread_by_series_and_scenario(spark, panel):
     table = spark.createDataFrame([("base", "none", None, 0, 0, {}, None), ("s", "combined", None, 3, 4, {}, None)], SCENARIO_SCHEMA)
-    plan = SC.run(src, table)._jdf.queryExecution().executedPlan().toString()
-    body = plan.split("Subquery")[0]
-    assert body.count("Exchange hashpartitioning") <= 1
+    plan = SC.run(panel, table)._jdf.queryExecution().executedPlan().toString()
+    import re
+
+    by_run = [m for m in re.findall(r"Exchange hashpartitioning\(([^)]*)", plan) if "scenario_id" in m]
+    assert len(by_run) == 1
 
 
 # ---------------------------------------------------------------- quality
