@@ -25,7 +25,7 @@ from pitgauge.llm.common import Memo, append_columns, field, segments
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 CHUNK_TOKENS = 1 << 20
 NEVER = 1 << 60
 _LOADED: dict[str, "Bpe"] = {}

@@ -20,7 +20,7 @@ SAFE_SPLIT = re.compile(r" (?=\S)").split
 class Memo(dict):
     """Results of a function of one string, in two generations of at most ``entries`` each; long keys are not kept."""
 
-    def __init__(self, compute: Callable, entries: int = 300_000, longest: int = 64):
+    def __init__(self, compute: Callable, entries: int = 150_000, longest: int = 64):
         super().__init__()
         self.compute, self.entries, self.longest, self.old = compute, entries, longest, {}
 
