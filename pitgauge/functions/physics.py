@@ -115,6 +115,7 @@ def unit_weight(density) -> Column:
     return F.bround(_c(density) * 9.81 / 1000.0, 3)
 
 
+# Coefficients, limits and families of crack growth in the functions below.
 def crack_growth_terms(*, proxy, slope, weakness, clay, ppv, blast_day, blastable, thrust, dry_days,
                        zone_kind, zone_id, tension_activity=1.0, blast_activity=1.0) -> dict[str, Column]:
     """Daily opening per mechanism in mm; their sum is the growth rate."""

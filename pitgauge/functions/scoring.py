@@ -63,6 +63,7 @@ def day_label(start, day_idx) -> Column:
     return F.date_format(F.date_add(_c(start), _c(day_idx)), "MMM dd")
 
 
+# The display texts of urgency() and zone_status().
 def urgency(priority) -> Column:
     p = _c(priority)
     return (F.when(p == "immediate", "Immediate Action").when(p == "high", "High Priority")
@@ -110,6 +111,7 @@ def ordinal(value, enum: str) -> Column:
     return F.when(pos > 0, (pos - 1).cast("int"))
 
 
+# The cause texts and their limits.
 def cause_strings(*, d_rain, d_proxy, sev_prev, sev_cur, blast, ppv, filled_prev, filled_cur) -> Column:
     """Texts of the physical changes that may explain a score move, in a fixed order."""
     return F.array_compact(F.array(

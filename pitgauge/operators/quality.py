@@ -75,6 +75,7 @@ def verdict(results: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- rule families for the panel contract
+# The limits and field names of the contract in the rules below.
 def contract_rules(enums: dict[str, list[str]] | None = None) -> list[RowRule]:
     """Keys present and enumerations respected."""
     enums = enums or {c: ENUMS[c] for c in ("rainfall_regime", "groundwater_state", "crack_family", "crack_severity",

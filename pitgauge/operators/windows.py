@@ -150,6 +150,7 @@ def sequence_window(ws: WindowSpec, cols: Sequence[str], length: int = 14) -> Co
     return F.when(F.size(arr) == length, arr)
 
 
+# Names of the contract's trailing features.
 TEMPORAL_FEATURES = [
     "rainfall_3d_mm", "rainfall_14d_mm", "max_rainfall_7d_mm", "consecutive_wet_days", "days_since_heavy_rain",
     "gw_delta_1d", "gw_delta_3d", "gw_delta_7d", "gw_rise_rate_7d",
