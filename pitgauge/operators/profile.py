@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitgauge.operators.windows import full_frame_sum
-from pitgauge.operators.quantiles import exact_quantiles
+from pitgauge.operators.quantiles import exact_quantiles, quantile_columns
 
 HEAVY_MM = 64.5
 
@@ -138,13 +138,11 @@ def wet_day_pools(series: DataFrame, min_pool: int = 1) -> DataFrame:
     probs = {0.1: "q10", 0.5: "q50", 0.9: "q90"}
     wet = series.where(F.col("value") > 0)
 
-    def q(df, by):
-        agg = [F.percentile("value", F.lit(p)).alias(n) for p, n in probs.items()]
-        return df.groupBy(*by).agg(F.count("value").alias("n_wet"), *agg)
-
+    by_month = wet.select(F.month("day").alias("month"), "value")
     months = series.groupBy(F.month("day").alias("month")).agg(F.count(F.lit(1)).alias("n_days"))
-    per_month = q(wet, [F.month("day").alias("month")])
-    pooled = q(wet, [])
+    counts = by_month.groupBy("month").agg(F.count("value").alias("n_wet"))
+    per_month = counts.join(quantile_columns(exact_quantiles(by_month, "value", list(probs), ["month"]), ["month"], probs), "month", "left")
+    pooled = quantile_columns(exact_quantiles(wet, "value", list(probs)), [], probs)
     joined = months.join(per_month, "month", "left")
     enough = F.coalesce(F.col("n_wet"), F.lit(0)) >= min_pool
     return joined.select(

@@ -181,8 +181,8 @@ def threshold_measures(df: DataFrame, score: str, threshold: float, keys: Sequen
 
 
 def closest_to_median(df: DataFrame, x: str, by: Sequence[str], tie: str) -> DataFrame:
-    """The row whose value is nearest the group's median; groups are calendar-bounded series."""
-    med = df.groupBy(*by).agg(F.percentile(x, F.lit(0.5)).alias("median_x"))
+    """The row whose value is nearest the group's median, for groups of any size."""
+    med = exact_quantiles(df, x, [0.5], by).select(*by, F.col("quantile").alias("median_x"))
     gap = F.round(F.abs(F.col(x) - F.col("median_x")), 9)  # both middle rows of an even group are equally near
     joined = df.join(med, list(by))
     return joined.groupBy(*by).agg(F.max("median_x").alias("median_x"), F.min_by(F.struct(tie, x), F.struct(gap, F.col(tie))).alias("r")).select(

@@ -200,7 +200,7 @@ def extract_integrity(spark, folder):
 
 @query("date_window_slice", f"""WITH {ORDERS_DAILY} SELECT day, {R('value', 6)} FROM od WHERE day BETWEEN DATE '1996-01-01' AND DATE '1996-01-31'""")
 def date_window_slice(spark, folder):
-    return rounded(RD.date_slice(A.orders_daily(spark, folder), "1996-01-01", "1996-01-31"), ["day"], ["value"], 6)
+    return rounded(A.orders_slice(spark, folder, "1996-01-01", "1996-01-31"), ["day"], ["value"], 6)
 
 
 @query("template_provenance", f"""WITH {ORDERS_DAILY}, t AS (SELECT * FROM (VALUES ('wet_1996', DATE '1996-01-01', DATE '1996-01-31'), ('mid_1998', DATE '1998-05-10', DATE '1998-06-20'),
@@ -416,7 +416,7 @@ def distribution_vs_history(spark, folder):
     wet = A.events_panel(spark, folder).where("wet_day")
     hist = A.orders_daily(spark, folder).where("value > 0")
     hm = hist.agg(F.avg("value")).scalar()
-    hp = hist.agg(F.percentile("value", F.lit(0.95))).scalar()
+    hp = exact_quantiles(hist, "value", [0.95]).select("quantile").scalar()
     p95 = exact_quantiles(wet, "rainfall_mm", [0.95], ["seed"]).select("seed", F.col("quantile").alias("p95"))
     g = wet.groupBy("seed").agg(F.avg("rainfall_mm").alias("mean_wet")).join(p95, "seed")
     out = g.select("seed", "mean_wet", hm.alias("hist_mean_wet"), (F.col("p95") / hp).alias("p95_ratio")).withColumn(

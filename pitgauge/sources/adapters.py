@@ -86,13 +86,31 @@ def station_daily(orders: DataFrame) -> DataFrame:
 
     The aggregate leaves one row per calendar day, which bounds every window over it.
     """
+    span = orders.agg(F.struct(F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last"))).scalar()
+    return _filled(orders, span["first"], span["last"])
+
+
+def _filled(orders: DataFrame, first, last, more: DataFrame | None = None) -> DataFrame:
     wet = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F")
+    rows = orders.select(F.to_date("o_orderdate").alias("day"), F.when(wet, F.col("o_totalprice")).alias("v"))
     per_day = (
-        orders.select(F.to_date("o_orderdate").alias("day"), F.when(wet, F.col("o_totalprice")).alias("v"))
-        .groupBy("day").agg((F.coalesce(F.sum("v"), F.lit(0.0)) / 10000.0).alias("value"))
+        (rows if more is None else rows.union(more)).groupBy("day").agg((F.coalesce(F.sum("v"), F.lit(0.0)) / 10000.0).alias("value"))
         .select(F.lit("S1").alias("station_id"), "day", "value"))
-    span = orders.agg(F.struct(F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last"))).scalar()
-    return fill_daily_gaps(per_day, ["station_id"], "day", span["first"], span["last"], {"value": 0.0})
+    return fill_daily_gaps(per_day, ["station_id"], "day", first, last, {"value": 0.0})
+
+
+def orders_slice(spark: SparkSession, folder: str, first: str, last: str) -> DataFrame:
+    """The daily series between two days: the source is cut before its gaps are filled, so the scan reads only these days.
+
+    The ends of the whole series come from a scan of the date column alone; days outside them aren't made up.
+    """
+    orders = table(spark, folder, "orders")
+    ends = orders.agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b")).first()
+    lo, hi = F.greatest(F.lit(ends["a"]), F.lit(first).cast("date")), F.least(F.lit(ends["b"]), F.lit(last).cast("date"))
+    kind = orders.schema["o_orderdate"].dataType
+    cut = orders.where((F.col("o_orderdate") >= F.lit(first).cast(kind)) & (F.col("o_orderdate") < F.date_add(F.lit(last).cast("date"), 1).cast(kind)))
+    start = spark.range(1).where(lo <= hi).select(lo.alias("day"), F.lit(None).cast("double").alias("v"))  # so that a slice without orders is filled too
+    return _filled(cut, lo, hi, start)
 
 
 def orders_daily(spark: SparkSession, folder: str) -> DataFrame:
