@@ -73,6 +73,17 @@ def test_rows_outside_the_panel_are_left_out(spark):
     assert sorted((r.k, str(r.day), r.v) for r in got.collect()) == [("s", "2024-01-01", 3.0), ("s", "2024-01-02", 2.0), ("s", "2024-01-03", 0.0), ("s", "2024-01-04", 4.0), ("s", "2024-01-05", 0.0)]
 
 
+def test_scratch_tables_can_be_removed(spark, monkeypatch):
+    import os
+
+    from pitgauge import session
+
+    monkeypatch.setattr(session, "_MADE", [])
+    df = session.cut_lineage(spark.range(5))
+    path = session._MADE[0]
+    assert df.count() == 5 and os.path.isdir(path) and session.remove_scratch(spark) == 1 and not os.path.exists(path) and session._MADE == []
+
+
 def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
     import types
 
