@@ -238,3 +238,22 @@ def test_pipeline_run_equals_its_stages(spark):
     toxic = {r["doc_id"] for r in QUERIES["op8_toxicity_lexicon"](spark, SF).where("predicted = 1").collect()}
     leaks = {r["doc_id"] for r in QUERIES["op4_decontamination"](spark, SF).collect()}
     assert ids and not ids & toxic and not ids & leaks
+
+
+def test_url_query_equals_its_sql(spark):
+    from pitgauge.llm.queries import ORACLES
+    from tests.parity import compare, connect
+
+    ok, message = compare(spark, connect(SF), QUERIES["op1_url_reputation"], ORACLES["op1_url_reputation"], SF)
+    assert ok, message
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_return_whole_tables(spark, name):
+    got = QUERIES[name](spark, SF)
+    key = next((c for c in ("doc_id", "page_id", "vec_id") if c in got.columns), None)
+    if name.startswith("op4") or key is None:  # findings, and packed rows
+        assert got.count() > 0
+        return
+    source = {"doc_id": "documents", "page_id": "pages", "vec_id": "embeddings"}[key]
+    assert got.count() == got.select(key).distinct().count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
