@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitgauge.operators.panel import fill_daily_gaps
 from pitgauge.operators.windows import _so_far, series_window, with_long_memory
-from pitgauge.schemas import ENUMS
+from pitgauge.schemas import ENUMS, literal_table, materials, zones
 from pitgauge.sources.readers import table
 
 PANEL_START = dt.date(2024, 1, 1)
@@ -54,19 +54,25 @@ def events_panel(spark: SparkSession, folder: str) -> DataFrame:
     return state.withColumn("score", demo_score("groundwater_proxy", "crack_density", "ppv"))
 
 
+#: Site binding of the benchmark: each zone's material, and the point within its ranges at which the chain is run.
+SITE = [("ZONE_A", 0, "lateritic_soil", 40.0, 300.0, 24.0, 20.0), ("ZONE_B", 1, "clayey_sandstone", 80.0, 90.0, 32.0, 21.5),
+        ("ZONE_C", 2, "lignite", 200.0, 60.0, 20.0, 13.5), ("ZONE_D", 3, "clay", 600.0, 0.0, 20.0, 19.0)]
+
+
+def site_zones(spark: SparkSession) -> DataFrame:
+    """The four site zones with geometry from the zone dimension and weakness and clay from the material dimension."""
+    site = literal_table(spark, SITE, "zone_id string, slot int, material_class string, thrust double, cohesion double, phi double, gamma double")
+    z = zones(spark).select("zone_id", F.col("zone_kind").alias("kind"), F.col("bench_height_m").alias("bench_h"), F.col("bench_face_angle_deg").alias("slope"), "blastable")
+    m = materials(spark).select("material_class", "weakness", "clay")
+    return site.join(z, "zone_id").join(m, "material_class").withColumnRenamed("zone_id", "zone_code")
+
+
 def with_site_attributes(panel: DataFrame) -> DataFrame:
-    """Static slope attributes, assigned to zones round-robin over the four site zones."""
-    i = (F.col("zone_id") % 4).cast("int")
-
-    def pick(*values):
-        return F.array(*[F.lit(v) for v in values])[i]
-
-    sited = panel.withColumns({
-        "zone_code": pick("ZONE_A", "ZONE_B", "ZONE_C", "ZONE_D"), "kind": pick("bench", "bench", "bench", "floor"),
-        "bench_h": pick(25.0, 18.0, 6.0, 0.0), "slope": pick(60.0, 55.0, 75.0, 5.0), "weakness": pick(0.75, 0.55, 0.3, 1.0),
-        "clay": pick(0.4, 0.45, 0.2, 1.0), "thrust": pick(40.0, 80.0, 200.0, 600.0), "cohesion": pick(300.0, 90.0, 60.0, 0.0),
-        "phi": pick(24.0, 32.0, 20.0, 20.0), "gamma": pick(20.0, 21.5, 13.5, 19.0), "height": pick(25.0, 18.0, 6.0, 0.0),
-        "theta": pick(60.0, 55.0, 75.0, 5.0), "face": pick(60.0, 55.0, 75.0, 5.0), "blastable": pick(True, True, False, False)})
+    """Static slope attributes by a join with the site zones, to which the panel's zones are assigned round-robin."""
+    site = site_zones(panel.sparkSession).select(
+        F.col("slot").alias("_slot"), "zone_code", "kind", "bench_h", "slope", "weakness", "clay", "thrust", "cohesion", "phi", "gamma",
+        F.col("bench_h").alias("height"), F.col("slope").alias("theta"), F.col("slope").alias("face"), "blastable")
+    sited = panel.withColumn("_slot", (F.col("zone_id") % 4).cast("int")).join(site, "_slot").drop("_slot")
     return sited.withColumn("cap", F.when(F.col("kind") == "floor", 1.0).otherwise(0.4 * F.col("bench_h")))
 
 
