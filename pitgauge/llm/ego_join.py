@@ -80,11 +80,13 @@ def intervals(reps: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
 
     def place(batches):
         for b in batches:
-            cells, dims = [], []
-            for v in b.column(3).to_pylist():
-                y = (unit(np.array([v])) @ axes)[0] if len(v) == d else np.zeros(lead)
-                cells.append(np.floor(y[:lead] / eps).astype(np.int64).tolist())
-                dims.append(len(v))
+            vectors = b.column(3).to_pylist()
+            dims = [len(v) for v in vectors]
+            cells = np.zeros((len(vectors), lead), dtype=np.int64)  # other lengths have no axes and share a cell
+            own = [i for i, n in enumerate(dims) if n == d]
+            if own:
+                cells[own] = np.floor((unit(np.array([vectors[i] for i in own])) @ axes)[:, :lead] / eps)
+            cells = cells.tolist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dims, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], names=["id", "m", "label", "v", "dims", "cells"])
 
     def cut(batches):
@@ -92,7 +94,7 @@ def intervals(reps: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
 
         def out(rows):
             x = np.array([r["v"] for r in rows])
-            y = unit(x) @ axes if x.shape[1] == d else x
+            y = unit(x) @ axes if x.shape[1] == d else unit(x)
             return {"block": [(part << 32) + number], "label": [rows[0]["label"]], "dims": [rows[0]["dims"]], "lo": [y.min(axis=0).tolist()], "hi": [y.max(axis=0).tolist()],
                     "ids": [[r["id"] for r in rows]], "ms": [[r["m"] for r in rows]], "x": [x.tobytes()]}
 
@@ -123,7 +125,6 @@ def near_intervals(blocks: DataFrame, eps: float) -> DataFrame:
     b = box.select(F.col("block").alias("b"), "label", "dims", F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.explode(F.sequence(F.col("c") - 1, F.col("e") + 1)).alias("cell"))
     gap = F.zip_with(F.zip_with("alo", "bhi", lambda x, y: x - y), F.zip_with("blo", "ahi", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     apart = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g)
-    # boxes of other lengths than the axes are raw values without a meaning as distances
     return a.join(b, ["label", "dims", "cell"]).where("a <= b").where(apart <= F.lit((eps + SLACK) ** 2)).select("a", "b").distinct()
 
 

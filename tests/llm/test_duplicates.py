@@ -154,6 +154,14 @@ def test_join_equals_brute_force(spark, vectors, monkeypatch, interval, leaf):
     assert len(got) == len(vectors) and all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
 
+def test_vectors_of_another_length_link_over_intervals(spark, monkeypatch):
+    monkeypatch.setattr(ego_join, "INTERVAL", 4)
+    rows = [(i, [1.0 + i % 3 * 0.01, 2.0, (i + 1.0) * 50][:2] if i % 2 else [float(i + 1)] * 3, 1) for i in range(40)]
+    rows = [(i, [x * (1 + i) for x in v], lab) for i, v, lab in rows]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in ego_join.epsilon_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (19, i % 2) for i in range(40)}
+
+
 def test_join_of_copies_and_empty_tables(spark):
     schema = "vec_id long, embedding array<float>, label int"
     df = spark.createDataFrame([(i, [1.0, 2.0], 3) for i in range(50)] + [(60, [1.0, 2.0], 4), (61, None, None)], schema)

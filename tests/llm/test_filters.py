@@ -140,7 +140,7 @@ def test_dynamic_program_finds_the_best_segmentation(model):
         tokens, gaps, _ = pii.example(rng)
         tokens, gaps = tokens[:13], gaps[:13]
         cells = pii.lattice(tokens, gaps)
-        got = sum(max(0, 0) + model.scores(pii.span_features(tokens, gaps, i, j))[pii.KINDS.index(k)] - model.cost for i, j, k in pii.decode(model, tokens, gaps))
+        got = sum(model.scores(pii.span_features(tokens, gaps, i, j))[pii.KINDS.index(k)] - model.cost for i, j, k in pii.decode(model, tokens, gaps))
         assert abs(got - best(tokens, gaps, cells, len(tokens))) < 1e-6
 
 
