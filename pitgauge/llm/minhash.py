@@ -13,6 +13,7 @@ against whole tiles, and pairs of one band that no leader brings into one group
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -180,7 +181,8 @@ def tiled_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     parts = members.groupBy("cand", "part").agg(F.count(F.lit(1)).alias("k"))
     mains = parts.groupBy("cand").agg(F.max(F.struct("k", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("cand", F.col("main.part").alias("main"))
-    here = cut_lineage(members.join(mains, "cand").select("rep", "cand", (F.col("part") != F.col("main")).alias("apart"), F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).alias("class")))
+    by_size = F.floor(F.log("n") / math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n")
+    here = cut_lineage(members.join(mains, "cand").select("rep", "cand", (F.col("part") != F.col("main")).alias("apart"), by_size.alias("class")))
     cells = here.groupBy("cand", "class").agg(F.count(F.lit(1)).alias("all"), F.count_if("apart").alias("own"))
     tile = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(F.col(n) / TILE))
     x = cells.where("own > 0").withColumn("tx", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("own") / TILE) - 1))).withColumn("cy", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)]))).select("cand", F.col("class").alias("cx"), "tx", "cy")

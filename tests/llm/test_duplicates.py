@@ -86,6 +86,8 @@ def test_near_duplicates_equal_brute_force(spark):
     assert [got[i]["n_shingles"] for i in range(len(texts))] == n
     assert [got[i]["component_id"] for i in range(len(texts))] == low
     assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
+    same = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, words=4, percent=100).collect()}
+    assert [same[i] for i in range(len(texts))] == plain_components(texts, 4, 100)[1]
 
 
 def test_chain_within_one_band_is_found(spark):
