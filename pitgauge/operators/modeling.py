@@ -81,16 +81,29 @@ def search_table(result: CrossValidatorModel) -> list[tuple[str, float]]:
             for m, s in zip(maps, result.avgMetrics)]
 
 
-def out_of_fold(pipe: Pipeline, rows: DataFrame, fold: str, k: int) -> DataFrame:
-    """Predictions for each fold by a model that saw the others only."""
+def fold_models(pipe: Pipeline, rows: DataFrame, fold: str, k: int) -> list[PipelineModel]:
+    """For each fold a model that saw the others only."""
     rows = rows.persist()
-    parts = [pipe.fit(rows.where(F.col(fold) != i)).transform(rows.where(F.col(fold) == i)) for i in range(k)]
+    return [pipe.fit(rows.where(F.col(fold) != i)) for i in range(k)]
+
+
+def predict_unseen(models: Sequence[PipelineModel], rows: DataFrame, fold: str, held_out: PipelineModel | None = None) -> DataFrame:
+    """Predictions for each fold by its own model, and for rows without a fold by ``held_out``; without that, those rows are left out."""
+    parts = [m.transform(rows.where(F.col(fold) == i)) for i, m in enumerate(models)]
+    if held_out is not None:
+        parts.append(held_out.transform(rows.where(F.col(fold).isNull())))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def out_of_fold(pipe: Pipeline, rows: DataFrame, fold: str, k: int) -> DataFrame:
+    """Predictions for each fold by a model that saw the others only."""
+    rows = rows.persist()
+    return predict_unseen(fold_models(pipe, rows, fold, k), rows, fold)
+
+
 def fit_calibrator(predicted: DataFrame, label: str, threshold: float = 75.0, resolution: float = 0.01) -> IsotonicRegressionModel:
     """Isotonic map from score to P(label >= threshold).
 
@@ -105,7 +118,12 @@ def fit_calibrator(predicted: DataFrame, label: str, threshold: float = 75.0, re
 
 def batch_score(model: PipelineModel, rows: DataFrame, calibrator: IsotonicRegressionModel | None = None) -> DataFrame:
     """Raw prediction, integer score, confidence and band."""
-    scored = model.transform(rows).withColumn("raw", F.col("prediction"))
+    return score_predictions(model.transform(rows), calibrator)
+
+
+def score_predictions(predicted: DataFrame, calibrator: IsotonicRegressionModel | None = None) -> DataFrame:
+    """Rows with a ``prediction``, whichever model made it, as in ``batch_score``."""
+    scored = predicted.withColumn("raw", F.col("prediction"))
     if calibrator is not None:
         scored = calibrator.transform(scored.withColumn("x", F.col("raw"))).drop("x")
     score = S.round_score("raw")

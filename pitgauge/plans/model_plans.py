@@ -13,6 +13,7 @@ from pitgauge.operators.stats import sampled_row
 from pitgauge.plans.registry import R, query, rounded
 from pitgauge.plans.score_plans import override_requests
 from pitgauge.plans.sql import PANEL
+from pitgauge.session import cut_lineage
 from pitgauge.sources import adapters as A
 from pitgauge.sources import readers as RD
 
@@ -20,16 +21,36 @@ NUMERIC = ["rainfall_mm", "groundwater_proxy", "crack_density", "ppv", "growth"]
 TREND = ["rainfall_3d_mm", "gw_delta_3d", "crack_growth_3d", "ppv_max_3d"]
 LABEL = "target"
 SMALL = {"numTrees": 20, "maxDepth": 6}
+FOLDS = 3
 
 
-def dataset(spark, folder, trend=False):
-    """Features today, score tomorrow; worlds 0-2 train, 3 validation, 4 test."""
+def every_row(spark, folder, trend=False):
+    """Features today of every (seed, zone_id, day_idx), and the score tomorrow, which the last day of a series does not have."""
     p = A.events_panel(spark, folder)
     p = W.temporal_features(p) if trend else p
-    p = p.withColumn(LABEL, W.future_value("score", 1, W.series_window())).where(F.col(LABEL).isNotNull())
+    p = p.withColumn(LABEL, W.future_value("score", 1, W.series_window()))
     kind = F.element_at(F.array(*[F.lit(k) for k in ("upper", "middle", "seam", "floor")]), (F.col("zone_id") % 4 + 1).cast("int"))
     cols = [*NUMERIC, *(TREND if trend else [])]
-    return p.select("seed", "zone_id", "day_idx", kind.alias("kind"), LABEL, "score", *cols).persist()
+    return p.select("seed", "zone_id", "day_idx", kind.alias("kind"), LABEL, "score", *cols)
+
+
+def dataset(spark, folder, trend=False):
+    """Features today, score tomorrow; worlds 0-2 train, 3 validation, 4 test."""
+    return every_row(spark, folder, trend).where(F.col(LABEL).isNotNull()).persist()
+
+
+def folded_rows(spark, folder):
+    """Every row with its training world's ``fold``; it is null in the worlds that no fit sees."""
+    rows = cut_lineage(every_row(spark, folder))  # a fit has hundreds of jobs, and each would carry the panel's plan
+    seen = F.coalesce(F.col("seed") <= 2, F.lit(False))
+    return cut_lineage(E.world_folds(rows.where(seen), "seed", FOLDS).unionByName(rows.where(~seen), allowMissingColumns=True))
+
+
+def unseen_forests(rows, categorical=()):
+    """A forest for each fold that did not see its worlds, and one on all training worlds for the others."""
+    train = rows.where(F.col("fold").isNotNull() & F.col(LABEL).isNotNull()).persist()
+    forest = M.pipeline("forest", LABEL, NUMERIC, categorical, **SMALL)
+    return train, M.fold_models(forest, train, "fold", FOLDS), forest.fit(train)
 
 
 def _parts(d):
@@ -74,10 +95,14 @@ def _forest_and_calibrator(d):
 
 @query("forest_scores")
 def forest_scores(spark, folder):
-    """Batch scores of the held-out world: integer score, calibrated confidence, band."""
-    d = dataset(spark, folder)
-    model, cal = _forest_and_calibrator(d)
-    return M.batch_score(model, d.where("seed = 4"), cal).select("seed", "zone_id", "day_idx", F.round("raw", 4).alias("raw"), "score_int", "confidence", "band")
+    """Batch scores of every zone and day: integer score, calibrated confidence, band.
+
+    No row's score is of a forest that saw its world. The confidence map is the contract's, one for all: fitted on the training worlds' unseen predictions.
+    """
+    rows = folded_rows(spark, folder)
+    train, models, model = unseen_forests(rows, ["kind"])
+    cal = M.fit_calibrator(M.predict_unseen(models, train, "fold"), LABEL)
+    return M.score_predictions(M.predict_unseen(models, rows, "fold", model), cal).select("seed", "zone_id", "day_idx", F.round("raw", 4).alias("raw"), "score_int", "confidence", "band")
 
 
 @query("isotonic_calibration")
@@ -180,11 +205,12 @@ def class_forest(spark, folder):
 
 @query("model_counterfactual")
 def model_counterfactual(spark, folder):
-    """Overridden zones re-scored by the forest beside their baseline."""
-    d = dataset(spark, folder)
-    model = M.pipeline("forest", LABEL, NUMERIC, **SMALL).fit(d.where("seed <= 2"))
-    z = RD.latest_states(d.where("seed = 4"))
+    """Overridden zones of every world, as of their last day, re-scored beside their baseline by a forest that did not see their world."""
+    rows = folded_rows(spark, folder)
+    _, models, model = unseen_forests(rows)
+    z = RD.latest_states(rows)
     merged, _ = apply_overrides(z, override_requests(z), "zone_id", ["ppv", "groundwater_proxy", "crack_density"])
-    base = M.batch_score(model, z).select("zone_id", F.col("score_int").alias("baseline"))
-    sim = M.batch_score(model, merged).select("zone_id", F.col("score_int").alias("simulated"), "band")
+    score = lambda r: M.score_predictions(M.predict_unseen(models, r, "fold", model))
+    base = score(z).select("zone_id", F.col("score_int").alias("baseline"))
+    sim = score(merged).select("zone_id", F.col("score_int").alias("simulated"), "band")
     return base.join(sim, "zone_id").select("zone_id", "baseline", "simulated", (F.col("simulated") - F.col("baseline")).alias("delta"), "band")
