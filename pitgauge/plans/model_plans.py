@@ -13,7 +13,7 @@ from pitgauge.operators.stats import sampled_row
 from pitgauge.plans.registry import R, query, rounded
 from pitgauge.plans.score_plans import override_requests
 from pitgauge.plans.sql import PANEL
-from pitgauge.session import cut_lineage
+from pitgauge.session import cut_lineage, shared_dir
 from pitgauge.sources import adapters as A
 from pitgauge.sources import readers as RD
 
@@ -77,9 +77,10 @@ def linear_fit(spark, folder):
 @query("model_leaderboard")
 def model_leaderboard(spark, folder):
     """Mean, ridge, forest and boosted models on the held-out world."""
+    shared_dir(spark)  # for the checkpoints of boosting
     train, _, test = _parts(dataset(spark, folder))
     out = E.regression_metrics(M.mean_baseline(train, test, LABEL), [], LABEL, "prediction").withColumn("model", F.lit("mean"))
-    for kind, params in {"ridge": {}, "forest": SMALL, "boosted": {"maxIter": 10, "maxDepth": 4}}.items():
+    for kind, params in {"ridge": {}, "forest": SMALL, "boosted": {}}.items():
         fitted = M.pipeline(kind, LABEL, NUMERIC, ["kind"], **params).fit(train)
         out = out.unionByName(M.evaluate(fitted, test, LABEL).withColumn("model", F.lit(kind)))
     return rounded(out, ["model", "n"], ["mae", "rmse", "r2"])
@@ -131,7 +132,7 @@ def random_search(spark, folder):
 def permutation_importance(spark, folder):
     train, _, test = _parts(dataset(spark, folder))
     model = M.pipeline("ridge", LABEL, NUMERIC).fit(train)
-    return rounded(M.permutation_importance(model, test, ["seed", "zone_id", "day_idx"], NUMERIC, LABEL, repeats=5), ["feature"], ["importance", "spread"])
+    return rounded(M.permutation_importance(model, test, ["seed", "zone_id", "day_idx"], NUMERIC, LABEL), ["feature"], ["importance", "spread"])
 
 
 @query("monotone_sweep")
@@ -198,7 +199,7 @@ def per_zone_models(spark, folder):
 def class_forest(spark, folder):
     """Class-weighted forest on score bands of the next day."""
     d = dataset(spark, folder).withColumn("label", S.score_band(LABEL))
-    model = M.forest_classifier("label", NUMERIC, ["kind"], numTrees=20, maxDepth=6).fit(M.with_class_weights(d.where("seed <= 2"), "label"))
+    model = M.forest_classifier("label", NUMERIC, ["kind"]).fit(M.with_class_weights(d.where("seed <= 2"), "label"))
     report = E.class_report(M.predicted_labels(model, d.where("seed = 4"), "label"))
     return rounded(report, ["label", "support", "predicted", "tp"], ["precision", "recall", "f1"])
 

@@ -1,5 +1,6 @@
 """The model queries do the whole job on the smallest tables."""
 
+import inspect
 import os
 
 import pytest
@@ -37,3 +38,43 @@ def test_rows_are_predicted_by_a_model_that_did_not_see_their_fold(spark):
     got = M.predict_unseen(M.fold_models(flat, train, "fold", 3), rows, "fold", flat.fit(train))
     assert {r.fold: (r.p, r.n) for r in got.groupBy("fold").agg(F.round(F.avg("prediction"), 3).alias("p"), F.count("*").alias("n")).collect()} == {
         0: (15.0, 20), 1: (10.0, 20), 2: (5.0, 20), None: (10.0, 5)}
+
+
+class Made(Exception):
+    """Ends a query once what it fits is known."""
+
+
+def test_boosting_and_class_forest_have_the_contract_sizes(spark, monkeypatch):
+    regressor, classifier, made = M.regressor, M.forest_classifier, {}
+
+    def boosted(kind, label, **params):
+        made[kind] = regressor(kind, label, **params)
+        if kind == "boosted":
+            raise Made
+        return made[kind]
+
+    def forest(*args, **params):
+        made["classes"] = classifier(*args, **params).getStages()[-1]
+        raise Made
+
+    monkeypatch.setattr(M, "regressor", boosted)
+    monkeypatch.setattr(M, "forest_classifier", forest)
+    for name in ("model_leaderboard", "class_forest"):
+        with pytest.raises(Made):
+            REG.QUERIES[name](spark, FOLDER)
+    b, c = made["boosted"], made["classes"]
+    assert (b.getMaxIter(), b.getMaxDepth(), b.getStepSize()) == (300, 6, 0.05)
+    assert (c.getNumTrees(), c.getMaxDepth(), c.getMinInstancesPerNode()) == (300, 30, 2)
+
+
+def test_permutation_importance_has_ten_repeats(spark, monkeypatch):
+    signature = inspect.signature(M.permutation_importance)
+
+    def repeats(*args, **params):
+        call = signature.bind(*args, **params)
+        call.apply_defaults()
+        raise Made(call.arguments["repeats"])
+
+    monkeypatch.setattr(M, "permutation_importance", repeats)
+    with pytest.raises(Made, match="^10$"):
+        REG.QUERIES["permutation_importance"](spark, FOLDER)
