@@ -74,11 +74,12 @@ def by_bytes(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Ite
         yield batch.slice(start)
 
 
-def append_columns(df: DataFrame, text: str, fields: Sequence[T.StructField], make: Callable, keep: Sequence[str] | None = None, nulls: bool = False) -> DataFrame:
+def append_columns(df: DataFrame, text: str, fields: Sequence[T.StructField], make: Callable, keep: Sequence[str] | None = None, nulls: bool = False,
+                   key: str | None = None) -> DataFrame:
     """``df`` with columns computed from its texts in Arrow batches.
 
     ``make()`` runs once per task and returns ``f(texts) -> columns``, which gets a list of
-    texts (null: empty, or None with ``nulls``) and returns one list per field. Columns of ``df`` with the name of a new
+    texts (null: empty, or None with ``nulls``), and the list of ``key`` values if one is named, and returns one list per field. Columns of ``df`` with the name of a new
     column are replaced. A row's result depends on its own text only, so a retried task repeats it.
     """
     kept = without(df if keep is None else df.select(*[col(c) for c in keep]), [f.name for f in fields])
@@ -91,13 +92,13 @@ def append_columns(df: DataFrame, text: str, fields: Sequence[T.StructField], ma
         for batch in batches:
             for part in by_bytes(batch, n):
                 texts = part.column(n).to_pylist()
-                new = fn(texts if nulls else [t or "" for t in texts])
+                new = fn(texts if nulls else [t or "" for t in texts], *([part.column(n + 1).to_pylist()] if key else []))
                 arrays = [part.column(j).cast(arrow.field(j).type) for j in range(n)]
                 arrays += [v if isinstance(v, pa.Array) else pa.array(v, type=arrow.field(n + i).type) for i, v in enumerate(new)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     named = [col(c).alias(f"c{j}") for j, c in enumerate(kept)]  # plain names, as mapInArrow resolves dots
-    return df.select(*named, col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(*named, col(text).cast("string").alias("text"), *([col(key).alias("key")] if key else [])).mapInArrow(run, schema)
 
 
 def field(name: str, kind: str) -> T.StructField:

@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitgauge.llm import bpe, decontaminate, ego_join, minhash, packing, pii, quality_cnn, token_counts, toxicity, url_filter
+from pitgauge.llm import align, bpe, decontaminate, ego_join, minhash, mixing, packing, pii, quality_cnn, runs, token_counts, toxicity, url_filter
 from pitgauge.llm.labelled import labelled_sample, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(name: str, oracle: str | None = None):
@@ -127,3 +128,40 @@ def op1_url_reputation(spark, sf_dir):
 @query("op5_packing")
 def op5_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    return runs.digest_runs(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH judged AS (SELECT doc_id AS judged_id, 0.25e0 + 0.75e0 * coalesce(avg(quality), 0.5e0) AS w FROM labels GROUP BY 1),
+rows AS (SELECT doc_id, source, coalesce(length(translate(regexp_replace(text, '[^\x20\x09-\x0D]+', 'w', 'g'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')), 0) AS size,
+                -ln((CAST('0x' || substring(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0) / coalesce(w, 0.625e0) AS draw
+         FROM documents LEFT JOIN judged ON judged_id = doc_id),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY 1),
+placed AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sizes),
+weighed AS (SELECT *, (place - 1) % 3 + 1 AS weight, 3 * source_size AS most FROM placed),
+filled AS (SELECT *, most / CAST(weight AS DOUBLE) AS share,
+                  CAST(sum(source_size) OVER () - (sum(most) OVER o - most) AS DOUBLE) / CAST(sum(weight) OVER () - (sum(weight) OVER o - weight) AS DOUBLE) AS level
+           FROM weighed WINDOW o AS (ORDER BY most / CAST(weight AS DOUBLE), place ROWS UNBOUNDED PRECEDING)),
+found AS (SELECT coalesce((SELECT level FROM filled WHERE level <= share ORDER BY share, place LIMIT 1), 0) AS at_level),
+targets AS (SELECT source, place, source_size, least(CAST(most AS DOUBLE), at_level * weight) AS target FROM filled, found),
+reached AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs,
+                   CAST(sum(size) OVER (PARTITION BY place ORDER BY draw, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS ahead
+            FROM rows JOIN targets ON rows.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, size, source_size, target, epochs * size + least(greatest(CAST(floor(target - epochs * source_size) AS BIGINT) - ahead, 0), size) AS taken FROM reached"""
+
+
+@query("op12_source_mixing", OP12_SQL)
+def op12_source_mixing(spark, sf_dir):
+    """Quality weights: a quarter for documents labelled poor, 1 for good ones, between the two where nothing is known."""
+    judged = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("judged_id")).agg((0.25 + 0.75 * F.coalesce(F.avg("quality"), F.lit(0.5))).alias("w"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")).join(judged, F.col("judged_id") == F.col("doc_id"), "left")
+    return mixing.plan_mix(docs, F.col("words"), F.coalesce("w", F.lit(0.625))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark, sf_dir):
+    return align.align_documents(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
