@@ -24,8 +24,10 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 OVERLAP = 0.5
 BLOCK = 8
-SHARD_ITEMS = 5_000
+SHARD_ITEMS, SHARD_BYTES = 5_000, 32 << 20
 GRAM = 3
+#: Items of fewer words have to be there as a whole, word after word.
+SHORT = 6
 FOUND = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double,first_word:bigint>>"
 COLUMNS = ("item_id", "score", "question_overlap", "answer_overlap", "first_word")
 _BLANK = bytes.maketrans(b"".join(bytes([c]) for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
@@ -79,8 +81,8 @@ class Index:
     parts: dict[int, tuple[set, set]]
 
 
-def build_index(rows: list[tuple[int, str]], frequency: dict[bytes, int], total: int, threshold: float = THRESHOLD) -> Index:
-    """Index of a shard of items; ``frequency`` and ``total`` count over the items of all shards.
+def build_index(rows: list[tuple[int, str]], frequency: dict[bytes, int], total: int, threshold: float = THRESHOLD, mean: float | None = None) -> Index:
+    """Index of a shard of items; ``frequency``, ``total`` and the ``mean`` number of words are those of the items of all shards.
 
     ``need`` is for skipping blocks of items by whole windows: an item's commonest terms, up to half the threshold, can't carry
     it there alone, so its other terms in a passage have to sum to what is missing. The need of a term and block is its
@@ -91,12 +93,12 @@ def build_index(rows: list[tuple[int, str]], frequency: dict[bytes, int], total:
     terms: dict[bytes, int] = {}
     parts = {}
     texts = {i: words_of(t) for i, t in rows}
-    mean = sum(map(len, texts.values())) / max(1, len(texts))
+    mean = mean or sum(map(len, texts.values())) / max(1, len(texts))
     for i, text in sorted(rows):
         words = texts[i]
         if not words:
             continue
-        parts[i] = tuple(grams(p) for p in split_item(text))
+        parts[i] = tuple(grams(p) for p in split_item(text)) if len(words) >= SHORT else ({tuple(words)},) * 2
         size = 1 << max(3, (len(words) - 1).bit_length())
         o, needs = octaves.setdefault(size, Octave(size)), need.setdefault(size, {})
         tf: dict[bytes, int] = {}
@@ -176,46 +178,45 @@ def block_max_wand(o: Octave, query: list[int], threshold: float) -> list[tuple[
     return out
 
 
-def windows(ids: np.ndarray, o: Octave) -> list[int]:
-    """Windows, counted in steps of the octave's size, in which some block of items may reach the threshold.
+def windows(ids: np.ndarray, window: np.ndarray, o: Octave) -> np.ndarray:
+    """Windows in which some block of items may reach the threshold.
 
-    Sums the needs of each window's distinct terms by block. A window is two steps long, so a word lies in two.
+    ``window`` numbers the step of the octave's size in which each word lies; a window is that step and the next, so a word lies in two.
+    Sums the needs of each window's distinct terms by block.
     """
     start, block, value = o.need
-    has = start[ids + 1] - start[ids]
-    at = np.flatnonzero(has)
+    at = np.flatnonzero(start[ids + 1] - start[ids])
     if not len(at):
-        return []
-    window = np.concatenate([at // o.size, at // o.size - 1])
-    pairs = np.unique((window + 1) * len(start) + np.concatenate([ids[at]] * 2))
+        return at
+    pairs = np.unique(np.concatenate([window[at], window[at] - 1]) * len(start) + np.concatenate([ids[at]] * 2))
     term = pairs % len(start)
     n = start[term + 1] - start[term]
     cell = np.arange(n.sum()) + np.repeat(start[term] - (np.cumsum(n) - n), n)
     blocks = -(-len(o.items) // BLOCK)
     sums = np.bincount(np.repeat(pairs // len(start), n) * blocks + block[cell], weights=value[cell])
-    found = np.unique(np.flatnonzero(sums >= 1 - 1e-6) // blocks) - 1
-    return np.maximum(found, 0).tolist()
+    return np.unique(np.flatnonzero(sums >= 1 - 1e-6) // blocks)
 
 
 def search(texts: list[str], index: Index, threshold: float, overlaps: tuple[float, float]) -> list[list[tuple]]:
     """Of each text its verified items: (item, score, question overlap, answer overlap, first word), the best window of each.
 
-    The texts of a batch are laid one after the other, each from a multiple of the longest step, so windows of all of them are
-    bounded at once. A window that reaches into the next text is searched in its own text alone.
+    Windows of all texts are bounded at once: those of each text have numbers of their own, after one that stands for the place before it.
     """
     words = [words_of(t) for t in texts]
     out: list[dict[int, tuple]] = [{} for _ in texts]
-    if not index.octaves:
+    lens = np.array([len(w) for w in words], dtype=np.int64)
+    if not index.octaves or not lens.sum():
         return [[] for _ in texts]
-    step = index.octaves[-1].size
-    first = np.concatenate([[0], np.cumsum([-(-len(w) // step) * step for w in words])]).astype(np.int64)
-    ids = np.zeros(first[-1], dtype=np.int64)
-    for w, f in zip(words, first):
-        ids[f:f + len(w)] = np.fromiter(map(index.terms.get, w, repeat(0)), dtype=np.int64, count=len(w))
+    ids = np.concatenate([np.fromiter(map(index.terms.get, w, repeat(0)), dtype=np.int64, count=len(w)) for w in words])
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(lens) - lens, lens)
     for o in index.octaves:
-        for k in windows(ids, o):
-            doc = int(np.searchsorted(first, k * o.size, side="right")) - 1
-            start = k * o.size - int(first[doc])
+        steps = -(-lens // o.size) + 1
+        base = np.cumsum(steps) - steps
+        for k in windows(ids, np.repeat(base, lens) + 1 + place // o.size, o).tolist():
+            doc = int(np.searchsorted(base, k, side="right")) - 1
+            start = (k - 1 - int(base[doc])) * o.size
+            if start < 0:  # the first step alone is in the first window
+                continue
             passage = words[doc][start:start + 2 * o.size]
             query = {index.terms[w] for w in passage if w in index.terms}
             for at, score in block_max_wand(o, sorted(query), threshold):
@@ -227,21 +228,25 @@ def search(texts: list[str], index: Index, threshold: float, overlaps: tuple[flo
 
 
 def shards(items: DataFrame, key: str, text: str, threshold: float) -> Iterator[Index]:
-    """Indexes of at most ``SHARD_ITEMS`` items each, so that what is broadcast has a bound however many items there are."""
+    """Indexes of about ``SHARD_ITEMS`` items or ``SHARD_BYTES`` of text each, so that what is broadcast has a bound however many items there are."""
     rows = items.where(col(key).isNotNull() & col(text).isNotNull()).select(col(key).cast("long").alias("i"), col(text).alias("t")).dropDuplicates(["i"])
-    total = rows.count()
 
     @F.udf(T.ArrayType(T.BinaryType()))
     def distinct_words(t):
         return sorted(set(words_of(t)))
 
-    n = max(1, -(-total // (SHARD_ITEMS * 4 // 5)))  # items are hashed to shards; a fifth is left for unevenness
+    @F.udf("long")
+    def n_words(t):
+        return len(words_of(t))
+
+    total, size, words = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.coalesce(F.sum(n_words("t")), F.lit(0))).first()
+    n = max(1, -(-total // (SHARD_ITEMS * 4 // 5)), -(-size // (SHARD_BYTES * 4 // 5)))  # items are hashed to shards; a fifth is left for unevenness
     keyed = rows.withColumn("shard", F.pmod(F.xxhash64("i"), F.lit(n))).withColumn("ws", distinct_words("t"))
     counts = keyed.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     for shard in range(n):
         own = keyed.where(F.col("shard") == shard)
         held = {bytes(r["w"]): r["df"] for r in counts.join(own.select(F.explode("ws").alias("w")).distinct(), "w").collect()}
-        yield build_index([(r["i"], r["t"]) for r in own.select("i", "t").collect()], held, total, threshold)
+        yield build_index([(r["i"], r["t"]) for r in own.select("i", "t").collect()], held, total, threshold, words / max(1, total))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlaps: tuple[float, float] = (OVERLAP, OVERLAP),
@@ -249,7 +254,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """One row per document row and item found in it: id, ``item_id``, ``score`` (share of the item's BM25 weight), ``question_overlap``,
     ``answer_overlap``, ``first_word`` (of the window).
 
-    Null, empty and wordless texts and items find nothing; repeated rows repeat their findings; of repeated item ids one row counts.
+    Null, empty and wordless texts and items find nothing; an item of fewer than ``SHORT`` words is found where all of them stand together;
+    repeated rows repeat their findings; of repeated item ids one row counts.
     No items give no rows. Each shard of items is one pass over the documents, without a shuffle.
     """
     spark = docs.sparkSession

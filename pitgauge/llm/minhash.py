@@ -26,16 +26,29 @@ from pitgauge.llm.common import append_columns, col, field, without
 from pitgauge.llm.graph import connected_components, forest
 from pitgauge.session import cut_lineage
 
-BANDS, ROWS = 40, 5
-BINS = BANDS * ROWS
-#: Bits of the agreement filter: one of each bin. 0.775 of them agree at a similarity of 0.55; at 0.8 that is six standard deviations away.
-LEAST_BITS = 155
+BINS = 200
+#: A link at the threshold is missed by the bands with at most this probability.
+MISS = 1.3e-7
 TILE = 256
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # fixed values of a published 64-bit mixer
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, 2 * BINS, dtype=np.uint64) | np.uint64(1)
 _VALUE = np.uint64(48)
 
 
+def band_plan(percent: int) -> tuple[int, int]:
+    """Bands and bins of each band: the longest bands that miss a pair at the threshold with a probability of ``MISS`` at most (40 of 5 at 80)."""
+    rows = [r for r in range(1, 21) if (1 - (percent / 100) ** r) ** (BINS // r) <= MISS]
+    if not rows or not 0 < percent <= 100:
+        raise ValueError(f"no plan of {BINS} bins finds similarities of {percent} percent")
+    return BINS // max(rows), max(rows)
+
+
+def least_bits(percent: int) -> int:
+    """Sketch bits, one of each bin, that agree at the threshold, less six standard deviations: half of the bins that differ agree by chance."""
+    p = (1 + percent / 100) / 2
+    return math.ceil(BINS * p - 6 * math.sqrt(BINS * p * (1 - p)))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
@@ -82,17 +95,18 @@ def sketch(items: np.ndarray, bins: int = BINS) -> np.ndarray:
     return best
 
 
-def band_keys(best: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each band of ``ROWS`` bins."""
-    rows = best.reshape(BANDS, ROWS)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for i in range(ROWS):
+def band_keys(best: np.ndarray, bands: int, width: int) -> np.ndarray:
+    """A 64-bit key of each band of ``width`` bins."""
+    rows = best[:bands * width].reshape(bands, width)
+    out = np.arange(bands, dtype=np.uint64)
+    for i in range(width):
         out = mix(out * _MIX[0] + rows[:, i])
     return out.view(np.int64)
 
 
-def sketch_documents(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sketch_documents(docs: DataFrame, words: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, set_hi, set_lo, bands, bits): the digest names the set, ``bits`` are four longs of one bit a bin. Nulls for the empty set."""
+    plan = band_plan(percent)
 
     def make():
         memo: dict[bytes, int] = {}
@@ -108,7 +122,7 @@ def sketch_documents(docs: DataFrame, words: int, key: str = "doc_id", text: str
                 d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)
                 best = sketch(s)
                 flags = np.packbits(np.concatenate([(best >> np.uint64(7)) & np.uint64(1), np.zeros(256 - BINS, np.uint64)]).astype(np.uint8)).view(np.int64)
-                hi.append(int(d[0])), lo.append(int(d[1])), bands.append(band_keys(best)), bits.append(flags)
+                hi.append(int(d[0])), lo.append(int(d[1])), bands.append(band_keys(best, *plan)), bits.append(flags)
             return n, hi, lo, pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))
 
         return run
@@ -121,12 +135,15 @@ def may_link(a: str, b: str, percent: int) -> Column:
     """What can reach the similarity by size (exact) and by agreement of sketch bits."""
     size_a, size_b = F.col(f"{a}.n"), F.col(f"{b}.n")
     same = F.lit(256) - sum(F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(4))
-    return (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & (same >= LEAST_BITS + 256 - BINS)
+    return (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & (same >= least_bits(percent) + 256 - BINS)
 
 
-def full_sets(ids: DataFrame, docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """(id, shingles) of the given ids, from their texts."""
+def full_sets(ids: DataFrame, docs: DataFrame, words: int, key: str, text: str, repeated: DataFrame | None = None) -> DataFrame:
+    """(id, shingles) of the given ids, from their texts: one row each, so ``repeated`` ids are cut to one of their equal rows."""
     texts = docs.select(col(key).alias("_id"), col(text).alias("_text0")).join(ids, "_id", "left_semi")
+    if repeated is not None:
+        once = texts.join(repeated, "_id", "left_semi").groupBy("_id").agg(F.min("_text0").alias("_text0"))
+        texts = texts.join(repeated, "_id", "left_anti").unionByName(once)
 
     def make():
         memo: dict[bytes, int] = {}
@@ -214,19 +231,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets. Null, empty and wordless texts have
     an empty set and stay alone. A repeated id must repeat its text; its rows are all returned. An empty table
-    gives an empty result. Other columns are ignored. A link at the threshold is missed by the bands with a probability of 1e-7.
+    gives an empty result. Other columns are ignored. Bands follow from ``percent`` (``band_plan``): a link at the threshold is missed with a probability
+    of 1.3e-7, a nearer one with less; a ``percent`` that the sketch is too small for is an error.
     """
-    sketches = cut_lineage(sketch_documents(docs, words, key, text))
+    sketches = cut_lineage(sketch_documents(docs, words, percent, key, text))
     sets = (sketches.where("set_hi is not null").groupBy("set_hi", "set_lo")
             .agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("_id", "n_shingles", "bands", "bits")).alias("x")))
     sets = cut_lineage(sets.select("set_hi", "set_lo", "rep", "copies", F.col("x.n_shingles").alias("n"), "x.bands", *[F.col("x.bits")[i].alias(f"s{i}") for i in range(4)]))
+    repeated = cut_lineage(sketches.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id"))
+    repeated = None if repeated.isEmpty() else repeated
     member = F.struct("rep", "n", "s0", "s1", "s2", "s3")
     rows = sets.select(F.explode("bands").alias("band"), member.alias("m"))
     full = cut_lineage(rows.groupBy("band").agg(F.min("m").alias("lead"), F.max("m.rep").alias("most")).where("lead.rep <> most").select("band", "lead"))
     led = rows.join(full, "band").where("m.rep <> lead.rep").where(may_link("m", "lead", percent))
     pairs = cut_lineage(led.groupBy(F.col("m.rep").alias("a"), F.col("lead.rep").alias("b")).agg(F.count(F.lit(1)).alias("shared")))
     cands = cut_lineage(connected_components(pairs.select("a", "b")))
-    shingles = full_sets(ends(pairs), docs, words, key, text)
+    shingles = full_sets(ends(pairs), docs, words, key, text, repeated)
     best = pairs.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("nb"))).alias("x")).select("a", (-F.col("x.nb")).alias("b"))
     links = cut_lineage(verify(best, shingles, percent))
     parts = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("part"))
@@ -235,7 +255,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     links = links.union(cut_lineage(tiled_links(members, shingles, percent)))
     rest = cut_lineage(open_pairs(rows, full, cands, percent))
     if not rest.isEmpty():
-        links = links.union(verify(rest, full_sets(ends(rest), docs, words, key, text), percent))
+        links = links.union(verify(rest, full_sets(ends(rest), docs, words, key, text, repeated), percent))
     parts = cut_lineage(connected_components(links))
     named = sets.join(parts, F.col("rep") == F.col("node"), "left").where("copies > 1 or component <> rep")
     named = named.select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"))

@@ -11,7 +11,8 @@ import hashlib
 import math
 import random
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field as plain
 
 from pyspark.sql import DataFrame
@@ -28,7 +29,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-LONGEST = 18
+#: Candidates have at most so many tokens, and so many digits unless they have an @; no kind of the contract has more than 19 digits.
+LONGEST, MOST_DIGITS = 18, 24
 TRIGGER = re.compile(r"[0-9]+|@|[\[({<]\s?(?:at|AT|dot|DOT)\s?[\])}>]")
 SPELLED = re.compile(TRIGGER.pattern + r"|\b(?:at|AT)\b(?=.{1,40}\b(?:dot|DOT)\b)")
 DOT = re.compile(r"\b(?:dot|DOT)\b")
@@ -133,50 +135,87 @@ class Field:
         get = self.weights.get
         return [sum(get((k, f), 0.0) for f in feats) for k in KINDS]
 
+    def scorer(self) -> Callable[[list[str]], list[float]]:
+        """``scores`` of a fitted field, with the weights of each feature side by side."""
+        rows: dict[str, list[float]] = {}
+        for (k, f), w in self.weights.items():
+            rows.setdefault(f, [0.0] * len(KINDS))[KINDS.index(k)] = w
+        none = [0.0] * len(KINDS)
+        return lambda feats: [sum(x) for x in zip(*[rows.get(f, none) for f in feats])]
 
-def lattice(tokens: list[str], gaps: list[bool]) -> list[list[tuple[int, list[str]]]]:
-    """By end position: starts and features of the candidates that end there.
+
+def candidates(tokens: list[str], gaps: list[bool], j: int) -> list[tuple[int, list[str]]]:
+    """Lengths and features of the candidates that end before token ``j``.
 
     A candidate has no sign outside ``INSIDE``, has a digit or an @ (spelled out or not), and has letters only if it has an @.
     """
-    out: list[list[tuple[int, list[str]]]] = [[] for _ in range(len(tokens) + 1)]
-    for j in range(1, len(tokens) + 1):
-        digit = letter = at = False
-        for i in range(j - 1, max(-1, j - 1 - LONGEST), -1):
-            t = tokens[i]
-            if t.isalpha():
-                letter, at = True, at or t in ("at", "AT")
-            elif t.isdecimal():
-                digit = True
-            elif t not in INSIDE:
-                break
-            else:
-                at |= t == "@"
-            if (at or digit and not letter) and (f := span_features(tokens, gaps, i, j)) is not None:
-                out[j].append((i, f))
+    out = []
+    digits, letter, at = 0, False, False
+    for i in range(j - 1, max(-1, j - 1 - LONGEST), -1):
+        t = tokens[i]
+        if t.isalpha():
+            letter, at = True, at or t in ("at", "AT")
+        elif t.isdecimal():
+            digits += len(t)
+        elif t not in INSIDE:
+            break
+        else:
+            at |= t == "@"
+        if digits > MOST_DIGITS and not at:
+            break
+        if (at or digits and not letter) and (f := span_features(tokens, gaps, i, j)) is not None:
+            out.append((j - i, f))
     return out
 
 
-def decode(model: Field, tokens: list[str], gaps: list[bool]) -> list[tuple[int, int, str]]:
-    """Best segmentation of a window: token ranges and kinds. Of equal scores the plain reading, then the earlier kind, wins."""
-    cells = lattice(tokens, gaps)
-    best, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
-    for j in range(1, len(tokens) + 1):
-        best[j] = best[j - 1]
-        for i, f in cells[j]:
-            for k, s in zip(KINDS, model.scores(f)):
-                if best[i] + s - model.cost > best[j] + 1e-12:
-                    best[j], back[j] = best[i] + s - model.cost, (i, k)
-    out, j = [], len(tokens)
+def cells(stream: Iterable[tuple[str, bool]]) -> Iterator[list[tuple[int, list[str]]]]:
+    """``candidates`` by end position, from the first token's on. Few tokens are held: those that the longest candidate and its context can reach."""
+    tokens, gaps = [], []
+    for token, gap in stream:
+        tokens.append(token)
+        gaps.append(gap)
+        if len(tokens) > 1:
+            yield candidates(tokens, gaps, len(tokens) - 1)
+        if len(tokens) > 1_000:
+            del tokens[:-LONGEST - 3], gaps[:-LONGEST - 3]
+    if tokens:
+        yield candidates(tokens, gaps, len(tokens))
+
+
+def lattice(tokens: list[str], gaps: list[bool]) -> list[list[tuple[int, list[str]]]]:
+    """By end position: starts and features of the candidates that end there."""
+    return [[], *[[(j - n, f) for n, f in cell] for j, cell in enumerate(cells(zip(tokens, gaps)), 1)]]
+
+
+def segment(model: Field, stream: Iterable[tuple[str, bool]]) -> list[tuple[int, int, str]]:
+    """Best segmentation of a window: token ranges and kinds. Of equal scores the plain reading, then the earlier kind, wins.
+
+    The program keeps the scores of the last ``LONGEST`` positions and two bytes a token to trace back by, so a window may be a whole long text.
+    """
+    score, m = model.scorer(), LONGEST + 1
+    best, length, kind = [0.0] * m, bytearray(1), bytearray(1)
+    for j, cell in enumerate(cells(stream), 1):
+        top, n_top, k_top = best[(j - 1) % m], 0, 0
+        for n, f in cell:
+            before = best[(j - n) % m]
+            for k, s in enumerate(score(f)):
+                if before + s - model.cost > top + 1e-12:
+                    top, n_top, k_top = before + s - model.cost, n, k
+        best[j % m] = top
+        length.append(n_top)
+        kind.append(k_top)
+    out, j = [], len(length) - 1
     while j > 0:
-        if back[j] is None:
-            j -= 1
-        else:
-            out.append((back[j][0], j, back[j][1]))
-            j = back[j][0]
+        if length[j]:
+            out.append((j - length[j], j, KINDS[kind[j]]))
+        j -= max(1, length[j])
     return out[::-1]
 
 
+def decode(model: Field, tokens: list[str], gaps: list[bool]) -> list[tuple[int, int, str]]:
+    return segment(model, zip(tokens, gaps))
+
+
 def example(rng: random.Random) -> tuple[list[str], list[bool], list[tuple[int, int, str]]]:
     """A training sentence: invented words with personal data in strict and loose forms, and with numbers that are none."""
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -280,37 +319,38 @@ def learn(sentences: int = 250, epochs: int = 6, rate: float = 0.3, penalty: flo
 
 
 def added_spans(text: str, base: list[Span], model: Field) -> list[Span]:
-    """Spans of the field outside the patterns' spans, in windows around what could hold personal data."""
-    found = [m.span() for m in (SPELLED if DOT.search(text) else TRIGGER).finditer(text)]
-    if not found:
-        return []
-    taken = sorted((a, b) for a, b, _ in base)
-    out, k, t = [], 0, 0
-    free: list[tuple[int, int]] = []
-    for a, b in [*taken, (len(text), len(text))]:  # the places between base spans
-        if a > k:
-            free.append((k, a))
+    """Spans of the field outside the patterns' spans, in windows around what could hold personal data; a window is read token by token."""
+    triggers = (m.span() for m in (SPELLED if DOT.search(text) else TRIGGER).finditer(text))
+    found = next(triggers, None)
+    out, k = [], 0
+    for a, b in [*sorted((a, b) for a, b, _ in base), (len(text), len(text))]:  # the places between base spans
+        lo, hi = k, a
         k = max(k, b)
-    for lo, hi in free:
-        while t < len(found) and found[t][0] < lo:
-            t += 1
-        while t < len(found) and found[t][0] < hi:
-            start, end = found[t]
-            t += 1
-            while t < len(found) and found[t][0] < min(hi, end + 40):
-                end = max(end, found[t][1])
-                t += 1
+        while found and found[0] < lo:
+            found = next(triggers, None)
+        while found and found[0] < hi:
+            start, end = found
+            found = next(triggers, None)
+            while found and found[0] < min(hi, end + 40):
+                end = max(end, found[1])
+                found = next(triggers, None)
             left, right = text[max(lo, start - 200):start], text[min(end, hi):min(hi, end + 200)]
             before = [m.start() for m in TOKEN.finditer(left)][-LONGEST:]
             after = [m.end() for m in TOKEN.finditer(right)][:LONGEST]
-            a = max(lo, start - 200) + (before[0] if before else len(left))
-            b = min(end, hi) + (after[-1] if after else 0)
-            tokens, at = tokenise(text, a, b)
-            gaps = [k > 0 and at[k - 1][1] < at[k][0] for k in range(len(at))]
-            for i, j, kind in decode(model, tokens, gaps):
-                s, e = at[i][0], at[j - 1][1]
-                if not out or s >= out[-1][1]:
-                    out.append((s, e, kind))
+            first = max(lo, start - 200) + (before[0] if before else len(left))
+            last = min(end, hi) + (after[-1] if after else 0)
+            starts, ends = array("q"), array("q")
+
+            def tokens():
+                for m in TOKEN.finditer(text, first, last):
+                    gap = len(ends) > 0 and ends[-1] < m.start()
+                    starts.append(m.start())
+                    ends.append(m.end())
+                    yield m.group(), gap
+
+            for i, j, kind in segment(model, tokens()):
+                if not out or starts[i] >= out[-1][1]:
+                    out.append((starts[i], ends[j - 1], kind))
     return out
 
 

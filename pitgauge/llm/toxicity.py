@@ -87,10 +87,12 @@ def hits(folded: str, automaton) -> list[tuple[int, int, float]]:
         return found
     shields = sorted((s, e) for s, e, w in found if w is None)
     out: list[tuple[int, int, float]] = []
+    k, reach = 0, -1  # phrases that have begun, and how far the farthest of them goes
     for s, e, w in sorted((x for x in found if x[2] is not None), key=lambda x: (x[0], -x[2])):
-        while shields and shields[0][1] <= s:
-            shields.pop(0)
-        if any(a <= s + 1 and e - 1 <= b for a, b in shields[:8]):
+        while k < len(shields) and shields[k][0] <= s + 1:
+            reach = max(reach, shields[k][1])
+            k += 1
+        if e - 1 <= reach:
             continue
         if out and s + 1 < out[-1][1]:
             if w > out[-1][2]:

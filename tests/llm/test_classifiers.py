@@ -117,3 +117,52 @@ def test_sample_leaves_out_held_out_rows_and_nulls(spark):
     want = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
     assert texts == [f"text {i}" for i in want] and ys == [i % 2 for i in want]
     assert len(labelled_sample(docs, labels, "toxic", remainder(5) != 0, 7, 1000)[0]) == 14
+
+
+def plain_hits(folded, lexicon):
+    """Terms of a folded text by search at every place, without those inside any exception phrase; of terms that overlap, the heaviest counts."""
+    places = lambda t: [i for i in range(len(folded)) if folded.startswith(t, i)]
+    covers = [(i, i + len(p)) for p in lexicon.exceptions for i in places(p)]
+    found = sorted((i, -w, i + len(t), w) for t, w in lexicon.terms.items() for i in places(t))
+    out = []
+    for s, _, e, w in found:
+        if any(a <= s + 1 and e - 1 <= b for a, b in covers):
+            continue
+        if out and s + 1 < out[-1][1]:
+            if w > out[-1][2]:
+                out[-1] = (s, e, w)
+        else:
+            out.append((s, e, w))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_matcher_equals_a_plain_search_with_all_exceptions(seed):
+    rng = random.Random(seed)
+    words = ["ab", "abc", "b", "ca", "bad", "good", "x"]
+    phrase = lambda n: " " + " ".join(rng.choice(words) for _ in range(n)) + " "
+    lexicon = toxicity.Lexicon({(" " + rng.choice(words) + rng.choice(["", " "])): rng.choice([0.5, 1.0, 2.0]) for _ in range(4)},
+                               sorted({phrase(rng.randint(1, 7)) for _ in range(rng.randint(0, 25))} - set()))
+    lexicon.exceptions = [p for p in lexicon.exceptions if p not in lexicon.terms]
+    for _ in range(10):
+        folded = toxicity.fold(" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))))
+        assert toxicity.hits(folded, lexicon.automaton()) == plain_hits(folded, lexicon)
+
+
+def test_more_phrases_than_eight_that_end_before_a_long_one():
+    """A long phrase that begins first keeps nothing from being asked."""
+    short = [f" s{i} t{i} " for i in range(12)]
+    long = " a " + " ".join(s.strip() for s in short) + " q bad zz "
+    lexicon = toxicity.Lexicon({" bad ": 2.0}, [long, " bad zz ", *short])
+    text = "a " + " ".join(s.strip() for s in short) + " bad zz then bad luck"
+    assert [s for s, *_ in toxicity.hits(toxicity.fold(text), lexicon.automaton())] == [toxicity.fold(text).rindex(" bad ")]
+
+
+def test_conflicting_and_repeated_labels(spark):
+    from pyspark.sql import functions as F
+
+    from pitgauge.llm.labelled import labelled_sample
+
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(6)] + [(1, "s1"), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (4, None), (5, 0)], "doc_id long, toxic int")
+    assert labelled_sample(docs, labels, "toxic", F.lit(True), 10, 100) == (["t0", "s1", "t3", "t5"], [1, 1, 0, 0])

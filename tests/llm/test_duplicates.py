@@ -171,3 +171,36 @@ def test_join_of_copies_and_empty_tables(spark):
     assert got == {**{i: (49, 0) for i in range(50)}, 60: (0, 60), 61: (0, 61)}
     assert ego_join.epsilon_join(spark.createDataFrame([], schema)).count() == 0
     assert ego_join.epsilon_join(spark.createDataFrame([(1, None, 1), (2, [0.0], 1)], schema)).count() == 2
+
+
+def test_bands_follow_from_the_similarity():
+    assert minhash.band_plan(80) == (40, 5) and minhash.least_bits(80) == 155 and minhash.least_bits(100) == 200
+    for percent in range(20, 101, 5):
+        bands, rows = minhash.band_plan(percent)
+        assert bands * rows <= minhash.BINS and (1 - (percent / 100) ** rows) ** bands <= minhash.MISS
+    for percent in (0, 3, 101):
+        with pytest.raises(ValueError):
+            minhash.band_plan(percent)
+
+
+@pytest.mark.parametrize("percent", [50, 65, 90])
+def test_other_similarities_find_all_links(spark, percent):
+    """Pairs of about the wanted similarity, each apart from all others."""
+    rng = random.Random(percent)
+    texts = []
+    for k in range(120):
+        base = [f"p{k}w{i}" for i in range(160)]
+        copy, lost = list(base), round(160 * (1 - percent / 100) / (1 + percent / 100)) + rng.choice([-2, -1, 0, 1])
+        copy[160 - max(0, lost):] = [f"q{k}w{i}" for i in range(max(0, lost))]
+        texts += [" ".join(base), " ".join(copy)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    low = plain_components(texts, 3, percent)[1]
+    assert 40 < sum(low[i] != i for i in range(len(texts))) < 120
+    assert [r["component_id"] for r in minhash.near_duplicates(df, words=3, percent=percent).orderBy("doc_id").collect()] == low
+
+
+def test_repeated_rows_stay_in_proportion(spark):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-3] + ["x", "y", "z"]))] * 3_000 + [(3, "something else")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=4).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 3_000), (2, 1, 3_000), (3, 3, 1)]

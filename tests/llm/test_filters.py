@@ -61,7 +61,7 @@ def test_no_window_that_reaches_the_threshold_is_skipped(benchmark_rows):
             parts = [w for w in decontaminate.words_of(" ".join(text))]
             import numpy as np
 
-            found = set(decontaminate.windows(np.array([index.terms.get(w, 0) for w in parts], dtype=np.int64), o))
+            found = {k - 1 for k in decontaminate.windows(np.array([index.terms.get(w, 0) for w in parts], dtype=np.int64), 1 + np.arange(len(parts)) // o.size, o).tolist()}
             for start in range(0, max(1, len(parts) - o.size), o.size):
                 query = {index.terms[w] for w in parts[start:start + 2 * o.size] if w in index.terms}
                 if decontaminate.block_max_wand(o, sorted(query), 0.5):
@@ -165,6 +165,66 @@ def test_loose_forms_are_added_and_plain_text_is_left(model):
 def test_long_runs_of_digits_and_words(model):
     for text in ("1" * 300_000, "a" * 300_000 + "@", "1." * 50_000, "+" * 50_000 + "1", "@" * 50_000):
         pii.base_spans(text)
+
+
+def test_a_long_table_of_numbers_is_one_window_of_little_memory(model):
+    import random
+    import tracemalloc
+
+    rng = random.Random(8)
+    rows = [" ".join(str(rng.randrange(10 ** rng.randint(1, 6))) for _ in range(6)) for _ in range(1_500)]
+    text = "\n".join([*rows, "call (243) 555-5526 now", *rows])
+    tracemalloc.start()
+    spans = pii.added_spans(text, pii.base_spans(text), model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(text) and any(k == "phone" and text[a:b] == "(243) 555-5526" for a, b, k in spans)
+
+
+def test_windows_read_token_by_token_equal_the_whole_lattice(model):
+    import random
+
+    rng = random.Random(6)
+    tokens, gaps = [], []
+    for _ in range(120):
+        t, g, _ = pii.example(rng)
+        tokens += t
+        gaps += [False, *g[1:]]
+    cells = pii.lattice(tokens, gaps)
+    best, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
+    for j in range(1, len(tokens) + 1):
+        best[j] = best[j - 1]
+        for i in range(max(0, j - pii.LONGEST), j):
+            f = dict(cells[j]).get(i)
+            assert f is None or f == pii.span_features(tokens, gaps, i, j)
+        for i, f in cells[j]:
+            for k, s in zip(pii.KINDS, model.scores(f)):
+                if best[i] + s - model.cost > best[j] + 1e-12:
+                    best[j], back[j] = best[i] + s - model.cost, (i, k)
+    want, j = [], len(tokens)
+    while j:
+        if back[j]:
+            want.append((back[j][0], j, back[j][1]))
+        j = back[j][0] if back[j] else j - 1
+    assert len(tokens) > 1_500 and pii.decode(model, tokens, gaps) == want[::-1]
+
+
+def test_short_and_long_items(spark):
+    """Short items have to stand together; a long item costs short texts nothing; shards of one item give what one shard gives."""
+    items = spark.createDataFrame([(1, "red fox"), (2, "what is the capital of france? paris is the capital."), (3, " ".join(f"w{i}" for i in range(3_000))), (4, "the the the fox the the the")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the fox is red and red is the fox"), (2, "a Red, fox!"), (3, "x " * 40 + "what is the capital of france paris is the capital" + " y" * 40), (4, " ".join(f"w{i}" for i in range(3_000)))]
+                                 + [(10 + i, f"short text {i}") for i in range(50)], "doc_id long, text string")
+    got = sorted(map(tuple, decontaminate.contaminated(docs, items).collect()))
+    assert {(r[0], r[1]) for r in got} == {(2, 1), (3, 2), (4, 3)}
+    before = decontaminate.SHARD_ITEMS, decontaminate.SHARD_BYTES
+    try:
+        decontaminate.SHARD_ITEMS, decontaminate.SHARD_BYTES = 2, 1_000
+        assert sorted(map(tuple, decontaminate.contaminated(docs, items).collect())) == got
+    finally:
+        decontaminate.SHARD_ITEMS, decontaminate.SHARD_BYTES = before
+
+
+def test_personal_data_after_long_runs(model):
     assert pii.added_spans("1 " * 3_000, [], model) is not None
 
 
@@ -216,7 +276,7 @@ def test_reputation_shrinks_small_hosts(spark):
 
 
 def test_queries_of_this_package():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("drop", [False, True])
