@@ -1,142 +1,121 @@
 """Structured Streaming jobs over live readings: latest state, trend, alerts, board, daily roll-up.
 
-State tables are written below the shared folder in buckets of their key. Batch n reads what older batches left of the buckets it
-touches and writes these buckets anew as version n, so a replayed batch rewrites the same files, untouched buckets cost nothing,
-and the result does not depend on which executors survive. Of each bucket the last two versions are kept.
+State is Spark's own: aggregates, deduplication and keyed state functions below a query's checkpoint. What a job emits is written per
+micro-batch as plain Parquet (``batch=<n>``), so a replayed batch writes the same folder again; the current table is the newest row of each key.
+Calling a job again with its path goes on from its checkpoint.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pitgauge.functions import scoring as S
-from pitgauge.operators import boards as B
-from pitgauge.operators.windows import trend_of_last3
 from pitgauge.schemas import decisions
-from pitgauge.session import cut_lineage, scratch_path
+from pitgauge.session import scratch_path
 
 HISTORY = 12
+DAY_MS = 86_400_000
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Process everything that is available now, batch by batch, then stop."""
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Process everything that is available now, batch by batch, then stop; the ended query, for its progress."""
     q = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).foreachBatch(each).start())
     q.awaitTermination()
+    return q
 
 
-class VersionedTable:
-    """A keyed state table below a shared path: ``v=<batch>/b=<bucket>``, the newest version of each bucket being current."""
-
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], schema: T.StructType | None = None, buckets: int = 16):
-        self.spark, self.path, self.keys, self.schema, self.buckets = spark, path.rstrip("/"), list(keys), schema, buckets
-
-    def _fs(self):
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return root, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _versions(self) -> dict[int, list[int]]:
-        """Complete versions by bucket, from the oldest."""
-        root, fs = self._fs()
-        found: dict[int, list[int]] = {}
-        for s in fs.listStatus(root) if fs.exists(root) else []:
-            names = {f.getPath().getName() for f in fs.listStatus(s.getPath())} if s.isDirectory() else set()
-            if "_SUCCESS" in names:
-                for n in names:
-                    if n.startswith("b="):
-                        found.setdefault(int(n[2:]), []).append(int(s.getPath().getName()[2:]))
-        return {b: sorted(v) for b, v in found.items()}
-
-    def _read(self, newest: dict[int, int]) -> DataFrame:
-        if not newest:
-            return self.spark.createDataFrame([], self.schema)
-        reader = self.spark.read if self.schema is None else self.spark.read.schema(self.schema)
-        return reader.parquet(*[f"{self.path}/v={v}/b={b}" for b, v in sorted(newest.items())])
-
-    def bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("b", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
-
-    def before(self, version: int, touched: Sequence[int] | None = None) -> DataFrame | None:
-        """What batches before ``version`` left, of the touched buckets or of all."""
-        older = {b: [v for v in vs if v < version] for b, vs in self._versions().items() if touched is None or b in touched}
-        newest = {b: vs[-1] for b, vs in older.items() if vs}
-        return self._read(newest) if newest else None
-
-    def latest(self) -> DataFrame:
-        """The current state; empty before the first batch."""
-        return self._read({b: vs[-1] for b, vs in self._versions().items()})
-
-    def merge(self, new: DataFrame, version: int, combine: Callable[[DataFrame], DataFrame]) -> None:
-        """``combine`` over the old rows and the new ones of the buckets that the batch touches, as version ``version``."""
-        if self.schema is None:
-            self.schema = new.schema
-        touched = [r["b"] for r in self.bucketed(new).select("b").distinct().collect()]
-        old = self.before(version, touched)
-        rows = combine(new if old is None else old.unionByName(new))
-        self.bucketed(rows).write.mode("overwrite").partitionBy("b").parquet(f"{self.path}/v={version}")
-        self._forget(version)
-
-    def _forget(self, version: int) -> None:
-        """Delete buckets that two newer complete versions replace, and versions that have none left."""
-        root, fs = self._fs()
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        versions = self._versions()
-        for b, vs in versions.items():
-            for v in [v for v in vs if v < version][:-1]:
-                fs.delete(path(f"{self.path}/v={v}/b={b}"), True)
-        kept = {v for vs in self._versions().values() for v in vs}
-        for v in {v for vs in versions.values() for v in vs} - kept:
-            fs.delete(path(f"{self.path}/v={v}"), True)
-
-
-def newest_rows(order: Sequence[str], key: str = "zone_id") -> Callable[[DataFrame], DataFrame]:
-    """The latest row per key, by an aggregate that is combined map-side."""
-
-    def combine(rows: DataFrame) -> DataFrame:
-        packed = F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(*order))
-        return rows.groupBy(key).agg(packed.alias("s")).select(key, "s.*")
-
-    return combine
-
-
-def latest_state(stream: DataFrame, path: str, order: list[str], key: str = "zone_id") -> VersionedTable:
-    """Score table with the latest reading per zone."""
-    table = VersionedTable(stream.sparkSession, f"{path}/latest", [key], T.StructType([stream.schema[key]] + [f for f in stream.schema if f.name != key]))
-    run_available(stream, lambda batch, n: table.merge(batch, n, newest_rows(order, key)), f"{path}/latest-checkpoint")
-    return table
-
-
-def last_scores(rows: DataFrame, order: list[str], n: int = HISTORY, key: str = "zone_id") -> DataFrame:
-    """The n newest readings per zone.
-
-    The rank filter is applied on each map task before the exchange, so a zone that sends a
-    third of all readings still ships at most n rows per task.
-    """
-    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+class Emitted:
+    """What a query has emitted so far: one folder per micro-batch."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.path}/batch=-1")  # so that there is a table before the first batch
+
+    def write(self, batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch={n}")
+
+    def rows(self) -> DataFrame:
+        """All rows with their ``batch``."""
+        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])).parquet(self.path)
+
+    def newest(self, keys: Sequence[str]) -> DataFrame:
+        """The row of each key that was emitted last."""
+        packed = F.max_by(F.struct(*[c for c in self.schema.names if c not in keys]), F.col("batch"))
+        return self.rows().groupBy(*keys).agg(packed.alias("s")).select(*keys, "s.*")
+
+
+def emit(stream: DataFrame, path: str, mode: str, shape: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> Emitted:
+    """Run a query over what is available and keep what it emits, in the form ``shape`` gives it."""
+    out = Emitted(stream.sparkSession, f"{path}/rows", shape(stream).schema)
+    run_available(stream, lambda batch, n: out.write(shape(batch), n), f"{path}/checkpoint", mode)
+    return out
+
+
+def latest_state(stream: DataFrame, path: str, order: list[str], key: str = "zone_id") -> DataFrame:
+    """The latest reading per zone: an aggregate in the state store, combined map-side; changed zones are emitted."""
+    packed = F.max_by(F.struct(*[c for c in stream.columns if c != key]), F.struct(*order))
+    return emit(stream.groupBy(key).agg(packed.alias("s")).select(key, "s.*"), f"{path}/latest", "update").newest([key])
+
+
+STATE = "micros array<long>, event_id array<long>, score array<double>"
 
 
-def score_history(stream: DataFrame, path: str, order: list[str], key: str = "zone_id") -> VersionedTable:
-    """The last twelve scores per zone, kept across micro-batches."""
-    rows = stream.select(key, *order, "score")
-    table = VersionedTable(stream.sparkSession, f"{path}/history", [key], rows.schema)
-    run_available(rows, lambda batch, n: table.merge(batch, n, lambda both: last_scores(both, order, key=key)), f"{path}/history-checkpoint")
-    return table
+def newest_history(expire_ms: int, shape: Callable[[int, list], pd.DataFrame], nothing: Callable[[int], pd.DataFrame]) -> Callable:
+    """Keyed state function: the newest readings of a zone as ``shape`` gives them, ``nothing`` once the zone expires."""
 
+    def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield nothing(key[0])
+            return
+        kept = list(zip(*state.get)) if state.exists else []
+        for pdf in chunks:  # Arrow chunks: memory does not grow with the group
+            new = pdf.nlargest(HISTORY, ["micros", "event_id"])
+            kept += zip(new["micros"].tolist(), new["event_id"].tolist(), new["score"].tolist())
+            kept = sorted(kept)[-HISTORY:]
+        state.update(tuple(list(x) for x in zip(*kept)))
+        state.setTimeoutTimestamp(max(kept[-1][0] // 1000 + expire_ms, state.getCurrentWatermarkMs() + 1))
+        yield shape(key[0], kept)
 
-def trend_now(history: DataFrame, order: list[str], key: str = "zone_id") -> DataFrame:
+    return update
+
+
+def _keyed(stream: DataFrame, update: Callable, schema: str, delay: str) -> DataFrame:
+    """``stream`` has (zone_id, micros, event_id, score, event_time). A zone that a third of all readings come from is read in chunks."""
+    rows = stream.select("zone_id", "micros", "event_id", "score", "event_time").withWatermark("event_time", delay)
+    return rows.groupBy("zone_id").applyInPandasWithState(update, schema, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+HISTORY_SCHEMA = f"zone_id long, {STATE}"
+
+
+def score_history(stream: DataFrame, path: str, delay: str = "30 days", expire_days: int = 60) -> DataFrame:
+    """The last twelve scores per zone, oldest first, from keyed state.
+
+    A zone without a reading for ``expire_days`` of event time loses its state and its row. Readings more than ``delay`` behind the newest ones of earlier
+    batches come too late to be used.
+    """
+    make = lambda zone, kept: pd.DataFrame({"zone_id": [zone], **{n: [[r[i] for r in kept]] for i, n in enumerate(("micros", "event_id", "score"))}})
+    update = newest_history(expire_days * DAY_MS, make, lambda zone: make(zone, []))
+    return emit(_keyed(stream, update, HISTORY_SCHEMA, delay), f"{path}/history", "update").newest(["zone_id"]).where(F.size("score") > 0)
+
+
+def trend_now(history: DataFrame) -> DataFrame:
     """Trend and rapid flag of each zone from its kept history."""
-    up = Window.partitionBy(key).orderBy(*order)
-    rows = history.withColumns({"trend": trend_of_last3("score", up), "_last": F.lead("score").over(up).isNull(),
-                                "n_history": F.count(F.lit(1)).over(Window.partitionBy(key))})
-    return rows.where("_last").select(key, "n_history", "score", "trend", (F.col("trend") == "rapidly_increasing").alias("rapid"))
+    n = F.size("score")
+    c, b, a = (F.get("score", n - k) for k in (1, 2, 3))  # null where there are fewer
+    rapid = ((b - a >= 8) & (c - b >= 8)) | (c - a >= 25)
+    trend = F.when(n < 3, "stable").when(rapid, "rapidly_increasing").when(c > a, "rising").otherwise("stable")
+    rows = history.where(n > 0).select("zone_id", n.cast("long").alias("n_history"), c.alias("last"), trend.alias("trend"))
+    return rows.select("zone_id", "n_history", F.col("last").alias("score"), "trend", (F.col("trend") == "rapidly_increasing").alias("rapid"))
 
 
 TREND_SCHEMA = "zone_id long, n_history long, score double, trend string, rapid boolean"
@@ -151,89 +130,131 @@ def _trend(scores: list[float]) -> str:
     return "rising" if c > a else "stable"
 
 
-def _keep_newest(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Merge Arrow chunks into the twelve newest readings; memory does not grow with the group."""
-    kept = [tuple(x) for x in json.loads(state.get[0])] if state.exists else []
-    for pdf in chunks:
-        new = pdf.nlargest(HISTORY, ["micros", "event_id"])
-        kept += list(zip(new["micros"].tolist(), new["event_id"].tolist(), new["score"].tolist()))
-        kept = sorted(kept)[-HISTORY:]
-    state.update((json.dumps(kept),))
-    scores = [s for _, _, s in kept]
-    t = _trend(scores)
-    yield pd.DataFrame({"zone_id": [key[0]], "n_history": [len(kept)], "score": [scores[-1]], "trend": [t], "rapid": [t == "rapidly_increasing"]})
+def _trend_row(zone: int, kept: list) -> pd.DataFrame:
+    t = _trend([s for *_, s in kept])
+    return pd.DataFrame({"zone_id": [zone], "n_history": [len(kept)], "score": [kept[-1][2] if kept else None], "trend": [t], "rapid": [t == "rapidly_increasing"]})
 
 
-def trend_by_state(stream: DataFrame) -> DataFrame:
-    """The trend as a keyed state operator: one updated row per zone and trigger.
+def trend_by_state(stream: DataFrame, delay: str = "30 days", expire_days: int = 60) -> DataFrame:
+    """The trend as a keyed state operator: one updated row per zone and trigger; ``n_history`` 0 marks a zone whose state has expired."""
+    return _keyed(stream, newest_history(expire_days * DAY_MS, _trend_row, lambda zone: _trend_row(zone, [])), TREND_SCHEMA, delay)
 
-    ``stream`` has (zone_id, micros, event_id, score). The state holds at most twelve readings.
-    """
-    return stream.groupBy("zone_id").applyInPandasWithState(
-        _keep_newest, TREND_SCHEMA, "history string", "update", GroupStateTimeout.NoTimeout)
+
+def trend_state(stream: DataFrame, path: str, delay: str = "30 days", expire_days: int = 60) -> DataFrame:
+    """The newest trend of each zone that has not expired."""
+    return emit(trend_by_state(stream, delay, expire_days), f"{path}/trend", "update").newest(["zone_id"]).where("n_history > 0")
 
 
-def alerts(scored: DataFrame, path: str, key: str = "zone_id") -> VersionedTable:
-    """High and Critical readings with the first decision, once per zone and band however long the stream runs.
+def alerts(scored: DataFrame, path: str, window: str = "30 days", key: str = "zone_id") -> DataFrame:
+    """High and Critical readings with the first decision: one alert per zone and band within ``window`` of event time.
 
-    The state is the alerts raised so far, at most one row per zone and band; it needs no watermark.
+    An alert's state goes once the watermark is ``window`` past it, so a zone that is hot again later is reported again: ``raised_at`` tells them apart.
     """
     spark = scored.sparkSession
     first = decisions(spark).where("pos = 0").select("band", "message", "action")
     named = F.concat(F.lit("Zone "), F.col(key).cast("string"))
+    hot = scored.select(key, "event_time", S.score_band("score").alias("band")).where(F.col("band").isin("High", "Critical"))
+    once = hot.withWatermark("event_time", window).dropDuplicatesWithinWatermark([key, "band"])
+    found = emit(once.select(key, "band", F.col("event_time").alias("raised_at")), f"{path}/alerts", "append").rows()
+    return found.join(first, "band").select(key, "band", F.replace("message", F.lit("{zone}"), named).alias("summary"), "action", "raised_at")
+
 
-    def raised(batch: DataFrame) -> DataFrame:
-        hot = batch.withColumn("band", S.score_band("score")).where(F.col("band").isin("High", "Critical")).select(key, "band").distinct()
-        return hot.join(first, "band").select(key, "band", F.replace("message", F.lit("{zone}"), named).alias("summary"), "action")
+CHANGE_SCHEMA = "zone_id long, old_score double, score double"
+
+
+def _board_change(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A zone's latest score before and after a batch, if a later reading came."""
+    old = newest = state.get if state.exists else None
+    for pdf in chunks:
+        top = pdf.nlargest(1, ["micros", "event_id"])
+        row = (int(top["micros"].iloc[0]), int(top["event_id"].iloc[0]), float(top["score"].iloc[0]))
+        newest = row if newest is None or row[:2] > tuple(newest[:2]) else newest
+    if newest is not old:
+        state.update(tuple(newest))
+        yield pd.DataFrame({"zone_id": [key[0]], "old_score": [None if old is None else old[2]], "score": [newest[2]]}).astype({"old_score": "float64"})
 
-    table = VersionedTable(spark, f"{path}/alerts", [key], raised(scored).schema)
-    run_available(scored, lambda batch, n: table.merge(raised(batch), n, lambda both: both.distinct()), f"{path}/alerts-checkpoint")
-    return table
 
+def _counters(score: str, sign: int) -> dict[str, Column]:
+    """What a zone with this score adds to the board; nothing without a score."""
+    band, known = S.band_upper(S.score_band(score)), F.col(score).isNotNull()
+    tests = {"n_critical": band == "CRITICAL", "n_high": band == "HIGH", "n_moderate": band == "MODERATE", "n_low": band.isin("LOW", "VERY_LOW"), "n_zones": F.lit(True)}
+    out = {c: F.when(known & t, F.lit(sign)).otherwise(0).cast("long") for c, t in tests.items()}
+    return out | {"confidence": F.when(known, sign * S.confidence_pct(F.col(score) / 100.0)).otherwise(0).cast("long")}
 
-def board_per_batch(stream: DataFrame, path: str, order: list[str]) -> Callable[[], DataFrame]:
-    """Board counters over the latest state: kept per bucket-merged batch, counted when asked."""
-    state = latest_state(stream, f"{path}/board", order)
-    return lambda: B.risk_board(state.latest().withColumns({"band": S.score_band("score"), "confidence": F.col("score") / 100.0}))
 
+def board_per_batch(stream: DataFrame, path: str) -> DataFrame:
+    """Board counters kept by change: each batch adds one row, minus the old band and plus the new one of the zones that changed, and the board is their sum."""
+    rows = stream.select("zone_id", "micros", "event_id", "score")
+    changes = rows.groupBy("zone_id").applyInPandasWithState(_board_change, CHANGE_SCHEMA, "micros long, event_id long, score double", "update", GroupStateTimeout.NoTimeout)
 
-def daily_rollup(stream: DataFrame, event_time: str, path: str, value: str = "score", late_after: str = "2 days") -> tuple[VersionedTable, VersionedTable]:
-    """Readings per zone and day as (n, total, top), and a side table of late readings.
+    def deltas(batch: DataFrame) -> DataFrame:
+        plus, minus = _counters("score", 1), _counters("old_score", -1)
+        return batch.agg(*[F.coalesce(F.sum(plus[c] + minus[c]), F.lit(0)).cast("long").alias(c) for c in plus])
 
-    The parts add up, so the order of files doesn't matter and no reading is lost: one that comes ``late_after`` or more behind
-    the newest day of earlier batches is counted in its day and also noted per zone, day and batch in the side table.
+    sums = emit(changes, f"{path}/board", "update", deltas).rows()
+    names = ("n_critical", "n_high", "n_moderate", "n_low", "n_zones")
+    total = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in (*names, "confidence")])
+    mean = F.when(F.col("n_zones") > 0, F.col("confidence") / F.col("n_zones")).otherwise(0.0)
+    status = F.when(F.col("n_critical") > 0, "CRITICAL_ALERT").when(F.col("n_high") > 0, "HIGH_ALERT").otherwise("NORMAL_OPERATIONS")
+    return total.select(*names, F.floor(mean + 0.5).cast("long").alias("confidence_pct"), F.lit(0).cast("long").alias("people_in_hazard"), status.alias("status"))
+
+
+def split_late(stream: DataFrame, event_time: str, path: str, delay: str) -> tuple[DataFrame, DataFrame]:
+    """The readings in time as a stream, and the late ones as a table.
+
+    A reading is late if its day had ended ``delay`` before the newest reading of earlier batches: the row that an event-time window would drop.
+    The newest time of each batch is one written row, so a replayed batch splits alike.
     """
     spark = stream.sparkSession
-    rows = stream.select("zone_id", F.to_date(event_time).alias("day"), F.col(value).alias("_v"))
-    add = {"n": F.sum("n"), "total": F.sum("total"), "top": F.max("top")}
-    once = lambda df: df.groupBy("zone_id", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("total"), F.max("_v").alias("top"))
-    days = VersionedTable(spark, f"{path}/days", ["zone_id", "day"], once(rows).schema)
-    late = VersionedTable(spark, f"{path}/late", ["zone_id", "day"], T.StructType([*once(rows).schema.fields[:3], T.StructField("batch_id", T.LongType())]))
-
-    def update(batch: DataFrame, n: int) -> None:
-        part = cut_lineage(once(batch))
-        seen = days.before(n)
-        if seen is not None:
-            newest = seen.agg(F.max("day")).first()[0]
-            behind = part.where(F.col("day") <= F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {late_after}"))
-            late.merge(behind.select("zone_id", "day", "n", F.lit(n).cast("long").alias("batch_id")), n, lambda both: both.distinct())
-        days.merge(part, n, lambda both: both.groupBy("zone_id", "day").agg(*[c.alias(k) for k, c in add.items()]))
-
-    run_available(rows, update, f"{path}/days-checkpoint")
-    return days, late
-
-
-def merge_updates(stream: DataFrame, path: str, keys: list[str]) -> VersionedTable:
-    """Update-mode output kept as a table: per key the values of the newest micro-batch."""
-    schema = T.StructType([*[stream.schema[k] for k in keys], *[f for f in stream.schema if f.name not in keys], T.StructField("batch_id", T.LongType())])
-    table = VersionedTable(stream.sparkSession, f"{path}/merged", keys, schema)
-
-    def newest(rows: DataFrame) -> DataFrame:
-        packed = F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), F.col("batch_id"))
-        return rows.groupBy(*keys).agg(packed.alias("s")).select(*keys, "s.*")
-
-    run_available(stream, lambda batch, n: table.merge(batch.withColumn("batch_id", F.lit(n).cast("long")), n, newest), f"{path}/merged-checkpoint", "update")
-    return table
+    seen = Emitted(spark, f"{path}/seen", T.StructType([T.StructField("newest", T.TimestampType())]))
+    parts = [Emitted(spark, f"{path}/{name}", stream.schema) for name in ("in-time", "late")]
+
+    def route(batch: DataFrame, n: int) -> None:
+        newest = seen.rows().where(F.col("batch") < n).agg(F.max("newest")).first()[0]
+        late = F.coalesce(F.window(event_time, "1 day")["end"] <= F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        flagged = batch.withColumn("_late", late)
+        for part, rows in zip(parts, (flagged.where("not _late"), flagged.where("_late"))):
+            part.write(rows.drop("_late"), n)
+        seen.write(batch.agg(F.max(event_time).cast("timestamp").alias("newest")), n)
+
+    run_available(stream, route, f"{path}/route-checkpoint")
+    # no limit of files: what one batch has routed is taken together, or its newest rows could make its others late
+    return spark.readStream.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(parts[0].path), parts[1].rows()
+
+
+class Rollup:
+    """Readings per zone and day: the days in time, and the late readings beside them."""
+
+    def __init__(self, days: Emitted, late: DataFrame, query: StreamingQuery):
+        self.days, self.late, self.query = days, late, query
+
+    def closed(self) -> DataFrame:
+        """Append mode: each day once, after the watermark has passed its end."""
+        return self.days.rows().select("zone_id", "day", "n", "total", "top")
+
+    def whole(self) -> DataFrame:
+        """Update mode: every reading, late ones added to their day."""
+        parts = self.days.newest(["zone_id", "day"]).unionByName(self.late.select("zone_id", "day", "n", "total", "top"))
+        return parts.groupBy("zone_id", "day").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("top").alias("top"))
+
+
+def _parts(value: str) -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.max(value).alias("top")]
+
+
+def daily_rollup(stream: DataFrame, event_time: str, path: str, value: str = "score", delay: str = "2 days", mode: str = "update") -> Rollup:
+    """Readings per zone and day (UTC) as (n, total, top) by event-time windows; state is dropped once the watermark passes a day.
+
+    Readings that come after that are not lost: ``late`` has them per zone, day and batch. In ``append`` mode a day is emitted once, when it is closed;
+    in ``update`` mode each batch emits the days that it changed.
+    """
+    rows = stream.select("zone_id", F.col(event_time).alias("at"), F.col(value).alias("_v"))
+    in_time, late = split_late(rows, "at", path, delay)
+    days = in_time.withWatermark("at", delay).groupBy("zone_id", F.window("at", "1 day").alias("w")).agg(*_parts("_v"))
+    days = days.select("zone_id", F.to_date("w.start").alias("day"), "n", "total", "top")
+    out = Emitted(stream.sparkSession, f"{path}/days", days.schema)
+    query = run_available(days, out.write, f"{path}/days-checkpoint", mode)
+    return Rollup(out, late.groupBy("zone_id", F.to_date("at").alias("day"), F.col("batch").alias("batch_id")).agg(*_parts("_v")), query)
 
 
 def new_run_path(spark: SparkSession, name: str) -> str:

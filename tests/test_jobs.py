@@ -194,22 +194,57 @@ def _stream(spark, path):
 def test_state_and_trend_over_several_batches(spark):
     path, run = scratch_path(spark, "in"), scratch_path(spark, "run")
     _write_batches(spark, path, [[(1, 7, 10, 50.0), (2, 7, 30, 62.0), (3, 8, 5, 90.0)], [(4, 7, 20, 55.0), (5, 7, 40, 75.0)], [(6, 8, 1, 10.0)]])
-    cols = ["zone_id", "micros", "event_id", "score"]
-    order = ["micros", "event_id"]
-    latest = {r.zone_id: r.score for r in L.latest_state(_stream(spark, path).select(*cols), run, order).latest().collect()}
-    assert latest == {7: 75.0, 8: 90.0}
-    hist = L.trend_now(L.score_history(_stream(spark, path).select(*cols), run, order).latest(), order)
+    latest = L.latest_state(_stream(spark, path).select("zone_id", "micros", "event_id", "score"), run, ["micros", "event_id"])
+    assert {r.zone_id: r.score for r in latest.collect()} == {7: 75.0, 8: 90.0}
     want = {7: (4, 75.0, "rising"), 8: (2, 90.0, "stable")}
-    assert {r.zone_id: (r.n_history, r.score, r.trend) for r in hist.collect()} == want
-    keyed = L.merge_updates(L.trend_by_state(_stream(spark, path).select(*cols)), run, ["zone_id"]).latest()
-    assert {r.zone_id: (r.n_history, r.score, r.trend) for r in keyed.collect()} == want
+    for trend in (L.trend_now(L.score_history(_stream(spark, path), run)), L.trend_state(_stream(spark, path), run)):
+        assert {r.zone_id: (r.n_history, r.score, r.trend) for r in trend.collect()} == want
+    _write_batches(spark, path, [[(9, 7, 50, 95.0)]])  # a later call goes on from the checkpoint
+    assert {r.zone_id: (r.n_history, r.score, r.trend) for r in L.trend_state(_stream(spark, path), run).collect()} == {7: (5, 95.0, "rapidly_increasing"), **{8: want[8]}}
+    assert {r.zone_id: r.score for r in L.latest_state(_stream(spark, path).select("zone_id", "micros", "event_id", "score"), run, ["micros", "event_id"]).collect()} == {7: 95.0, 8: 90.0}
 
 
 def test_history_keeps_twelve(spark):
     path, run = scratch_path(spark, "in"), scratch_path(spark, "run")
     _write_batches(spark, path, [[(i, 1, i, float(i)) for i in range(20)], [(i, 1, i, float(i)) for i in range(20, 25)]])
-    t = L.score_history(_stream(spark, path).select("zone_id", "micros", "event_id", "score"), run, ["micros", "event_id"])
-    assert sorted(r.score for r in t.latest().collect()) == [float(i) for i in range(13, 25)]
+    assert L.score_history(_stream(spark, path), run).first().score == [float(i) for i in range(13, 25)]
+
+
+def test_history_expires(spark):
+    """Zone 1 is silent for more than its five days: its state and row go; when it comes back it starts anew."""
+    day = 24 * 60
+    path, run = scratch_path(spark, "in"), scratch_path(spark, "run")
+    _write_batches(spark, path, [[(1, 1, 10, 50.0), (2, 2, 10, 50.0)], [(3, 2, 8 * day, 60.0)], [(4, 2, 9 * day, 70.0)]])
+    for run_trend in (lambda: L.trend_now(L.score_history(_stream(spark, path), run, "1 day", 5)), lambda: L.trend_state(_stream(spark, path), run, "1 day", 5)):
+        assert {r.zone_id: r.n_history for r in run_trend().collect()} == {2: 3}
+    _write_batches(spark, path, [[(5, 1, 9 * day, 40.0)]])
+    assert {r.zone_id: r.n_history for r in L.trend_state(_stream(spark, path), run, "1 day", 5).collect()} == {1: 1, 2: 3}
+
+
+def test_board_is_kept_by_change(spark):
+    path, run = scratch_path(spark, "in"), scratch_path(spark, "run")
+    _write_batches(spark, path, [[(1, 1, 10, 95.0), (2, 2, 10, 80.0), (3, 3, 10, 10.0)], [(4, 1, 20, 30.0), (5, 3, 5, 99.0)], [(6, 2, 30, 96.0)]])
+    board = L.board_per_batch(_stream(spark, path), run).first()
+    assert (board.n_critical, board.n_high, board.n_zones, board.status) == (1, 0, 3, "CRITICAL_ALERT")
+    assert board.confidence_pct == round((30 + 96 + 10) / 3)
+    moved = spark.read.parquet(f"{run}/board/rows").where("batch = 1").first()
+    assert (moved.n_critical, moved.n_zones, moved.confidence) == (-1, 0, 30 - 95)  # zone 3's old reading changes nothing
+    nothing = scratch_path(spark, "none")
+    spark.createDataFrame([], "event_id long, zone_id long, minute long, score double").write.parquet(nothing)
+    assert L.board_per_batch(_stream(spark, nothing), scratch_path(spark, "run")).first().status == "NORMAL_OPERATIONS"
+
+
+def test_an_alert_returns_after_its_window(spark):
+    day = 24 * 60
+    path, run = scratch_path(spark, "in"), scratch_path(spark, "run")
+    _write_batches(spark, path, [[(1, 7, 10, 95.0), (2, 7, 12, 96.0), (3, 7, 13, 80.0)], [(4, 7, 60, 97.0), (5, 8, 60, 20.0)]])
+    assert sorted((r.zone_id, r.band) for r in L.alerts(_stream(spark, path), run, "1 day").collect()) == [(7, "Critical"), (7, "High")]
+    for batch in ([(6, 8, 9 * day, 80.0)], [(7, 7, 9 * day, 95.0)]):  # the first moves the watermark past zone 7's alerts
+        _write_batches(spark, path, [batch])
+        L.alerts(_stream(spark, path), run, "1 day")
+    again = L.alerts(_stream(spark, path), run, "1 day")
+    assert sorted((r.zone_id, r.band) for r in again.collect()) == [(7, "Critical"), (7, "Critical"), (7, "High"), (8, "High")]
+    assert again.where("zone_id = 7 and band = 'Critical'").select("raised_at").distinct().count() == 2
 
 
 def test_rollup_counts_late_readings_and_notes_them(spark):
@@ -217,36 +252,34 @@ def test_rollup_counts_late_readings_and_notes_them(spark):
     path, run = scratch_path(spark, "in"), scratch_path(spark, "run")
     _write_batches(spark, path, [[(1, 1, 10, 1.0), (2, 1, 9 * day, 1.0)]])
     _write_batches(spark, path, [[(3, 1, 8 * day, 1.0)]])
-    _write_batches(spark, path, [[(4, 1, 20, 1.0), (5, 1, 8 * day + 5, 1.0)]])
-    days, late = L.daily_rollup(_stream(spark, path), "event_time", run)
-    assert {str(r.day): r.n for r in days.latest().collect()} == {"1970-01-01": 2, "1970-01-09": 2, "1970-01-10": 1}
-    assert [(str(r.day), r.n) for r in late.latest().collect()] == [("1970-01-01", 1)]
+    _write_batches(spark, path, [[(4, 1, 20, 5.0), (5, 1, 8 * day + 5, 1.0)]])
+    rolled = L.daily_rollup(_stream(spark, path), "event_time", run)
+    assert {str(r.day): (r.n, r.total, r.top) for r in rolled.whole().collect()} == {"1970-01-01": (2, 6.0, 5.0), "1970-01-09": (2, 2.0, 1.0), "1970-01-10": (1, 1.0, 1.0)}
+    assert [(str(r.day), r.n, r.batch_id) for r in rolled.late.collect()] == [("1970-01-01", 1, 2)]
 
 
-def test_a_replayed_batch_changes_nothing(spark):
-    t = L.VersionedTable(spark, scratch_path(spark, "v"), ["zone_id"])
-    df = spark.createDataFrame([(z, 2.0) for z in range(40)], "zone_id long, score double")
-    keep = L.newest_rows(["score"])
-    t.merge(df, 0, keep)
-    t.merge(df.where("zone_id = 7").withColumn("score", F.lit(5.0)), 1, keep)
-    t.merge(df.where("zone_id = 7").withColumn("score", F.lit(3.0)), 1, keep)
-    assert {r.zone_id: r.score for r in t.latest().collect()} == {z: 3.0 if z == 7 else 2.0 for z in range(40)}
-    assert t.before(1).where("zone_id = 7").first().score == 2.0
-    assert sum(len(v) > 1 for v in t._versions().values()) == 1  # only the touched bucket was written again
-
-
-def test_old_versions_are_removed(spark):
-    t = L.VersionedTable(spark, scratch_path(spark, "v"), ["zone_id"], buckets=2)
-    df = spark.createDataFrame([(z, 0.0) for z in range(20)], "zone_id long, score double")
-    for n in range(5):
-        t.merge(df.withColumn("score", F.lit(float(n))), n, L.newest_rows(["score"]))
-    assert t._versions() == {0: [3, 4], 1: [3, 4]} and {r.score for r in t.latest().collect()} == {4.0}
+def test_closed_days_are_emitted_once_and_state_falls(spark):
+    day = 24 * 60
+    path, run = scratch_path(spark, "in"), scratch_path(spark, "run")
+    _write_batches(spark, path, [[(z * 10 + d, z, d * day + 5, 1.0) for z in range(20) for d in range(3)]])
+    first = L.daily_rollup(_stream(spark, path), "event_time", run, mode="append")
+    held = lambda r: r.query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert first.closed().count() == 0 and held(first) == 60
+    _write_batches(spark, path, [[(900, 3, 20 * day, 1.0)], [(901, 3, 2 * day, 7.0), (902, 3, 20 * day + 1, 1.0)]])
+    second = L.daily_rollup(_stream(spark, path), "event_time", run, mode="append")
+    assert held(second) == 1
+    assert sorted((r.zone_id, r.n) for r in second.closed().collect()) == sorted((z, 1) for z in range(20) for _ in range(3))
+    assert [(r.zone_id, r.n, r.total) for r in second.late.collect()] == [(3, 1, 7.0)]
 
 
-def test_an_empty_state_table_has_its_schema(spark):
-    df = spark.createDataFrame([], "zone_id long, score double")
-    t = L.VersionedTable(spark, scratch_path(spark, "v"), ["zone_id"], df.schema)
-    assert t.latest().count() == 0 and t.latest().columns == ["zone_id", "score"] and t.before(0) is None
+def test_a_replayed_batch_changes_nothing(spark):
+    t = L.Emitted(spark, scratch_path(spark, "e"), spark.createDataFrame([], "zone_id long, score double").schema)
+    assert t.newest(["zone_id"]).count() == 0 and t.newest(["zone_id"]).columns == ["zone_id", "score"]
+    df = spark.createDataFrame([(z, 2.0) for z in range(40)], "zone_id long, score double")
+    t.write(df, 0)
+    for score in (5.0, 3.0):
+        t.write(df.where("zone_id = 7").withColumn("score", F.lit(score)), 1)
+    assert {r.zone_id: r.score for r in t.newest(["zone_id"]).collect()} == {z: 3.0 if z == 7 else 2.0 for z in range(40)}
 
 
 def test_streams_read_tables_of_many_parts(spark):
@@ -265,8 +298,8 @@ def test_both_trend_rules_agree(spark):
 
     rng = random.Random(2)
     rows = [(z, k, float(rng.choice([0, 8, 16, 24, 25, 50, rng.random() * 100]))) for z in range(200) for k in range(rng.randint(1, 5))]
-    df = spark.createDataFrame(rows, "zone_id long, k int, score double")
-    got = {r.zone_id: r.trend for r in L.trend_now(df, ["k"]).collect()}
+    df = spark.createDataFrame([(z, [s for y, _, s in rows if y == z]) for z in range(200)], "zone_id long, score array<double>")
+    got = {r.zone_id: r.trend for r in L.trend_now(df).collect()}
     assert got == {z: L._trend([s for y, _, s in rows if y == z]) for z in range(200)}
 
 
