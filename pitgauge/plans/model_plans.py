@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitgauge.functions import scoring as S
+from pitgauge.operators import attribution as AT
 from pitgauge.operators import evaluation as E
 from pitgauge.operators import modeling as M
 from pitgauge.operators import windows as W
@@ -167,6 +168,21 @@ def replacement_contributions(spark, folder):
     return rounded(M.replacement_contributions(model, test, ["zone_id", "day_idx"], NUMERIC, {f: 0.0 for f in NUMERIC}), ["zone_id", "day_idx", "feature"], ["term"])
 
 
+@query("tree_contributions")
+def tree_contributions(spark, folder):
+    """Four largest terms of each prediction of every zone and day, by a forest that did not see its world: base and all terms sum to the prediction."""
+    rows = folded_rows(spark, folder)
+    _, models, model = unseen_forests(rows)
+    parts = [(m, rows.where(F.col("fold") == i)) for i, m in enumerate(models)] + [(model, rows.where(F.col("fold").isNull()))]
+    out = None
+    for m, part in parts:
+        t = AT.tree_contributions(m, part.select("seed", "zone_id", "day_idx", *NUMERIC), NUMERIC)
+        out = t if out is None else out.unionByName(t)
+    gap = F.abs(F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c["term"]) - F.col("prediction")) < 1e-6
+    top = out.select("seed", "zone_id", "day_idx", F.round("base", 4).alias("base"), F.round("prediction", 4).alias("prediction"), gap.alias("adds_up"), F.posexplode(F.slice("contributions", 1, 4)).alias("rank", "c"))
+    return top.select("seed", "zone_id", "day_idx", "rank", "c.feature", F.round("c.term", 4).alias("term"), "base", "prediction", "adds_up")
+
+
 @query("feature_ablation")
 def feature_ablation(spark, folder):
     """Static, dynamic and trend feature groups, and the signed effect of the trend columns."""
