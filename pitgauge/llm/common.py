@@ -96,6 +96,8 @@ def append_columns(df: DataFrame, text: str, fields: Sequence[T.StructField], ma
                 arrays = [part.column(j).cast(arrow.field(j).type) for j in range(n)]
                 arrays += [v if isinstance(v, pa.Array) else pa.array(v, type=arrow.field(n + i).type) for i, v in enumerate(new)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+                del part, texts, new, arrays
+            pa.default_memory_pool().release_unused()
 
     named = [col(c).alias(f"c{j}") for j, c in enumerate(kept)]  # plain names, as mapInArrow resolves dots
     return df.select(*named, col(text).cast("string").alias("text"), *([col(key).alias("key")] if key else [])).mapInArrow(run, schema)

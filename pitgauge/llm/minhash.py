@@ -29,7 +29,8 @@ from pitgauge.session import cut_lineage
 BINS = 200
 #: A link at the threshold is missed by the bands with at most this probability.
 MISS = 1.3e-7
-TILE = 256
+#: Sets of a tile, and shingles that they may have together: what a tile pair costs in memory does not grow with the texts.
+TILE, TILE_SHINGLES = 256, 400_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # fixed values of a published 64-bit mixer
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, 2 * BINS, dtype=np.uint64) | np.uint64(1)
 _VALUE = np.uint64(48)
@@ -61,7 +62,7 @@ def shingle_set(text: str, words: int, memo: dict[bytes, int]) -> np.ndarray:
     Words are what ASCII white space separates, with A-Z lower-cased.
     """
     parts = text.encode().lower().split()
-    if len(memo) > 200_000:
+    if len(memo) > 50_000:
         memo.clear()
     for w in set(parts):
         if w not in memo:
@@ -194,18 +195,20 @@ def tiled_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     ``members`` has (rep, n, cand, part). Of each group the largest part is one already, so the other members are compared with all.
     Members are dealt by size into classes, of which only neighbours can be similar enough, and by hash into tiles of
-    about ``TILE``; a pair of tiles is one group of rows, and no pair of members becomes a row.
+    about ``TILE`` sets or ``TILE_SHINGLES`` shingles; a pair of tiles is one group of rows, and no pair of members becomes a row.
     """
     parts = members.groupBy("cand", "part").agg(F.count(F.lit(1)).alias("k"))
     mains = parts.groupBy("cand").agg(F.max(F.struct("k", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("cand", F.col("main.part").alias("main"))
     by_size = F.floor(F.log("n") / math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n")
-    here = cut_lineage(members.join(mains, "cand").select("rep", "cand", (F.col("part") != F.col("main")).alias("apart"), by_size.alias("class")))
-    cells = here.groupBy("cand", "class").agg(F.count(F.lit(1)).alias("all"), F.count_if("apart").alias("own"))
-    tile = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(F.col(n) / TILE))
-    x = cells.where("own > 0").withColumn("tx", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("own") / TILE) - 1))).withColumn("cy", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)]))).select("cand", F.col("class").alias("cx"), "tx", "cy")
-    y = cells.withColumn("ty", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("all") / TILE) - 1))).select("cand", F.col("class").alias("cy"), "ty")
+    here = cut_lineage(members.join(mains, "cand").select("rep", "cand", "n", (F.col("part") != F.col("main")).alias("apart"), by_size.alias("class")))
+    cells = here.groupBy("cand", "class").agg(F.count(F.lit(1)).alias("all"), F.count_if("apart").alias("own"), F.max("n").alias("longest"))
+    tiles = lambda c: F.ceil(F.col(c) / F.least(F.lit(TILE), F.ceil(TILE_SHINGLES / F.col("longest"))))
+    cells = cells.withColumns({"own_tiles": tiles("own"), "all_tiles": tiles("all")}).drop("longest")
+    tile = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    x = cells.where("own > 0").withColumn("tx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_tiles") - 1))).withColumn("cy", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)]))).select("cand", F.col("class").alias("cx"), "tx", "cy")
+    y = cells.withColumn("ty", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_tiles") - 1))).select("cand", F.col("class").alias("cy"), "ty")
     meets = cut_lineage(x.join(y, ["cand", "cy"]))
-    placed = here.join(cells, ["cand", "class"]).select("rep", "cand", "class", F.when(F.col("apart"), tile("own")).alias("tx"), tile("all").alias("ty"))
+    placed = here.join(cells, ["cand", "class"]).select("rep", "cand", "class", F.when(F.col("apart"), tile("own_tiles")).alias("tx"), tile("all_tiles").alias("ty"))
     left = placed.where("tx is not null").select("rep", "cand", F.col("class").alias("cx"), "tx").join(meets, ["cand", "cx", "tx"]).select("rep", "cand", "cx", "tx", "cy", "ty", F.lit(0).alias("side"))
     right = placed.select("rep", "cand", F.col("class").alias("cy"), "ty").join(meets, ["cand", "cy", "ty"]).select("rep", "cand", "cx", "tx", "cy", "ty", F.lit(1).alias("side"))
     rows = left.union(right).join(sets.select(F.col("_id").alias("rep"), "shingles"), "rep").withColumn("meet", F.struct("cand", "cx", "tx", "cy", "ty"))
