@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitgauge.functions import scoring as S
 from pitgauge.operators import windows as W
 from pitgauge.operators.chain import recompute
+from pitgauge.operators.setops import digest
 from pitgauge.schemas import ENUMS
 
 BASELINE = "none"
@@ -93,7 +94,7 @@ def run(panel: DataFrame, scenarios: DataFrame, profiles: DataFrame | None = Non
     and scenario, so the runs of one zone are spread over tasks.
     """
     day = F.col("day_idx")
-    base = {"base_fos": "fos", "base_score": "instability_score", "base_label": "risk_label"}
+    base = {"base_fos": "fos", "base_score": "instability_score", "base_label": "risk_label", "base_density": "density"}
     based = recompute(panel, keys).select(*panel.columns, *[F.col(c).alias(n) for n, c in base.items()])
     x = expand(based, scenarios, profiles).withColumns({"scenario_id": F.col("s.scenario_id"), "kind_of_run": F.col("s.kind"),
                                                        "start_day": F.col("s.start_day"), "duration_days": F.col("s.duration_days")})
@@ -158,3 +159,32 @@ def gates(runs: DataFrame) -> DataFrame:
     return sums.select(F.inline(F.array(*[
         F.struct(F.lit(name).alias("gate"), F.col(f"n{i}").alias("checked_rows"), F.col(f"f{i}").alias("failed_rows"))
         for i, (name, _, _) in enumerate(rules)])))
+
+
+def dose_gate(runs: DataFrame, doses: dict[str, float], keys: Sequence[str] = W.SERIES) -> DataFrame:
+    """A ladder of scenarios: with each step up in dose no series gets a higher least stability or a lower peak score."""
+    dose = F.create_map(*[F.lit(x) for pair in doses.items() for x in pair])[F.col("scenario_id")]
+    per = runs.withColumn("_dose", dose).where("_dose is not null").groupBy(*keys, "_dose").agg(F.min("fos").alias("_f"), F.max("instability_score").alias("_p"))
+    up = Window.partitionBy(*keys).orderBy("_dose")
+    steps = per.select("_f", "_p", F.lag("_f").over(up).alias("_lf"), F.lag("_p").over(up).alias("_lp")).where("_lf is not null")
+    bad = (F.col("_f") > F.col("_lf") + 1e-9) | (F.col("_p") < F.col("_lp") - 1e-9)
+    return steps.agg(F.count(F.lit(1)).alias("checked_rows"), F.count_if(bad).alias("failed_rows")).withColumn("gate", F.lit("dose_response"))
+
+
+def continuity_gate(runs: DataFrame, keys: Sequence[str] = W.SERIES) -> DataFrame:
+    """Every run starts with the baseline's crack density and grows by no less over all its days, those after the overlay included."""
+    ws = W.series_window([*keys, "scenario_id"])
+    up = lambda c: F.greatest(F.col(c) - F.lag(c).over(ws), F.lit(0.0))
+    rows = runs.where(F.col("kind_of_run") != BASELINE).select("scenario_id", *keys, "density", "base_density", up("density").alias("_u"), up("base_density").alias("_b"), F.lag("density").over(ws).isNull().alias("_first"))
+    per = rows.groupBy("scenario_id", *keys).agg(F.coalesce(F.sum("_u"), F.lit(0.0)).alias("_u"), F.coalesce(F.sum("_b"), F.lit(0.0)).alias("_b"),
+                                                 F.max(F.when(F.col("_first"), F.abs(F.col("density") - F.col("base_density")))).alias("_d"))
+    ok = (F.col("_u") >= F.col("_b") - 1e-9) & (F.col("_d") <= 1e-9)
+    return per.agg(F.count(F.lit(1)).alias("checked_rows"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("failed_rows")).withColumn("gate", F.lit("crack_continuity"))
+
+
+def determinism_gate(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Two computations of the same scenarios have the same rows: digests by scenario are compared, no rows are joined."""
+    cols = [c for c in one.columns if c != "scenario_id" and dict(one.dtypes)[c] in ("double", "string", "boolean", "bigint", "int")]
+    a, b = (digest(x.select("scenario_id", *cols), ["scenario_id"]) for x in (one, two))
+    both = a.withColumnRenamed("digest", "_a").join(b.withColumnRenamed("digest", "_b"), "scenario_id", "full")
+    return both.agg(F.count(F.lit(1)).alias("checked_rows"), F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("failed_rows")).withColumn("gate", F.lit("determinism"))

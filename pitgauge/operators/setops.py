@@ -39,3 +39,19 @@ def tolerance_report(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequ
     return both.agg(
         F.count_if(F.col("_in_a").isNull() | F.col("_in_b").isNull()).alias("n_unmatched"),
         F.max(gap).alias("max_gap"), F.count_if(gap > tol).alias("n_beyond"))
+
+
+def digest(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., digest): rows, sum and exclusive or of the hashes of the other columns; the order of rows does not matter, repeated rows count."""
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns) if c not in by])
+    parts = [F.count(F.lit(1)).alias("n"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("total"), F.bit_xor(h).alias("mixed")]
+    return df.groupBy(*by).agg(*parts).select(*by, F.struct("n", "total", "mixed").alias("digest"))
+
+
+def differing_groups(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The groups in which two tables differ: compared by digests, so only those groups need to be looked at row by row."""
+    x = digest(a, by).withColumnRenamed("digest", "_x")
+    y = digest(b, by).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("digest").alias("_y"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+    both = x.join(y, same, "full").where(~F.col("_x").eqNullSafe(F.col("_y")))
+    return both.select(*[F.when(F.col("_x").isNotNull(), F.col(c)).otherwise(F.col(f"_g{i}")).alias(c) for i, c in enumerate(by)])

@@ -34,12 +34,16 @@ def scenario_runs(spark, folder):
 
 
 _KEYS3 = "seed, zone_id, scenario_id"
-_RUN = f"""WITH {DENSE}, {ORDERS_DAILY},
+
+
+def run_sql(scenarios) -> str:
+    """The overlay and the chain in SQL for site-wide scenarios (id, kind, start, days, parameters), up to the relations ``runs`` and ``sm``."""
+    return f"""WITH {DENSE}, {ORDERS_DAILY},
 tpl AS (SELECT row_number() OVER (ORDER BY day) AS k, value FROM od WHERE day BETWEEN DATE '1996-01-01' AND DATE '1996-01-31'),
-sc AS (SELECT * FROM (VALUES {', '.join(f"('{i}', '{k}', {s}, {d}, {p.get('peak_mm', 0.0)}e0, {p.get('ppv_mult', 1.0)}e0)" for i, k, s, d, p in SCENARIOS)}) v(scenario_id, kind, start_day, dur, peak, mult)),
-x0 AS (SELECT seed, zone_id, day_idx, scenario_id, sc.kind AS run_kind, start_day, dur, peak, mult, day_idx - start_day + 1 AS k, rainfall_mm / 10e0 AS rain, blast_occurs, ppv AS ppv0 FROM dense, sc),
+sc AS (SELECT * FROM (VALUES {', '.join(f"('{i}', '{k}', {s}, {d}, {p.get('peak_mm', 0.0)}e0, {p.get('ppv_mult', 1.0)}e0, {p.get('daily_mm', 0.0)}e0)" for i, k, s, d, p in scenarios)}) v(scenario_id, kind, start_day, dur, peak, mult, daily)),
+x0 AS (SELECT seed, zone_id, day_idx, scenario_id, sc.kind AS run_kind, start_day, dur, peak, mult, daily, day_idx - start_day + 1 AS k, rainfall_mm / 10e0 AS rain, blast_occurs, ppv AS ppv0 FROM dense, sc),
 x1 AS (SELECT x0.*, rain + CASE WHEN x0.k BETWEEN 1 AND dur THEN CASE WHEN run_kind IN ('rainfall_storm', 'combined') THEN peak * (least(x0.k, dur - x0.k + 1) * 1e0) / ((dur + 1) / 2e0)
-   WHEN run_kind = 'prolonged_rain' THEN 20e0 WHEN run_kind = 'historical_rain' THEN coalesce(tpl.value, 0e0) ELSE 0e0 END ELSE 0e0 END AS rainfall_mm,
+   WHEN run_kind = 'prolonged_rain' THEN daily WHEN run_kind = 'historical_rain' THEN coalesce(tpl.value, 0e0) ELSE 0e0 END ELSE 0e0 END AS rainfall_mm,
   CASE WHEN run_kind IN ('blast_surge', 'combined') AND x0.k BETWEEN 1 AND dur AND blast_occurs AND zone_id % 4 < 2 THEN least(ppv0 * mult, 100e0) ELSE ppv0 END AS ppv FROM x0 LEFT JOIN tpl ON tpl.k = x0.k),
 x2 AS (SELECT *, rainfall_mm > 0 AS wet_day, exp(-day_idx / 12e0) * sum(rainfall_mm * exp(day_idx / 12e0)) OVER (PARTITION BY {_KEYS3} ORDER BY day_idx ROWS UNBOUNDED PRECEDING) AS groundwater_proxy FROM x1),
 {damage_ctes('x2', _KEYS3)},
@@ -58,6 +62,9 @@ sm AS (SELECT scenario_id, seed, zone_id, min(base_fos) AS baseline_min_fos, min
   (array_agg(day_idx ORDER BY instability_score DESC, day_idx))[1] AS worst_day, (array_agg(risk_label ORDER BY instability_score DESC, day_idx))[1] AS worst_day_risk,
   max(growth_mm) AS peak_growth, max(pore_kpa) AS peak_pore_kpa, max(groundwater_proxy) AS max_proxy, bool_or(crack_severity = 'critical' AND water_filled) AS open_crack_branch FROM runs GROUP BY ALL)"""
 
+
+_RUN = run_sql(SCENARIOS)
+
 _SUM_KEEP = ["scenario_id", "seed", "zone_id", "divergence_day", "days_diverging", "baseline_days_hot", "scenario_days_hot", "first_response_day",
              "worst_day", "worst_day_risk", "open_crack_branch"]
 _SUM_ROUND = ["baseline_min_fos", "scenario_min_fos", "fos_divergence_min", "baseline_peak", "scenario_peak", "peak_growth", "peak_pore_kpa", "max_proxy"]
