@@ -2,8 +2,8 @@
 
 Unit vectors are turned onto their principal axes. On the leading axes they fall into cells as wide as the distance that the
 threshold allows, and are sorted by cell. The sorted sequence is cut into intervals; two intervals whose boxes are further apart are
-never brought together, and those that meet are halved again and again, each half being skipped as soon as it is provably distant or
-counted as a whole as soon as it is provably close. Only counts and a spanning forest leave a pair of intervals, never its links.
+never brought together, and those that meet are halved again and again, each half being skipped as soon as it is provably distant.
+Only counts and a spanning forest leave a pair of intervals, never its links.
 """
 
 from __future__ import annotations
