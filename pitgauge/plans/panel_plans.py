@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitgauge.functions import physics as P
@@ -209,6 +210,21 @@ def crossings(spark, folder):
         F.count_if("loose").alias("n_loose"), F.count_if("strict").alias("n_strict"), F.count_if("band_change").alias("n_band_changes"))
 
 
+@query("strict_crossings", f"""WITH {LINEITEM_DAILY}, m AS (SELECT *, sum(value) OVER (PARTITION BY series ORDER BY day ROWS 6 PRECEDING) / (5.6e0 * avg(value) OVER (PARTITION BY series)) AS fos FROM ld),
+x AS (SELECT series, coalesce(fos < 1 AND lag(fos) OVER w >= 1 AND row_number() OVER w > 30, false) AS loose,
+  coalesce(fos < 1 AND lag(fos) OVER w >= 1 AND row_number() OVER w > 30 AND min(fos) OVER (PARTITION BY series ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) >= 1.2, false) AS strict,
+  coalesce(fos < 1 AND lag(fos) OVER w >= 1 AND row_number() OVER w > 31 AND min(fos) OVER (PARTITION BY series ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) >= 1.2, false) AS strict_31
+ FROM m WINDOW w AS (PARTITION BY series ORDER BY day))
+SELECT series, count(*) AS n_days, count(*) FILTER (WHERE loose) AS n_loose, count(*) FILTER (WHERE strict) AS n_strict, count(*) FILTER (WHERE strict_31) AS n_strict_31 FROM x GROUP BY series""")
+def strict_crossings(spark, folder):
+    """The contract's rule, 30 earlier days at 1.2 or more (from day 30 and from day 31), over the long daily series: a week's sum against four fifths of its mean."""
+    ws, whole = W.series_window(["series"], "day"), Window.partitionBy("series")
+    s = A.lineitem_daily(spark, folder).withColumn("fos", W.trailing_sum("value", 7, ws) / (5.6 * F.avg("value").over(whole)))
+    flags = s.select("series", W.downward_crossing("fos", ws).alias("loose"), W.downward_crossing("fos", ws, calm=1.2).alias("strict"),
+                     W.downward_crossing("fos", ws, calm=1.2, from_position=31).alias("strict_31"))
+    return flags.groupBy("series").agg(F.count(F.lit(1)).alias("n_days"), *[F.count_if(c).alias(f"n_{c}") for c in ("loose", "strict", "strict_31")])
+
+
 @query("warning_lead", _CROSS + f""" SELECT seed, count(*) AS n_events, count(warned) AS n_detected,
  {R('count(warned) * 1e0 / count(*)', alias='detection_rate')}, round(avg(day_idx - warned), 4) AS mean_lead_days,
  CAST(max(day_idx - warned) AS INTEGER) AS max_lead_days FROM x WHERE strict GROUP BY seed""")
