@@ -37,7 +37,8 @@ class Emitted:
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.path}/batch=-1")  # so that there is a table before the first batch
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)  # so that there is an empty table before the first batch
 
     def write(self, batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.path}/batch={n}")
