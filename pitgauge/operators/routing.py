@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,52 +51,124 @@ def edges_without_risk(edges: DataFrame) -> DataFrame:
 
 
 def cheapest_paths(edges: DataFrame, requests: DataFrame, costs: Mapping[str, Column], hot_degree: int = 10_000,
-                   rounds_per_stage: int = 2) -> DataFrame:
+                   rounds_per_stage: int = 4) -> DataFrame:
     """Cheapest path per (metric, request) for several cost metrics in one run.
 
-    Rounds of relaxation: improved states meet the edges of their node, the better of old and
-    new survives per (metric, source, node); equal costs go to the smaller path. A state dearer
-    than the dearest answer its source still needs is not extended. Edges of a node with more
-    than ``hot_degree`` of them are split by salt. Every other round is written to the shared
-    folder, so lost executors cost two rounds.
+    Three steps, none of which shuffles a path. ``_distances`` relaxes edges until no cost improves. ``_successors`` walks back from
+    each target over the edges that cheapest paths use and keeps the smallest next node, so that equal costs go to the smaller path.
+    ``_on_path`` marks the nodes that those pointers lead through, by doubling. Paths are put together once, in the result.
+
+    A road without length needs a rule against going round in circles: it is used only towards the node that takes more roads to
+    reach. A request from a node to itself has that node as its path; requests with a null or without a path give no row; repeated requests
+    give one. Roads whose cost is null aren't used.
     """
     labels = F.explode(F.array(*[F.lit(m) for m in costs])).alias("metric")
     roads = cut_lineage(edges.select(F.col("src").alias("node"), "dst", F.inline(F.array(*[
         F.struct(F.lit(m).alias("metric"), c.alias("w")) for m, c in costs.items()]))).where(F.col("w").isNotNull()))
-    wanted = cut_lineage(requests.select(labels, F.col("src").alias("source"), F.col("dst").alias("target")).distinct())
+    wanted = cut_lineage(requests.select(labels, F.col("src").alias("source"), F.col("dst").alias("target"))
+                         .where(F.col("source").isNotNull() & F.col("target").isNotNull()).distinct())
+    reached = _distances(roads, wanted, hot_degree, rounds_per_stage)
+    answers = reached.select("metric", "source", F.col("node").alias("target"))
+    answered = wanted.join(answers, _REQUEST, "left_semi")
+    chosen = _on_path(_successors(roads, reached, answered, rounds_per_stage), answered)
+    placed = chosen.join(reached, ["metric", "source", "node"])
+    in_order = F.array_sort(F.collect_list(F.struct("cost", "round", "node")))
+    return placed.groupBy("metric", F.col("source").alias("src"), F.col("target").alias("dst")).agg(
+        F.max("cost").alias("cost"), F.transform(in_order, lambda x: x["node"]).alias("path"))
+
+
+_STATE = ["metric", "source", "node"]
+_REQUEST = ["metric", "source", "target"]
+
+
+def _distances(roads: DataFrame, wanted: DataFrame, hot_degree: int, rounds_per_stage: int) -> DataFrame:
+    """Least cost per (metric, source, node) and the number of roads that first gave it.
+
+    Each stage extends the frontier by a few edges and writes what it finds, best per state. Stages are never merged: a state is new if no
+    earlier stage has it at that cost or less, and the next frontier is what the last edge of a stage found new. A state dearer than the
+    dearest answer its source still needs is not extended. Lost executors cost one stage.
+    """
+    spark = roads.sparkSession
     extend = _relaxation(roads, hot_degree)
-    best = cut_lineage(wanted.select("metric", "source").distinct().select(
-        "metric", "source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.array("source").alias("path"), F.lit(0).alias("round")))
-    frontier, k = best, 0
+    found = cut_lineage(wanted.select("metric", "source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("round")).distinct())
+    files, frontier, k = found.inputFiles(), found, 0
     while True:
+        hops = []
         for _ in range(rounds_per_stage):
             k += 1
-            step = extend(frontier).withColumn("round", F.lit(k))
-            better = best.unionByName(step).groupBy("metric", "source", "node").agg(F.min(F.struct("cost", "path", "round")).alias("s"))
-            best = better.select("metric", "source", "node", "s.cost", "s.path", "s.round")
-            frontier = best.where(F.col("round") == k)
-        best = cut_lineage(best)
-        frontier = best.where(F.col("round") == k)
-        if frontier.isEmpty():
+            frontier = extend(frontier).groupBy(*_STATE).agg(F.min("cost").alias("cost")).withColumn("round", F.lit(k))
+            hops.append(frontier)
+        found = cut_lineage(_least(reduce(DataFrame.unionByName, hops)))
+        if found.isEmpty():
             break
-        answers = best.select("metric", "source", F.col("node").alias("target"), "cost")
-        bound = wanted.join(answers, ["metric", "source", "target"], "left").groupBy("metric", "source").agg(
-            F.when(F.count_if(F.col("cost").isNull()) == 0, F.max("cost")).alias("_bound"))
-        frontier = frontier.join(bound, ["metric", "source"]).where(
-            F.col("_bound").isNull() | (F.col("cost") <= F.col("_bound"))).drop("_bound")
-    return best.select("metric", F.col("source").alias("src"), F.col("node").alias("dst"), "cost", "path").join(
-        requests.select("src", "dst").distinct(), ["src", "dst"])
+        known = spark.read.schema(found.schema).parquet(*files)
+        files = [*files, *found.inputFiles()]
+        last = found.where(F.col("round") == k)
+        beaten = known.select(*_STATE, F.col("cost").alias("_had")).join(last, _STATE).where(F.col("_had") <= F.col("cost")).select(*_STATE)
+        answers = known.unionByName(found).groupBy(*_STATE).agg(F.min("cost").alias("_cost")).withColumnRenamed("node", "target")
+        bound = wanted.join(answers, _REQUEST, "left").groupBy("metric", "source").agg(
+            F.when(F.count_if(F.col("_cost").isNull()) == 0, F.max("_cost")).alias("_bound"))
+        frontier = cut_lineage(last.join(beaten, _STATE, "left_anti").join(bound, ["metric", "source"])
+                               .where(F.col("_bound").isNull() | (F.col("cost") <= F.col("_bound"))).drop("_bound"))
+    return cut_lineage(_least(spark.read.schema(found.schema).parquet(*files)))
+
+
+def _least(states: DataFrame) -> DataFrame:
+    best = states.groupBy(*_STATE).agg(F.min(F.struct("cost", "round")).alias("s"))
+    return best.select(*_STATE, "s.cost", "s.round")
+
+
+def _successors(roads: DataFrame, reached: DataFrame, answered: DataFrame, rounds_per_stage: int) -> DataFrame:
+    """(request, node, nxt): the smallest next node of every node that lies on a cheapest path of the request.
+
+    All nodes met on the way back from a target lead to it, so the smallest next node of each begins the smallest path.
+    """
+    spark = roads.sparkSession
+    begin = reached.select(*_STATE, F.col("cost").alias("_c"), F.col("round").alias("_r"))
+    end = reached.select("metric", "source", F.col("node").alias("nxt"), "cost", "round")
+    further = (F.col("_c") < F.col("cost")) | (F.col("_r") < F.col("round"))
+    used = cut_lineage(
+        begin.join(roads.withColumnRenamed("dst", "nxt"), ["metric", "node"]).join(end, ["metric", "source", "nxt"])
+        .where((F.col("_c") + F.col("w") == F.col("cost")) & further).select("metric", "source", "node", "nxt").distinct())
+    at, files = answered.select(*_REQUEST, F.col("target").alias("nxt")), []
+    while True:
+        hops = []
+        for _ in range(rounds_per_stage):
+            step = at.join(used, ["metric", "source", "nxt"]).select(*_REQUEST, "node", "nxt").distinct()
+            hops.append(step)
+            at = step.select(*_REQUEST, F.col("node").alias("nxt")).distinct()
+        steps = cut_lineage(reduce(DataFrame.unionByName, [h.withColumn("_hop", F.lit(i)) for i, h in enumerate(hops)]))
+        seen = spark.read.schema(steps.schema).parquet(*files) if files else None
+        files = [*files, *steps.inputFiles()]
+        last = steps.where(F.col("_hop") == rounds_per_stage - 1).select(*_REQUEST, F.col("node").alias("nxt")).distinct()
+        if last.isEmpty():
+            break
+        at = last if seen is None else last.join(seen.select(*_REQUEST, F.col("node").alias("nxt")), [*_REQUEST, "nxt"], "left_anti")
+    everything = spark.read.schema(steps.schema).parquet(*files)
+    return cut_lineage(everything.groupBy(*_REQUEST, "node").agg(F.min("nxt").alias("nxt")))
+
+
+def _on_path(pointers: DataFrame, answered: DataFrame) -> DataFrame:
+    """(request, node) for the nodes that the pointers lead through from the source on; the reach of a pointer doubles each round."""
+    marked = answered.select(*_REQUEST, F.col("source").alias("node"))
+    jump = pointers
+    while True:
+        for _ in range(2):
+            marked = marked.unionByName(marked.join(jump, [*_REQUEST, "node"]).select(*_REQUEST, F.col("nxt").alias("node")))
+            beyond = jump.select(*_REQUEST, F.col("node").alias("nxt"), F.col("nxt").alias("_far"))
+            jump = jump.join(beyond, [*_REQUEST, "nxt"]).select(*_REQUEST, "node", F.col("_far").alias("nxt"))
+        marked, jump = cut_lineage(marked), cut_lineage(jump)
+        if jump.isEmpty():
+            return marked
 
 
 def _relaxation(roads: DataFrame, hot_degree: int) -> Callable[[DataFrame], DataFrame]:
     """States extended by one edge; edges of hot nodes (at most E / hot_degree nodes) are salted."""
-    columns = ["metric", "source", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"),
-               F.concat("path", F.array("dst")).alias("path")]
-    unseen = ~F.array_contains("path", F.col("dst"))
+    columns = ["metric", "source", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost")]
     degree = roads.groupBy("metric", "node").agg(F.count(F.lit(1)).alias("_deg")).where(F.col("_deg") > hot_degree)
     hot = cut_lineage(degree.select("metric", "node", F.ceil(F.col("_deg") / hot_degree).cast("int").alias("_salts")))
     if hot.isEmpty():
-        return lambda frontier: frontier.join(roads, ["metric", "node"]).where(unseen).select(*columns)
+        return lambda frontier: frontier.join(roads, ["metric", "node"]).select(*columns)
     one = F.lit(1)
     salted = cut_lineage(roads.join(hot, ["metric", "node"], "left").withColumn(
         "_salt", F.pmod(F.xxhash64("dst"), F.coalesce("_salts", one)).cast("int")).drop("_salts"))
@@ -103,7 +176,7 @@ def _relaxation(roads: DataFrame, hot_degree: int) -> Callable[[DataFrame], Data
     def extend(frontier: DataFrame) -> DataFrame:
         spread = frontier.join(hot, ["metric", "node"], "left").withColumn(
             "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", one) - 1)))
-        return spread.join(salted, ["metric", "node", "_salt"]).where(unseen).select(*columns)
+        return spread.join(salted, ["metric", "node", "_salt"]).select(*columns)
 
     return extend
 
