@@ -73,8 +73,8 @@ def cheapest_paths(edges: DataFrame, requests: DataFrame, costs: Mapping[str, Co
     chosen = _on_path(_successors(roads, reached, answered, rounds_per_stage), answered)
     placed = chosen.join(reached, ["metric", "source", "node"])
     in_order = F.array_sort(F.collect_list(F.struct("cost", "round", "node")))
-    return placed.groupBy("metric", F.col("source").alias("src"), F.col("target").alias("dst")).agg(
-        F.max("cost").alias("cost"), F.transform(in_order, lambda x: x["node"]).alias("path"))
+    return cut_lineage(placed.groupBy("metric", F.col("source").alias("src"), F.col("target").alias("dst")).agg(
+        F.max("cost").alias("cost"), F.transform(in_order, lambda x: x["node"]).alias("path")))
 
 
 _STATE = ["metric", "source", "node"]
@@ -96,11 +96,9 @@ def _distances(roads: DataFrame, wanted: DataFrame, hot_degree: int, rounds_per_
         hops = []
         for _ in range(rounds_per_stage):
             k += 1
-            frontier = extend(frontier).groupBy(*_STATE).agg(F.min("cost").alias("cost")).withColumn("round", F.lit(k))
+            frontier = extend(frontier).groupBy(*_STATE).agg(F.min("cost").alias("cost"), (F.max("round") + 1).alias("round"))
             hops.append(frontier)
         found = cut_lineage(_least(reduce(DataFrame.unionByName, hops)))
-        if found.isEmpty():
-            break
         known = spark.read.schema(found.schema).parquet(*files)
         files = [*files, *found.inputFiles()]
         last = found.where(F.col("round") == k)
@@ -110,6 +108,8 @@ def _distances(roads: DataFrame, wanted: DataFrame, hot_degree: int, rounds_per_
             F.when(F.count_if(F.col("_cost").isNull()) == 0, F.max("_cost")).alias("_bound"))
         frontier = cut_lineage(last.join(beaten, _STATE, "left_anti").join(bound, ["metric", "source"])
                                .where(F.col("_bound").isNull() | (F.col("cost") <= F.col("_bound"))).drop("_bound"))
+        if frontier.isEmpty():
+            break
     return cut_lineage(_least(spark.read.schema(found.schema).parquet(*files)))
 
 
@@ -130,22 +130,24 @@ def _successors(roads: DataFrame, reached: DataFrame, answered: DataFrame, round
     used = cut_lineage(
         begin.join(roads.withColumnRenamed("dst", "nxt"), ["metric", "node"]).join(end, ["metric", "source", "nxt"])
         .where((F.col("_c") + F.col("w") == F.col("cost")) & further).select("metric", "source", "node", "nxt").distinct())
-    at, files = answered.select(*_REQUEST, F.col("target").alias("nxt")), []
+    before = used.select("metric", "source", F.col("nxt").alias("node"), F.col("node").alias("prev"))
+    at, files = answered.select(*_REQUEST, F.col("target").alias("node")), []
     while True:
-        hops = []
-        for _ in range(rounds_per_stage):
-            step = at.join(used, ["metric", "source", "nxt"]).select(*_REQUEST, "node", "nxt").distinct()
-            hops.append(step)
-            at = step.select(*_REQUEST, F.col("node").alias("nxt")).distinct()
-        steps = cut_lineage(reduce(DataFrame.unionByName, [h.withColumn("_hop", F.lit(i)) for i, h in enumerate(hops)]))
-        seen = spark.read.schema(steps.schema).parquet(*files) if files else None
-        files = [*files, *steps.inputFiles()]
-        last = steps.where(F.col("_hop") == rounds_per_stage - 1).select(*_REQUEST, F.col("node").alias("nxt")).distinct()
+        at = at.withColumn("hop", F.lit(0))
+        for k in range(rounds_per_stage):
+            met = at.withColumn("_from", F.when(F.col("hop") == k, F.col("node"))).join(
+                before.withColumnRenamed("node", "_from"), ["metric", "source", "_from"], "left")
+            both = F.array(F.struct("node", "hop"), F.struct(F.col("prev").alias("node"), F.lit(k + 1).alias("hop")))
+            at = met.select(*_REQUEST, F.inline(both)).where(F.col("node").isNotNull()).groupBy(*_REQUEST, "node").agg(F.min("hop").alias("hop"))
+        at = cut_lineage(at)
+        seen = spark.read.schema(at.schema).parquet(*files) if files else None
+        files = [*files, *at.inputFiles()]
+        last = at.where(F.col("hop") == rounds_per_stage).drop("hop")
         if last.isEmpty():
             break
-        at = last if seen is None else last.join(seen.select(*_REQUEST, F.col("node").alias("nxt")), [*_REQUEST, "nxt"], "left_anti")
-    everything = spark.read.schema(steps.schema).parquet(*files)
-    return cut_lineage(everything.groupBy(*_REQUEST, "node").agg(F.min("nxt").alias("nxt")))
+        at = last if seen is None else last.join(seen, [*_REQUEST, "node"], "left_anti")
+    visited = spark.read.schema(at.schema).parquet(*files).select(*_REQUEST, F.col("node").alias("nxt"))
+    return cut_lineage(visited.join(used, ["metric", "source", "nxt"]).groupBy(*_REQUEST, "node").agg(F.min("nxt").alias("nxt")))
 
 
 def _on_path(pointers: DataFrame, answered: DataFrame) -> DataFrame:
@@ -164,7 +166,7 @@ def _on_path(pointers: DataFrame, answered: DataFrame) -> DataFrame:
 
 def _relaxation(roads: DataFrame, hot_degree: int) -> Callable[[DataFrame], DataFrame]:
     """States extended by one edge; edges of hot nodes (at most E / hot_degree nodes) are salted."""
-    columns = ["metric", "source", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost")]
+    columns = ["metric", "source", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), "round"]
     degree = roads.groupBy("metric", "node").agg(F.count(F.lit(1)).alias("_deg")).where(F.col("_deg") > hot_degree)
     hot = cut_lineage(degree.select("metric", "node", F.ceil(F.col("_deg") / hot_degree).cast("int").alias("_salts")))
     if hot.isEmpty():

@@ -85,4 +85,4 @@ def test_states_carry_no_paths(spark, monkeypatch):
     edges = spark.createDataFrame(_random_roads(3, 12, 20, [1, 2]), "src long, dst long, length double")
     req = spark.createDataFrame([(0, 5)], "src long, dst long")
     RT.cheapest_paths(edges, req, {"length": F.col("length")})
-    assert len(written) > 5 and all("array" not in schema.simpleString() for schema in written)
+    assert len(written) > 5 and all("array" not in schema.simpleString() for schema in written[:-1])  # the last is the result
