@@ -25,9 +25,13 @@ SCENARIOS = [
 ]
 
 
+def scenario_table(spark, scenarios=SCENARIOS):
+    rows = [(i, k, None, s, d, p, "jan_1996" if k == "historical_rain" else None) for i, k, s, d, p in scenarios]
+    return spark.createDataFrame(rows, SCENARIO_SCHEMA)
+
+
 def scenario_runs(spark, folder):
-    rows = [(i, k, None, s, d, p, "jan_1996" if k == "historical_rain" else None) for i, k, s, d, p in SCENARIOS]
-    scenarios = spark.createDataFrame(rows, SCENARIO_SCHEMA)
+    scenarios = scenario_table(spark)
     windows = spark.createDataFrame([("jan_1996", dt.date(1996, 1, 1), dt.date(1996, 1, 31))], "template_id string, first_day date, last_day date")
     profiles = SC.template_profiles(A.orders_daily(spark, folder), windows)
     return SC.run(A.site_panel(spark, folder), scenarios, profiles)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitgauge.schemas import DAILY_SERIES_SCHEMA, GRID_SCHEMA, TABLE_SCHEMAS
+from pitgauge.sources.publish import fingerprint, input_state, publish
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,7 +33,9 @@ def date_slice(df: DataFrame, first: str, last: str, day: str = "day") -> DataFr
 
 
 def grid_cell(grid: DataFrame, lat: float, lon: float, first_year: int, last_year: int) -> DataFrame:
-    """The daily series of one grid cell; absent years simply contribute no rows."""
+    """The daily series of one grid cell; absent years simply contribute no rows, and years kept in folders of their own are not opened."""
+    if "year" in grid.columns:
+        grid = grid.where(F.col("year").between(first_year, last_year))
     picked = day_range(grid, first_year, last_year).where((F.col("lat") == lat) & (F.col("lon") == lon))
     return picked.select("day", "value")
 
@@ -65,17 +68,15 @@ def corpus(spark: SparkSession, path: str, schema: T.StructType | None = None) -
     return reader.parquet(path).withColumn("seed", F.col("seed").cast("long"))
 
 
-def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Reuse a written table when it is there, otherwise build and write it once."""
-    build_needed = not _exists(spark, path)
-    if build_needed:
-        build().write.mode("ignore").parquet(path)
-    return spark.read.parquet(path)
+def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], plan=(), inputs: Sequence[str] = ()) -> DataFrame:
+    """The table that ``build`` makes, built once below ``path`` for one ``plan`` and one state of the files of its ``inputs``.
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    ``plan`` is any plain value that names what is built (parameters, a version). Another plan, or changed inputs, are built anew
+    beside the earlier table, which stays for those who read it. Builders at the same time leave one whole table (``publish``).
+    """
+    place = f"{path.rstrip('/')}/{fingerprint(plan, input_state(spark, inputs))}"
+    publish(spark, place, lambda aside: build().write.parquet(aside))
+    return spark.read.parquet(place)
 
 
 def latest_states(panel: DataFrame, seed: int | None = None, zone: str = "zone_id", day: str = "day_idx") -> DataFrame:

@@ -11,6 +11,13 @@ def write_panel(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
     panel.repartition("seed", "zone_id").write.mode(mode).partitionBy("seed").parquet(path)
 
 
+def write_grid(grid: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A long (day, lat, lon, value) grid in folders of years, cells in order, so that a cell's rows are few row groups of each year."""
+    rows = grid.select("day", "lat", "lon", "value", F.year("day").alias("year"))
+    order = ["year", "lat", "lon", "day"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("year").parquet(path)
+
+
 def manifest(panel: DataFrame) -> DataFrame:
     """Rows, zones, day span and mean score per world."""
     return panel.groupBy("seed").agg(
