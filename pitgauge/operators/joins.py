@@ -39,11 +39,11 @@ def _finite(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
 
 
-def nearest_zone(points: DataFrame, zones: DataFrame, cell_rows: int = 50_000) -> DataFrame:
+def nearest_zone(points: DataFrame, zones: DataFrame, cell_rows: int = 50_000, cell_zones: int = 16) -> DataFrame:
     """``points`` with the closest zone's ``zone_id`` and ``dist`` (ties go to the smaller zone id), one row per row of ``points``.
 
     ``points`` has (lat, lng) and any other columns, ``zones`` (zone_id, lat, lng). Rounds of equi-joins on grid cells
-    whose size grows fourfold each round: a point is settled once its best candidate is no farther than one cell,
+    whose size grows fourfold each round, from about ``cell_zones`` zones a cell; with no more zones than that, the first cell is the whole extent and the first round the last. A point is settled once its best candidate is no farther than one cell,
     because every zone within that distance lies in the 3x3 neighbourhood that was searched, and the last cell size covers
     the whole extent. Zones are copied to their neighbour cells; a cell of more than ``cell_rows`` waiting points is dealt to as
     many salts as its count asks for. Points without a finite position and points in an empty zone table keep a null zone and distance;
@@ -58,7 +58,7 @@ def nearest_zone(points: DataFrame, zones: DataFrame, cell_rows: int = 50_000) -
     if zb[4] == 0 or pb[0] is None:
         return own.select(*names, F.lit(None).cast(zones.schema["zone_id"].dataType).alias("zone_id"), F.lit(None).cast("double").alias("dist"))
     extent = max(max(zb[1], pb[1]) - min(zb[0], pb[0]), max(zb[3], pb[3]) - min(zb[2], pb[2]), 1e-12)
-    size = max(max(zb[1] - zb[0], zb[3] - zb[2]) / zb[4] ** 0.5, extent * 1e-6)
+    size = extent if zb[4] <= cell_zones else max(max(zb[1] - zb[0], zb[3] - zb[2]) * (cell_zones / zb[4]) ** 0.5, extent * 1e-6)
     offsets = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     pending, settled = places, None
     while True:
@@ -72,9 +72,10 @@ def nearest_zone(points: DataFrame, zones: DataFrame, cell_rows: int = 50_000) -
             .join(shares, ["_cy", "_cx"]).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts"))
         salted = keyed.join(shares, ["_cy", "_cx"]).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts"))).drop("_salts")
         dist = planar_distance(F.col("_lat"), F.col("_lng"), F.col("_zlat"), F.col("_zlng"))
-        best = cut_lineage(
+        best = (
             salted.join(cells, ["_cy", "_cx", "_salt"], "left").groupBy("_row", "_lat", "_lng")
             .agg(F.min(F.when(F.col("zone_id").isNotNull(), F.struct(dist.alias("dist"), "zone_id"))).alias("_best")))
+        best = best if last else cut_lineage(best)
         near = F.col("_best").isNotNull() & ((F.col("_best.dist") <= size) | F.lit(last))
         done = best.where(near).select("_row", "_best.zone_id", "_best.dist")
         settled = done if settled is None else settled.unionByName(done)
