@@ -94,7 +94,7 @@ def run(panel: DataFrame, scenarios: DataFrame, profiles: DataFrame | None = Non
     and scenario, so the runs of one zone are spread over tasks.
     """
     day = F.col("day_idx")
-    base = {"base_fos": "fos", "base_score": "instability_score", "base_label": "risk_label", "base_density": "density"}
+    base = {"base_rain": "rainfall_mm", "base_ppv": "ppv", "base_fos": "fos", "base_score": "instability_score", "base_label": "risk_label", "base_density": "density"}
     based = recompute(panel, keys).select(*panel.columns, *[F.col(c).alias(n) for n, c in base.items()])
     x = expand(based, scenarios, profiles).withColumns({"scenario_id": F.col("s.scenario_id"), "kind_of_run": F.col("s.kind"),
                                                        "start_day": F.col("s.start_day"), "duration_days": F.col("s.duration_days")})
@@ -161,6 +161,35 @@ def gates(runs: DataFrame) -> DataFrame:
         for i, (name, _, _) in enumerate(rules)])))
 
 
+def edge_gates(panel: DataFrame, runs: DataFrame, template_days: int) -> DataFrame:
+    """Scenarios at the edge of what the table allows, by their names: a gate fails for each row that is wrong and each row of the panel that is missing.
+
+    ``scale0``: a template scaled to nothing is the baseline. ``start0``: a run may start on the first day. ``overrun``: one that ends
+    after the panel has the panel's days. ``surge``: vibration of zones without blasting is untouched. ``short_template``: days of the window
+    after the template's ``template_days`` get no rain. ``unknown_kind``: a kind that is not on the list raises before anything runs.
+    """
+    known = F.col("fos").isNotNull() & ~F.isnan("fos")
+    padded = F.col("day_idx") - F.col("start_day") + 1 > template_days
+    rules = {"scale0": F.abs(F.col("fos") - F.col("base_fos")) <= 1e-12, "start0": known, "overrun": known,
+             "surge": F.col("blastable") | (F.col("ppv") == F.col("base_ppv")),
+             "short_template": known & (~padded | (F.col("rainfall_mm") == F.col("base_rain")))}
+    wrong = F.lit(False)
+    for name, ok in rules.items():
+        wrong = F.when(F.col("scenario_id") == name, ~F.coalesce(ok, F.lit(False))).otherwise(wrong)
+    seen = runs.where(F.col("scenario_id").isin(list(rules))).groupBy("scenario_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if(wrong).alias("_bad"))
+    spark = panel.sparkSession
+    names = spark.createDataFrame([(n,) for n in rules], "scenario_id string")
+    all_rows = panel.agg(F.count(F.lit(1)).alias("checked_rows"))
+    out = names.join(seen, "scenario_id", "left").withColumn("checked_rows", all_rows.scalar()).select(
+        F.col("scenario_id").alias("gate"), "checked_rows", (F.coalesce("_bad", F.lit(0)) + F.abs(F.col("checked_rows") - F.coalesce("_n", F.lit(0)))).alias("failed_rows"))
+    try:
+        check_scenarios(runs.select(F.lit("no such kind").alias("kind"), F.lit(None).cast("string").alias("zone_id")).limit(1), panel.select(F.col("zone_id").cast("string").alias("_zone")))
+        missed = 1
+    except ValueError:
+        missed = 0
+    return out.unionByName(spark.createDataFrame([("unknown_kind", 1, missed)], "gate string, checked_rows bigint, failed_rows bigint"))
+
+
 def dose_gate(runs: DataFrame, doses: dict[str, float], keys: Sequence[str] = W.SERIES) -> DataFrame:
     """A ladder of scenarios: with each step up in dose no series gets a higher least stability or a lower peak score."""
     dose = F.create_map(*[F.lit(x) for pair in doses.items() for x in pair])[F.col("scenario_id")]

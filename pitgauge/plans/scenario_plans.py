@@ -30,9 +30,9 @@ def scenario_table(spark, scenarios=SCENARIOS):
     return spark.createDataFrame(rows, SCENARIO_SCHEMA)
 
 
-def scenario_runs(spark, folder):
-    scenarios = scenario_table(spark)
-    windows = spark.createDataFrame([("jan_1996", dt.date(1996, 1, 1), dt.date(1996, 1, 31))], "template_id string, first_day date, last_day date")
+def scenario_runs(spark, folder, scenarios=SCENARIOS, template_end=dt.date(1996, 1, 31)):
+    scenarios = scenario_table(spark, scenarios)
+    windows = spark.createDataFrame([("jan_1996", dt.date(1996, 1, 1), template_end)], "template_id string, first_day date, last_day date")
     profiles = SC.template_profiles(A.orders_daily(spark, folder), windows)
     return SC.run(A.site_panel(spark, folder), scenarios, profiles)
 
@@ -40,14 +40,14 @@ def scenario_runs(spark, folder):
 _KEYS3 = "seed, zone_id, scenario_id"
 
 
-def run_sql(scenarios) -> str:
+def run_sql(scenarios, template_end: str = "1996-01-31") -> str:
     """The overlay and the chain in SQL for site-wide scenarios (id, kind, start, days, parameters), up to the relations ``runs`` and ``sm``."""
     return f"""WITH {DENSE}, {ORDERS_DAILY},
-tpl AS (SELECT row_number() OVER (ORDER BY day) AS k, value FROM od WHERE day BETWEEN DATE '1996-01-01' AND DATE '1996-01-31'),
-sc AS (SELECT * FROM (VALUES {', '.join(f"('{i}', '{k}', {s}, {d}, {p.get('peak_mm', 0.0)}e0, {p.get('ppv_mult', 1.0)}e0, {p.get('daily_mm', 0.0)}e0)" for i, k, s, d, p in scenarios)}) v(scenario_id, kind, start_day, dur, peak, mult, daily)),
-x0 AS (SELECT seed, zone_id, day_idx, scenario_id, sc.kind AS run_kind, start_day, dur, peak, mult, daily, day_idx - start_day + 1 AS k, rainfall_mm / 10e0 AS rain, blast_occurs, ppv AS ppv0 FROM dense, sc),
+tpl AS (SELECT row_number() OVER (ORDER BY day) AS k, value FROM od WHERE day BETWEEN DATE '1996-01-01' AND DATE '{template_end}'),
+sc AS (SELECT * FROM (VALUES {', '.join(f"('{i}', '{k}', {s}, {d}, {p.get('peak_mm', 0.0)}e0, {p.get('ppv_mult', 1.0)}e0, {p.get('daily_mm', 0.0)}e0, {p.get('scale', 1.0)}e0)" for i, k, s, d, p in scenarios)}) v(scenario_id, kind, start_day, dur, peak, mult, daily, scale)),
+x0 AS (SELECT seed, zone_id, day_idx, scenario_id, sc.kind AS run_kind, start_day, dur, peak, mult, daily, scale, day_idx - start_day + 1 AS k, rainfall_mm / 10e0 AS rain, blast_occurs, ppv AS ppv0 FROM dense, sc),
 x1 AS (SELECT x0.*, rain + CASE WHEN x0.k BETWEEN 1 AND dur THEN CASE WHEN run_kind IN ('rainfall_storm', 'combined') THEN peak * (least(x0.k, dur - x0.k + 1) * 1e0) / ((dur + 1) / 2e0)
-   WHEN run_kind = 'prolonged_rain' THEN daily WHEN run_kind = 'historical_rain' THEN coalesce(tpl.value, 0e0) ELSE 0e0 END ELSE 0e0 END AS rainfall_mm,
+   WHEN run_kind = 'prolonged_rain' THEN daily WHEN run_kind = 'historical_rain' THEN coalesce(tpl.value, 0e0) * scale ELSE 0e0 END ELSE 0e0 END AS rainfall_mm,
   CASE WHEN run_kind IN ('blast_surge', 'combined') AND x0.k BETWEEN 1 AND dur AND blast_occurs AND zone_id % 4 < 2 THEN least(ppv0 * mult, 100e0) ELSE ppv0 END AS ppv FROM x0 LEFT JOIN tpl ON tpl.k = x0.k),
 x2 AS (SELECT *, rainfall_mm > 0 AS wet_day, exp(-day_idx / 12e0) * sum(rainfall_mm * exp(day_idx / 12e0)) OVER (PARTITION BY {_KEYS3} ORDER BY day_idx ROWS UNBOUNDED PRECEDING) AS groundwater_proxy FROM x1),
 {damage_ctes('x2', _KEYS3)},
@@ -123,3 +123,18 @@ _GATES = [("baseline_replays_itself", "run_kind = 'none'", "abs(fos - base_fos)
 @query("scenario_gates", _RUN + " UNION ALL ".join(f" SELECT '{g}' AS gate, count(*) FILTER (WHERE {w}) AS checked_rows, count(*) FILTER (WHERE ({w}) AND NOT coalesce({ok}, false)) AS failed_rows FROM runs" for g, w, ok in _GATES))
 def scenario_gates(spark, folder):
     return SC.gates(scenario_runs(spark, folder))
+
+
+EDGES = [("none", "none", 0, 0, {}), ("scale0", "historical_rain", 10, 12, {"scale": 0.0}), ("start0", "rainfall_storm", 0, 5, {"peak_mm": 80.0}),
+         ("overrun", "rainfall_storm", 25, 30, {"peak_mm": 60.0}), ("surge", "blast_surge", 5, 20, {"ppv_mult": 2.0}), ("short_template", "historical_rain", 10, 12, {"scale": 1.0})]
+TEMPLATE_END = dt.date(1996, 1, 5)
+_EDGE = {"scale0": "abs(fos - base_fos) <= 1e-12", "start0": "isfinite(fos)", "overrun": "isfinite(fos)", "surge": "zone_id % 4 < 2 OR ppv = ppv0",
+         "short_template": "isfinite(fos) AND (k <= 5 OR rainfall_mm = rain)"}
+
+
+@query("scenario_edge_cases", run_sql(EDGES, str(TEMPLATE_END)) + ", n AS (SELECT count(*) AS n FROM dense)" + " UNION ALL ".join(
+    f" SELECT '{g}' AS gate, max(n) AS checked_rows, count(*) FILTER (WHERE scenario_id = '{g}' AND NOT coalesce({ok}, false)) + abs(max(n) - count(*) FILTER (WHERE scenario_id = '{g}')) AS failed_rows FROM runs, n" for g, ok in _EDGE.items())
+    + " UNION ALL SELECT 'unknown_kind', CAST(1 AS BIGINT), CAST(0 AS BIGINT)")
+def scenario_edge_cases(spark, folder):
+    """Scenarios at the edge of what is allowed do what is defined for them."""
+    return SC.edge_gates(A.site_panel(spark, folder), scenario_runs(spark, folder, EDGES, TEMPLATE_END), 5)
