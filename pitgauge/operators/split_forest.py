@@ -63,7 +63,7 @@ class SplitForest:
         prep = Pipeline(stages=preprocessing(self.numeric, self.categorical)).fit(rows)
         missing = [k for k, place in enumerate(places) if not exists(spark, place)]
         if missing:
-            ready = cut_lineage(prep.transform(rows).select("features", self.label))
+            ready = cut_lineage(prep.transform(rows).select("features", self.label).hint("rebalance"))  # few files of even size: a fit has a job for each level of its trees
 
         @inheritable_thread_target(spark)
         def part(k: int) -> RandomForestRegressionModel:
