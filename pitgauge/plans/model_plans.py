@@ -10,6 +10,7 @@ from pitgauge.operators import evaluation as E
 from pitgauge.operators import modeling as M
 from pitgauge.operators import windows as W
 from pitgauge.operators.boards import apply_overrides
+from pitgauge.operators.split_forest import SplitForest
 from pitgauge.operators.stats import sampled_row
 from pitgauge.plans.registry import R, query, rounded
 from pitgauge.plans.score_plans import override_requests
@@ -47,10 +48,14 @@ def folded_rows(spark, folder):
     return cut_lineage(E.world_folds(rows.where(seen), "seed", FOLDS).unionByName(rows.where(~seen), allowMissingColumns=True))
 
 
-def unseen_forests(rows, categorical=()):
+def whole_forest():
+    """The contract's forest, 500 trees of depth 12; queries that need the same fit read the parts that the first one has published."""
+    return SplitForest(LABEL, NUMERIC, ["kind"])
+
+
+def unseen_forests(rows, forest):
     """A forest for each fold that did not see its worlds, and one on all training worlds for the others."""
     train = rows.where(F.col("fold").isNotNull() & F.col(LABEL).isNotNull()).persist()
-    forest = M.pipeline("forest", LABEL, NUMERIC, categorical, **SMALL)
     return train, M.fold_models(forest, train, "fold", FOLDS), forest.fit(train)
 
 
@@ -102,7 +107,7 @@ def forest_scores(spark, folder):
     No row's score is of a forest that saw its world. The confidence map is the contract's, one for all: fitted on the training worlds' unseen predictions.
     """
     rows = folded_rows(spark, folder)
-    train, models, model = unseen_forests(rows, ["kind"])
+    train, models, model = unseen_forests(rows, whole_forest())
     cal = M.fit_calibrator(M.predict_unseen(models, train, "fold"), LABEL)
     return M.score_predictions(M.predict_unseen(models, rows, "fold", model), cal).select("seed", "zone_id", "day_idx", F.round("raw", 4).alias("raw"), "score_int", "confidence", "band")
 
@@ -172,7 +177,7 @@ def replacement_contributions(spark, folder):
 def tree_contributions(spark, folder):
     """Four largest terms of each prediction of every zone and day, by a forest that did not see its world: base and all terms sum to the prediction."""
     rows = folded_rows(spark, folder)
-    _, models, model = unseen_forests(rows)
+    _, models, model = unseen_forests(rows, M.pipeline("forest", LABEL, NUMERIC, **SMALL))
     parts = [(m, rows.where(F.col("fold") == i)) for i, m in enumerate(models)] + [(model, rows.where(F.col("fold").isNull()))]
     out = None
     for m, part in parts:
@@ -224,7 +229,7 @@ def class_forest(spark, folder):
 def model_counterfactual(spark, folder):
     """Overridden zones of every world, as of their last day, re-scored beside their baseline by a forest that did not see their world."""
     rows = folded_rows(spark, folder)
-    _, models, model = unseen_forests(rows)
+    _, models, model = unseen_forests(rows, M.pipeline("forest", LABEL, NUMERIC, **SMALL))
     z = RD.latest_states(rows)
     merged, _ = apply_overrides(z, override_requests(z), "zone_id", ["ppv", "groundwater_proxy", "crack_density"])
     score = lambda r: M.score_predictions(M.predict_unseen(models, r, "fold", model))
