@@ -246,3 +246,13 @@ def test_missing_risk_is_reported(spark):
     nodes, roads, risk = _graph(spark)
     edges = RT.with_worst_risk(RT.build_edges(nodes, roads), risk.where("node <> 'cut'"))
     assert {(r.src, r.dst) for r in RT.edges_without_risk(edges).collect()} == {("gate", "cut"), ("cut", "gate"), ("cut", "plant"), ("plant", "cut")}
+
+
+def test_nearest_zone_copies_no_zone_through_the_driver(spark):
+    """Forty zones at one position count as one, the smallest id wins, and the copied zones are merge-joined."""
+    z = spark.createDataFrame([(40 * k + j, float(k), float(k % 3)) for k in range(12) for j in range(40)], "zone_id long, lat double, lng double")
+    p = spark.createDataFrame([(i, i * 0.37, 1.0) for i in range(30)], "point_id long, lat double, lng double")
+    out = nearest_zone(p, z)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") >= 2
+    want = {i: min((((i * 0.37 - k) ** 2 + (1.0 - k % 3) ** 2) ** 0.5, 40 * k) for k in range(12)) for i in range(30)}
+    assert {r.point_id: (round(r.dist, 9), r.zone_id) for r in out.collect()} == {i: (round(d, 9), k) for i, (d, k) in want.items()}
