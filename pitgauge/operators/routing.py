@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitgauge.functions import scoring as S
+from pitgauge.operators.components import connected_components
 from pitgauge.session import cut_lineage
 
 
@@ -54,7 +55,7 @@ def cheapest_paths(edges: DataFrame, requests: DataFrame, costs: Mapping[str, Co
                    rounds_per_stage: int = 4) -> DataFrame:
     """Cheapest path per (metric, request) for several cost metrics in one run.
 
-    Three steps, none of which shuffles a path. ``_distances`` relaxes edges until no cost improves. ``_successors`` walks back from
+    Requests between separate parts of the graph are left out first (``_connected``). Then three steps, none of which shuffles a path. ``_distances`` relaxes edges until no cost improves. ``_successors`` walks back from
     each target over the edges that cheapest paths use and keeps the smallest next node, so that equal costs go to the smaller path.
     ``_on_path`` marks the nodes that those pointers lead through, by doubling. Paths are put together once, in the result.
 
@@ -67,6 +68,7 @@ def cheapest_paths(edges: DataFrame, requests: DataFrame, costs: Mapping[str, Co
         F.struct(F.lit(m).alias("metric"), c.alias("w")) for m, c in costs.items()]))).where(F.col("w").isNotNull()))
     wanted = cut_lineage(requests.select(labels, F.col("src").alias("source"), F.col("dst").alias("target"))
                          .where(F.col("source").isNotNull() & F.col("target").isNotNull()).distinct())
+    wanted = _connected(roads, wanted)
     reached = _distances(roads, wanted, hot_degree, rounds_per_stage)
     answers = reached.select("metric", "source", F.col("node").alias("target"))
     answered = wanted.join(answers, _REQUEST, "left_semi")
@@ -81,6 +83,20 @@ _STATE = ["metric", "source", "node"]
 _REQUEST = ["metric", "source", "target"]
 
 
+def _connected(roads: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The requests whose ends roads connect in either direction, and those from a node to itself: no others can have a path.
+
+    The search for a target that cannot be reached would otherwise go on through all that its source can reach, once for each such source.
+    """
+    at = lambda c: F.struct("metric", F.col(c).alias("node"))
+    parts = cut_lineage(connected_components(roads.select(at("node").alias("a"), at("dst").alias("b")))
+                        .select("node.metric", "node.node", F.col("component.node").alias("part")))
+    begin = parts.select("metric", F.col("node").alias("source"), "part")
+    end = parts.select("metric", F.col("node").alias("target"), "part")
+    linked = wanted.join(begin, ["metric", "source"]).join(end, ["metric", "target", "part"]).select(*_REQUEST)
+    return cut_lineage(linked.unionByName(wanted.where(F.col("source") == F.col("target")).select(*_REQUEST)).distinct())
+
+
 def _distances(roads: DataFrame, wanted: DataFrame, hot_degree: int, rounds_per_stage: int) -> DataFrame:
     """Least cost per (metric, source, node) and the number of roads that first gave it.
 

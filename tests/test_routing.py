@@ -86,3 +86,16 @@ def test_states_carry_no_paths(spark, monkeypatch):
     req = spark.createDataFrame([(0, 5)], "src long, dst long")
     RT.cheapest_paths(edges, req, {"length": F.col("length")})
     assert len(written) > 5 and all("array" not in schema.simpleString() for schema in written[:-1])  # the last is the result
+
+
+def test_requests_between_separate_parts_are_left_out_before_the_search(spark):
+    """Two long chains: a target on the other one, or off the roads, is not searched for, so the search ends after a few rounds."""
+    chain = [(f"{c}{i:03d}", f"{c}{i + 1:03d}", 1.0) for c in "ab" for i in range(120)]
+    edges = spark.createDataFrame(chain + [(b, a, w) for a, b, w in chain], "src string, dst string, length double")
+    asked = [("a000", "b001"), ("a000", "a002"), ("b007", "a119"), ("a001", "zz"), ("zz", "zz"), ("b003", "b003"), (None, "a001")]
+    requests = spark.createDataFrame(asked, "src string, dst string")
+    wanted = spark.createDataFrame([("m", s, t) for s, t in asked[:-1]], "metric string, source string, target string")
+    roads = edges.select(F.lit("m").alias("metric"), F.col("src").alias("node"), "dst", F.col("length").alias("w"))
+    assert {(r.source, r.target) for r in RT._connected(roads, wanted).collect()} == {("a000", "a002"), ("zz", "zz"), ("b003", "b003")}
+    got = {(r.src, r.dst): (r.cost, r.path) for r in RT.cheapest_paths(edges, requests, {"m": F.col("length")}).collect()}
+    assert got == {("a000", "a002"): (2.0, ["a000", "a001", "a002"]), ("zz", "zz"): (0.0, ["zz"]), ("b003", "b003"): (0.0, ["b003"])}
