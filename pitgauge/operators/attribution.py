@@ -83,31 +83,59 @@ def expected(leaves: Sequence[Leaf]) -> float:
     return float(sum(leaf.value * np.prod(leaf.share) for leaf in leaves))
 
 
-def shapley_terms(x: np.ndarray, leaves: Sequence[Leaf]) -> np.ndarray:
-    """Terms of each row and feature; with :func:`expected` they sum to the prediction."""
-    out = np.zeros_like(x)
-    rules: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Leaves with at most this many features on their path get a table of their terms, one row for each set of features that a row passes.
+TABLE_FEATURES = 10
+
+
+def _terms(passes: np.ndarray, leaf: Leaf) -> np.ndarray:
+    """A leaf's terms for rows given by which of its features they pass (row, feature)."""
+    m = len(leaf.features)
+    t, w = np.polynomial.legendre.leggauss((m + 1) // 2)
+    t, w = (t + 1) / 2, w / 2
+    gain = passes - np.array(leaf.share)
+    factor = np.array(leaf.share)[None, :, None] + gain[:, :, None] * t[None, None, :]  # row, feature, point; never 0 at an inner point but for a share of 0
+    before = np.cumprod(factor, axis=1)
+    after = np.cumprod(factor[:, ::-1], axis=1)[:, ::-1]
+    others = np.ones_like(factor)
+    others[:, 1:] *= before[:, :-1]
+    others[:, :-1] *= after[:, 1:]
+    return leaf.value * gain * (others @ w)
+
+
+def leaf_tables(leaves: Sequence[Leaf]) -> list[np.ndarray | None]:
+    """(feature, code) terms of each leaf, where bit j of the code says that its feature j passes; none for leaves with too many features."""
+    out: list[np.ndarray | None] = []
     for leaf in leaves:
         m = len(leaf.features)
-        if not m or not leaf.value:
-            continue
-        if m not in rules:
-            t, w = np.polynomial.legendre.leggauss((m + 1) // 2)
-            rules[m] = (t + 1) / 2, w / 2
-        t, w = rules[m]
-        cols = x[:, leaf.features]
-        passes = ((cols > np.array(leaf.lo)) & (cols <= np.array(leaf.hi))).astype(float)
-        gain = passes - np.array(leaf.share)
-        factor = np.array(leaf.share)[None, :, None] + gain[:, :, None] * t[None, None, :]  # row, feature, point; never 0 at an inner point but for a share of 0
-        before = np.cumprod(factor, axis=1)
-        after = np.cumprod(factor[:, ::-1], axis=1)[:, ::-1]
-        others = np.ones_like(factor)
-        others[:, 1:] *= before[:, :-1]
-        others[:, :-1] *= after[:, 1:]
-        out[:, leaf.features] += leaf.value * gain * (others @ w)
+        some = 0 < m <= TABLE_FEATURES and leaf.value
+        out.append(np.ascontiguousarray(_terms((np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float), leaf).T) if some else None)
     return out
 
 
+def shapley_terms(x: np.ndarray, leaves: Sequence[Leaf], tables: Sequence[np.ndarray | None] | None = None) -> np.ndarray:
+    """Terms of each row and feature; with :func:`expected` they sum to the prediction.
+
+    A row's terms at a leaf depend only on which of the leaf's features it passes, so they are looked up in the leaf's table (:func:`leaf_tables`,
+    made once for many calls); only leaves without one are worked out row by row.
+    """
+    tables = leaf_tables(leaves) if tables is None else tables
+    cols, out = np.ascontiguousarray(x.T), np.zeros((x.shape[1], x.shape[0]))
+    for leaf, table in zip(leaves, tables):
+        if not leaf.features or not leaf.value:
+            continue
+        passes = [(cols[f] > lo) & (cols[f] <= hi) for f, lo, hi in zip(leaf.features, leaf.lo, leaf.hi)]
+        if table is None:
+            terms = _terms(np.array(passes).T.astype(float), leaf).T
+        else:
+            code = passes[0].astype(np.intp)
+            for j, p in enumerate(passes[1:], 1):
+                code += p.astype(np.intp) << j
+            terms = table.take(code, axis=1)
+        for f, term in zip(leaf.features, terms):
+            out[f] += term
+    return np.ascontiguousarray(out.T)
+
+
 def tree_contributions(model: PipelineModel, rows: DataFrame, names: Sequence[str], top: int | None = None) -> DataFrame:
     """``rows`` with ``prediction``, ``base`` and ``contributions``: (feature, term) by falling size, all of them or the ``top`` ones.
 
@@ -123,13 +151,14 @@ def tree_contributions(model: PipelineModel, rows: DataFrame, names: Sequence[st
     listed = np.array(names)
 
     def run(batches):
+        tables = leaf_tables(leaves)
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
                 k = part.num_rows
                 x = part.column(width).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(k, n)
                 x = np.where(np.isnan(x), np.inf, x)
-                terms = shapley_terms(x, leaves)
+                terms = shapley_terms(x, leaves, tables)
                 order = np.argsort(-np.abs(terms), axis=1, kind="stable")[:, :top]
                 flat = pa.StructArray.from_arrays([pa.array(listed[order].ravel()), pa.array(np.take_along_axis(terms, order, axis=1).ravel())], fields=list(arrow.field(width + 1).type.value_type))
                 ends = pa.array(np.arange(k + 1, dtype=np.int32) * order.shape[1])

@@ -85,3 +85,22 @@ def test_leaf_integrals_on_paths_that_repeat_features():
             want = sum(math.factorial(len(s)) * math.factorial(2 - len(s)) / 6 * (value({*s, i}) - value(set(s))) for k in range(3) for s in combinations(rest, k))
             assert terms[i] == pytest.approx(want, abs=1e-12)
         assert terms[1] == 0
+
+
+def test_terms_from_tables_equal_those_worked_out_by_rows(monkeypatch):
+    """Every leaf's terms are looked up by which features pass; leaves with more features than a table may have are worked out, with the same result."""
+    rng = np.random.default_rng(5)
+    leaves = []
+    for m in (0, 1, 3, 5, 6):
+        lo = rng.normal(-0.5, 0.5, m)
+        leaves.append(AT.Leaf(float(rng.normal()), tuple(range(m)), tuple(lo), tuple(lo + 1.0), tuple(rng.uniform(0.1, 0.9, m))))
+    x = rng.normal(size=(50, 6))
+    x[0, 0], x[1, 1] = np.inf, -np.inf
+    tables = AT.leaf_tables(leaves)
+    assert [None if t is None else t.shape for t in tables] == [None, (1, 2), (3, 8), (5, 32), (6, 64)]
+    looked_up = AT.shapley_terms(x, leaves, tables)
+    monkeypatch.setattr(AT, "TABLE_FEATURES", 4)
+    assert [t is None for t in AT.leaf_tables(leaves)] == [True, False, False, True, True]
+    np.testing.assert_allclose(looked_up, AT.shapley_terms(x, leaves), rtol=1e-12, atol=1e-12)
+    monkeypatch.setattr(AT, "TABLE_FEATURES", 0)
+    np.testing.assert_allclose(looked_up, AT.shapley_terms(x, leaves), rtol=1e-12, atol=1e-12)
