@@ -1,6 +1,7 @@
 """Gates of scenarios at the edge: each passes whole runs and fails a broken row or a missing one."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from pitgauge.operators import scenario as SC
 
@@ -37,3 +38,13 @@ def test_a_broken_row_fails_its_gate(spark, gate, zone, day, change):
 def test_missing_rows_and_missing_runs_fail(spark):
     made = [r for r in rows() if r["scenario_id"] != "start0" and not (r["scenario_id"] == "overrun" and r["day_idx"] == 4)]
     assert failed(spark, made) == {"overrun": 2, "start0": 10}
+
+
+def test_rows_of_a_scenario_task_are_bounded(spark, monkeypatch):
+    """The number of tasks follows the rows of the panel and the scenarios and is not reduced by compressed sizes; series stay whole."""
+    monkeypatch.setattr(SC, "TASK_ROWS", 50)
+    df = spark.range(1000).selectExpr("id % 40 as seed", "id as day_idx")
+    dealt = SC._dealt(df, 1000, ["seed"])
+    assert dealt.rdd.getNumPartitions() == 20
+    assert dealt.withColumn("at", F.spark_partition_id()).groupBy("seed").agg(F.countDistinct("at").alias("n")).where("n > 1").isEmpty()
+    assert SC._dealt(df.limit(0), 0, ["seed"]).count() == 0
