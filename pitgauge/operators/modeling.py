@@ -25,6 +25,20 @@ from pitgauge.functions import scoring as S
 from pitgauge.operators.evaluation import metrics_from_sums, error_sums, regression_metrics
 from pitgauge.operators.joins import dense_index, measured
 from pitgauge.operators.quantiles import exact_quantiles
+from pitgauge.session import cut_lineage
+
+#: Rows in a partition of a fit. Each partition sends its statistics of all open nodes, so few partitions cost less than many.
+TASK_ROWS = 500_000
+
+
+def few_partitions(rows: DataFrame, least: int = 20_000) -> DataFrame:
+    """Rows written once and dealt evenly to one partition for each ``TASK_ROWS``, on smaller tables to one for each ``least`` up to the number of cores.
+
+    Boosting runs several short jobs for each round, so its time on small tables is the number of their tasks.
+    """
+    once = cut_lineage(rows)
+    n, cores = once.count(), rows.sparkSession.sparkContext.defaultParallelism
+    return once.repartition(max(1, math.ceil(n / TASK_ROWS), min(cores, math.ceil(n / least))))
 
 
 def preprocessing(numeric: Sequence[str], categorical: Sequence[str] = ()) -> list:

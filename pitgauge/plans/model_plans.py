@@ -10,7 +10,7 @@ from pitgauge.operators import evaluation as E
 from pitgauge.operators import modeling as M
 from pitgauge.operators import windows as W
 from pitgauge.operators.boards import apply_overrides
-from pitgauge.operators.split_forest import SplitForest
+from pitgauge.operators.split_forest import SplitClassForest, SplitForest
 from pitgauge.operators.stats import sampled_row
 from pitgauge.plans.registry import R, query, rounded
 from pitgauge.plans.score_plans import override_requests
@@ -87,7 +87,8 @@ def model_leaderboard(spark, folder):
     train, _, test = _parts(dataset(spark, folder))
     out = E.regression_metrics(M.mean_baseline(train, test, LABEL), [], LABEL, "prediction").withColumn("model", F.lit("mean"))
     for kind, params in {"ridge": {}, "forest": SMALL, "boosted": {}}.items():
-        fitted = M.pipeline(kind, LABEL, NUMERIC, ["kind"], **params).fit(train)
+        rows = M.few_partitions(train) if kind == "boosted" else train
+        fitted = M.pipeline(kind, LABEL, NUMERIC, ["kind"], **params).fit(rows)
         out = out.unionByName(M.evaluate(fitted, test, LABEL).withColumn("model", F.lit(kind)))
     return rounded(out, ["model", "n"], ["mae", "rmse", "r2"])
 
@@ -220,7 +221,7 @@ def per_zone_models(spark, folder):
 def class_forest(spark, folder):
     """Class-weighted forest on score bands of the next day."""
     d = dataset(spark, folder).withColumn("label", S.score_band(LABEL))
-    model = M.forest_classifier("label", NUMERIC, ["kind"]).fit(M.with_class_weights(d.where("seed <= 2"), "label"))
+    model = SplitClassForest("label", NUMERIC, ["kind"]).fit(M.with_class_weights(d.where("seed <= 2"), "label"))
     report = E.class_report(M.predicted_labels(model, d.where("seed = 4"), "label"))
     return rounded(report, ["label", "support", "predicted", "tp"], ["precision", "recall", "f1"])
 

@@ -1,8 +1,12 @@
 """Forests in parts: the mean of all trees, fitted once, continued where a fit was broken off."""
 
+import random
+
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from pitgauge.operators import modeling as M
 from pitgauge.operators import split_forest as SF
 from pitgauge.session import scratch_path
 
@@ -56,3 +60,32 @@ def test_a_fit_goes_on_where_it_was_broken_off(spark, rows, monkeypatch):
     fitted.clear()
     forest(folder, depth=3).fit(rows)
     assert sorted(fitted) == [0, 1, 2]
+
+
+def test_class_forest_in_parts_adds_the_votes_of_all_trees(spark, tmp_path):
+    """Votes of the parts add up to those of all trees, a tie goes to the first class, and a part reads one partition however many the rows had."""
+    rng = random.Random(2)
+    rows = [(rng.random(), rng.random(), rng.choice("uv"), 1.0 + i % 2) for i in range(240)]
+    df = spark.createDataFrame([(a, b, k, ("high" if a > 0.6 else "low" if b > 0.4 else "mid"), w) for a, b, k, w in rows], "a double, b double, kind string, label string, weight double").repartition(6)
+    forest = SF.SplitClassForest("label", ["a", "b"], ["kind"], trees=7, depth=6, part_trees=3, folder=str(tmp_path))
+    model = forest.fit(df)
+    assert model.trees == 7 and [m.getNumTrees for m in model.parts] == [3, 3, 1]
+    assert model.stages[0].labels == ["high", "low", "mid"]
+    out = model.transform(df)
+    assert out.columns[-1] == "prediction" and out.count() == 240
+    ready = model.prep.transform(df)
+    for m in model.parts:
+        ready = m.copy({m.rawPredictionCol: f"r{m.uid}", m.probabilityCol: "", m.predictionCol: ""}).transform(ready)
+    for r in ready.select(*[vector_to_array(f"r{m.uid}").alias(f"v{k}") for k, m in enumerate(model.parts)], "a", "b").join(out.select("a", "b", "prediction"), ["a", "b"]).collect():
+        votes = [sum(v) for v in zip(r.v0, r.v1, r.v2)]
+        assert r.prediction == votes.index(max(votes))
+    right = out.where("prediction = _label").count()
+    assert right > 200
+
+
+def test_few_partitions_follow_the_rows(spark, monkeypatch):
+    df = spark.range(1000).repartition(8)
+    assert M.few_partitions(df).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(M, "TASK_ROWS", 300)
+    out = M.few_partitions(df)
+    assert out.rdd.getNumPartitions() == 4 and out.count() == 1000
