@@ -52,7 +52,8 @@ class SplitClassForestModel(SplitForestModel):
         names = [f"_part{k}" for k in range(len(self.parts))]
         for name, m in zip(names, self.parts):
             out = m.copy({m.rawPredictionCol: name, m.probabilityCol: "", m.predictionCol: ""}).transform(out)
-        votes = F.array(*[sum((F.get(vector_to_array(name), i) for name in names), F.lit(0.0)) for i in range(self.parts[0].numClasses)])
+        none = F.array(*[F.lit(0.0)] * self.parts[0].numClasses)
+        votes = F.aggregate(F.array(*[vector_to_array(name) for name in names]), none, lambda total, part: F.zip_with(total, part, lambda x, y: x + y))  # each part's vector is named once, so it is worked out once
         first = F.array_position("_votes", F.array_max("_votes")) - 1
         return out.withColumn("_votes", votes).withColumn("prediction", first.cast("double")).drop("_votes", *names)
 
