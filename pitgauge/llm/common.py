@@ -80,27 +80,32 @@ def append_columns(df: DataFrame, text: str, fields: Sequence[T.StructField], ma
 
     ``make()`` runs once per task and returns ``f(texts) -> columns``, which gets a list of
     texts (null: empty, or None with ``nulls``), and the list of ``key`` values if one is named, and returns one list per field. Columns of ``df`` with the name of a new
-    column are replaced. A row's result depends on its own text only, so a retried task repeats it.
+    column are replaced. A row's result depends on its own text only, so a retried task repeats it. A text that is kept is sent
+    to Python once, and a batch is let go before the next is read.
     """
     kept = without(df if keep is None else df.select(*[col(c) for c in keep]), [f.name for f in fields])
     schema = T.StructType([df.schema[c] for c in kept] + list(fields))
     arrow = to_arrow_schema(schema)
     n = len(kept)
+    once = text in kept and df.schema[text].dataType == T.StringType()
+    at, key_at = (kept.index(text), n) if once else (n, n + 1)
 
     def run(batches):
         fn = make()
         for batch in batches:
-            for part in by_bytes(batch, n):
-                texts = part.column(n).to_pylist()
-                new = fn(texts if nulls else [t or "" for t in texts], *([part.column(n + 1).to_pylist()] if key else []))
+            for part in by_bytes(batch, at):
+                texts = part.column(at).to_pylist()
+                new = fn(texts if nulls else [t or "" for t in texts], *([part.column(key_at).to_pylist()] if key else []))
                 arrays = [part.column(j).cast(arrow.field(j).type) for j in range(n)]
                 arrays += [v if isinstance(v, pa.Array) else pa.array(v, type=arrow.field(n + i).type) for i, v in enumerate(new)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
                 del part, texts, new, arrays
+            del batch
             pa.default_memory_pool().release_unused()
 
     named = [col(c).alias(f"c{j}") for j, c in enumerate(kept)]  # plain names, as mapInArrow resolves dots
-    return df.select(*named, col(text).cast("string").alias("text"), *([col(key).alias("key")] if key else [])).mapInArrow(run, schema)
+    sent = [] if once else [col(text).cast("string").alias("text")]
+    return df.select(*named, *sent, *([col(key).alias("key")] if key else [])).mapInArrow(run, schema)
 
 
 def field(name: str, kind: str) -> T.StructField:

@@ -317,3 +317,35 @@ def test_queries_return_whole_tables(spark, name):
         return
     source = {"doc_id": "documents", "page_id": "pages", "vec_id": "embeddings"}[key]
     assert got.count() == got.select(key).distinct().count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
+
+
+def test_a_kept_text_is_sent_to_python_once(spark, monkeypatch):
+    """Each text of a batch takes memory of the executor and of its worker; the next batch is read when the last one has gone."""
+    import weakref
+
+    import pyarrow as pa
+
+    from pitgauge.llm.common import append_columns, field
+
+    docs = spark.createDataFrame([(1, "ab", "x"), (2, None, "y"), (3, "", None)], "doc_id long, text string, lang string")
+    sent, runs = [], []
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: sent.append(self.schema) or runs.append(f) or real(self, f, schema))
+    fields, make = [field("n", "int")], lambda: lambda texts, ids=None: [[len(t) for t in texts]]
+    for keep, key, want in ((None, None, 1), (["doc_id"], None, 1), (["lang", "text"], "doc_id", 1)):
+        got = append_columns(docs, "text", fields, make, keep=keep, key=key)
+        assert [f.dataType.simpleString() for f in sent[-1] if f.name != "key"].count("string") - ("lang" in got.columns) == want
+        assert sorted(r.n for r in got.collect()) == [0, 0, 2]
+        if "text" in got.columns:
+            assert {(r.text, r.n) for r in got.collect()} == {("ab", 2), (None, 0), ("", 0)}
+    held = []
+
+    def batches():
+        for i in range(3):
+            table = pa.RecordBatch.from_arrays([pa.array([i]), pa.array(["ab"]), pa.array(["x"])], names=["c0", "c1", "c2"])
+            assert all(ref() is None for ref in held)
+            held.append(weakref.ref(table))
+            yield table
+            del table
+
+    assert len(list(runs[0](batches()))) == 3
