@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,12 +55,14 @@ def edges_without_risk(edges: DataFrame) -> DataFrame:
 
 
 def cheapest_paths(edges: DataFrame, requests: DataFrame, costs: Mapping[str, Column], hot_degree: int = 10_000,
-                   rounds_per_stage: int = 4) -> DataFrame:
-    """Cheapest path per (metric, request) for several cost metrics in one run.
+                   rounds_per_stage: int = 4, cell_roads: int = 200_000, window_nodes: int = 50_000) -> DataFrame:
+    """Cheapest path per (metric, request) for several cost metrics in one run; of equal costs the smallest path.
 
-    Requests between separate parts of the graph are left out first (``_connected``). Then three steps, none of which shuffles a path. ``_distances`` relaxes edges until no cost improves. ``_successors`` walks back from
-    each target over the edges that cheapest paths use and keeps the smallest next node, so that equal costs go to the smaller path.
-    ``_on_path`` marks the nodes that those pointers lead through, by doubling. Paths are put together once, in the result.
+    Requests between separate parts of the graph are left out first (``_connected``). Nodes then get numbers in their order, and cells of
+    neighbouring numbers with about ``cell_roads`` roads. ``_distances`` relaxes roads until no cost improves, inside a cell without a
+    shuffle. ``_used`` keeps the roads of cheapest paths. The smallest cheapest paths of a source form a tree, for the start of such a
+    path is one itself: ``_tree`` finds it by windows of cost of about ``window_nodes`` nodes, ``_walk_back`` follows it from the targets.
+    Paths are put together once, in the result.
 
     A road without length needs a rule against going round in circles: it is used only towards the node that takes more roads to
     reach. A request from a node to itself has that node as its path; requests with a null or without a path give no row; repeated requests
@@ -69,18 +74,27 @@ def cheapest_paths(edges: DataFrame, requests: DataFrame, costs: Mapping[str, Co
     wanted = cut_lineage(requests.select(labels, F.col("src").alias("source"), F.col("dst").alias("target"))
                          .where(F.col("source").isNotNull() & F.col("target").isNotNull()).distinct())
     wanted = _connected(roads, wanted)
+    numbers = _numbers(roads, wanted, max(1, -(-roads.count() // (cell_roads * max(1, len(costs))))))
+    roads, wanted = cut_lineage(_numbered(roads, numbers, "node", "dst")), cut_lineage(_numbered(wanted, numbers, "source", "target"))
     reached = _distances(roads, wanted, hot_degree, rounds_per_stage)
-    answers = reached.select("metric", "source", F.col("node").alias("target"))
-    answered = wanted.join(answers, _REQUEST, "left_semi")
-    chosen = _on_path(_successors(roads, reached, answered, rounds_per_stage), answered)
-    placed = chosen.join(reached, ["metric", "source", "node"])
-    in_order = F.array_sort(F.collect_list(F.struct("cost", "round", "node")))
-    return cut_lineage(placed.groupBy("metric", F.col("source").alias("src"), F.col("target").alias("dst")).agg(
-        F.max("cost").alias("cost"), F.transform(in_order, lambda x: x["node"]).alias("path")))
+    answered = cut_lineage(reached.withColumnRenamed("node", "target").join(wanted, _REQUEST, "left_semi"))
+    windows = _windows(reached, window_nodes)
+    tree = _tree(_used(roads, reached), wanted, windows)
+    chosen = _walk_back(tree, answered, windows)
+    named = numbers.select(F.col("number").alias("node"), F.col("node").alias("name"))
+    steps = chosen.join(named, "node").groupBy(*_REQUEST).agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "name"))), lambda x: x["name"]).alias("path"))
+    return cut_lineage(steps.join(answered, _REQUEST).select("metric", F.element_at("path", 1).alias("src"), F.element_at("path", -1).alias("dst"), "cost", "path"))
 
 
 _STATE = ["metric", "source", "node"]
 _REQUEST = ["metric", "source", "target"]
+#: Sources that one task relaxes together, so that its memory is bounded by this and the size of a cell.
+_SOURCES = 4
+#: Rounds inside a cell for each of ``rounds_per_stage``; what is left over goes on in the next stage.
+_INNER_ROUNDS = 64
+#: What a row that comes to a cell is: a road, a state known there, a state that is new there.
+_ROAD, _HAD, _COME = 0, 1, 2
+_NO_BOUND = float("inf")
 
 
 def _connected(roads: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -97,87 +111,285 @@ def _connected(roads: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut_lineage(linked.unionByName(wanted.where(F.col("source") == F.col("target")).select(*_REQUEST)).distinct())
 
 
+def _numbers(roads: DataFrame, wanted: DataFrame, cells: int) -> DataFrame:
+    """(node, number) in the order of the nodes; the upper bits of a number are its cell, a range of nodes."""
+    ends = roads.select(F.explode(F.array("node", "dst")).alias("node")).unionByName(wanted.select(F.explode(F.array("source", "target")).alias("node")))
+    nodes = cut_lineage(ends.where(F.col("node").isNotNull()).distinct())
+    in_order = nodes.repartitionByRange(cells, "node").sortWithinPartitions("node")
+    return cut_lineage(in_order.select("node", F.monotonically_increasing_id().alias("number")))
+
+
+def _numbered(rows: DataFrame, numbers: DataFrame, *columns: str) -> DataFrame:
+    for c in columns:
+        rows = rows.withColumnRenamed(c, "_name").join(numbers.select(F.col("node").alias("_name"), F.col("number").alias(c)), "_name").drop("_name")
+    return rows
+
+
+def _cell(c: str) -> Column:
+    return F.shiftright(c, 33)
+
+
+def _roads_by_cell(roads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The roads inside a cell, with the cell, and those from one cell to another."""
+    border = _cell("node") != _cell("dst")
+    return cut_lineage(roads.where(~border).select("metric", _cell("node").alias("cell"), "node", "dst", "w")), cut_lineage(roads.where(border))
+
+
+def _cell_and_part(states: DataFrame) -> tuple[Column, Column]:
+    """Where a state is worked on: its cell, and one of as many parts as there are few sources."""
+    parts = max(1, -(-states.select("source").distinct().count() // _SOURCES))
+    return _cell("node").alias("cell"), F.pmod(F.xxhash64("source"), F.lit(parts)).cast("int").alias("part")
+
+
+def _states_in_cells(states: DataFrame, at: tuple[Column, Column], kind: int) -> DataFrame:
+    bound = "bound" if "bound" in states.columns else F.lit(_NO_BOUND).alias("bound")
+    return states.select("metric", *at, F.lit(kind).alias("kind"), "source", "node", F.lit(0).cast("long").alias("dst"), "cost", "round", bound)
+
+
+def _roads_in_cells(inner: DataFrame, busy: DataFrame) -> DataFrame:
+    return inner.join(busy, ["metric", "cell"]).select(
+        "metric", "cell", "part", F.lit(_ROAD).alias("kind"), F.lit(0).cast("long").alias("source"), "node", "dst", F.col("w").cast("double").alias("cost"),
+        F.lit(0).alias("round"), F.lit(_NO_BOUND).alias("bound"))
+
+
 def _distances(roads: DataFrame, wanted: DataFrame, hot_degree: int, rounds_per_stage: int) -> DataFrame:
     """Least cost per (metric, source, node) and the number of roads that first gave it.
 
-    Each stage extends the frontier by a few edges and writes what it finds, best per state. Stages are never merged: a state is new if no
-    earlier stage has it at that cost or less, and the next frontier is what the last edge of a stage found new. A state dearer than the
-    dearest answer its source still needs is not extended. Lost executors cost one stage.
+    Each stage relaxes the roads inside the cells that new costs have come to, for a few sources a task, and writes the states that
+    improve; these are then extended by one road into other cells. A state dearer than the dearest answer its source still needs is not
+    extended. Lost executors cost one stage.
     """
     spark = roads.sparkSession
-    extend = _relaxation(roads, hot_degree)
-    found = cut_lineage(wanted.select("metric", "source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("round")).distinct())
-    files, frontier, k = found.inputFiles(), found, 0
-    while True:
-        hops = []
-        for _ in range(rounds_per_stage):
-            k += 1
-            frontier = extend(frontier).groupBy(*_STATE).agg(F.min("cost").alias("cost"), (F.max("round") + 1).alias("round"))
-            hops.append(frontier)
-        found = cut_lineage(_least(reduce(DataFrame.unionByName, hops)))
-        known = spark.read.schema(found.schema).parquet(*files)
+    inner, border = _roads_by_cell(roads)
+    extend = _relaxation(border, hot_degree)
+    at = _cell_and_part(wanted)
+    relax, shape = _relax_cell(_INNER_ROUNDS * rounds_per_stage), "metric string, source long, node long, cost double, round int, open boolean"
+    fresh = cut_lineage(wanted.select("metric", "source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("round"), F.lit(_NO_BOUND).alias("bound")).distinct())
+    files: list[str] = []
+    while not fresh.isEmpty():
+        rows = _states_in_cells(fresh, at, _COME)
+        busy = F.broadcast(rows.select("metric", "cell", "part").distinct())
+        rows = rows.unionByName(_roads_in_cells(inner, busy))
+        if files:
+            rows = rows.unionByName(_states_in_cells(spark.read.schema(shape).parquet(*files), at, _HAD).join(busy, ["metric", "cell", "part"], "left_semi"))
+        found = cut_lineage(rows.groupBy("metric", "cell", "part").applyInArrow(relax, shape))
         files = [*files, *found.inputFiles()]
-        last = found.where(F.col("round") == k)
-        beaten = known.select(*_STATE, F.col("cost").alias("_had")).join(last, _STATE).where(F.col("_had") <= F.col("cost")).select(*_STATE)
-        answers = known.unionByName(found).groupBy(*_STATE).agg(F.min("cost").alias("_cost")).withColumnRenamed("node", "target")
+        answers = spark.read.schema(shape).parquet(*files).withColumnRenamed("node", "target").join(wanted, _REQUEST, "left_semi")
+        answers = answers.groupBy(*_REQUEST).agg(F.min("cost").alias("_cost"))
         bound = wanted.join(answers, _REQUEST, "left").groupBy("metric", "source").agg(
-            F.when(F.count_if(F.col("_cost").isNull()) == 0, F.max("_cost")).alias("_bound"))
-        frontier = cut_lineage(last.join(beaten, _STATE, "left_anti").join(bound, ["metric", "source"])
-                               .where(F.col("_bound").isNull() | (F.col("cost") <= F.col("_bound"))).drop("_bound"))
-        if frontier.isEmpty():
-            break
-    return cut_lineage(_least(spark.read.schema(found.schema).parquet(*files)))
-
+            F.when(F.count_if(F.col("_cost").isNull()) == 0, F.max("_cost")).alias("bound"))
+        across = extend(found.select(*_STATE, "cost", "round")).withColumn("round", F.col("round") + 1)
+        best = across.unionByName(found.where("open").select(*across.columns)).groupBy(*_STATE).agg(F.min(F.struct("cost", "round")).alias("s"))
+        fresh = cut_lineage(best.select(*_STATE, "s.*").join(bound, ["metric", "source"]).withColumn("bound", F.coalesce("bound", F.lit(_NO_BOUND)))
+                            .where(F.col("cost") <= F.col("bound")))
+    if not files:
+        return fresh.drop("bound")
+    best = spark.read.schema(shape).parquet(*files).groupBy(*_STATE).agg(F.min(F.struct("cost", "round")).alias("s"))
+    return cut_lineage(best.select(*_STATE, "s.cost", "s.round"))
 
-def _least(states: DataFrame) -> DataFrame:
-    best = states.groupBy(*_STATE).agg(F.min(F.struct("cost", "round")).alias("s"))
-    return best.select(*_STATE, "s.cost", "s.round")
 
+def _relax_cell(rounds: int) -> Callable[[pa.Table], pa.Table]:
+    """Relaxes the roads inside one cell for a few sources, from the states that have come, until none improves or the rounds are used up.
 
-def _successors(roads: DataFrame, reached: DataFrame, answered: DataFrame, rounds_per_stage: int) -> DataFrame:
-    """(request, node, nxt): the smallest next node of every node that lies on a cheapest path of the request.
+    Returns the states that are better than those it had; ``open`` are those of the last round, not extended yet.
+    """
 
-    All nodes met on the way back from a target lead to it, so the smallest next node of each begins the smallest path.
+    def better(at: np.ndarray, cost: np.ndarray, hops: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((hops, cost, at))
+        first = order[np.flatnonzero(np.diff(at[order], prepend=-1))]
+        return at[first], cost[first], hops[first]
+
+    def relax(rows: pa.Table) -> pa.Table:
+        kind, source, node, dst, cost, hops, bound = (rows[c].to_numpy() for c in ("kind", "source", "node", "dst", "cost", "round", "bound"))
+        road, had, come = kind == _ROAD, kind == _HAD, kind == _COME
+        nodes, sources = np.unique(np.concatenate([node, dst[road]])), np.unique(source[~road])
+        n = len(nodes)
+        begin = np.searchsorted(nodes, node[road])
+        order = np.argsort(begin, kind="stable")
+        first = np.searchsorted(begin[order], np.arange(n + 1))
+        end, w = np.searchsorted(nodes, dst[road])[order], cost[road][order]
+        place = lambda these: np.searchsorted(sources, source[these]) * n + np.searchsorted(nodes, node[these])
+        least, fewest = np.full(len(sources) * n, np.inf), np.full(len(sources) * n, np.iinfo(np.int32).max, np.int32)
+        at, c, h = better(place(had), cost[had], hops[had])
+        least[at], fewest[at] = c, h
+        before, before_hops = least.copy(), fewest.copy()
+        most = np.full(len(sources), np.inf)
+        np.minimum.at(most, np.searchsorted(sources, source[come]), bound[come])
+        at, c, h = better(place(come), cost[come], hops[come])
+        good = (c < least[at]) | ((c == least[at]) & (h <= fewest[at]))
+        active = at[good]
+        least[active], fewest[active] = c[good], h[good]
+        for _ in range(rounds):
+            a = first[active % n]
+            many = first[active % n + 1] - a
+            of = np.repeat(active, many)
+            leg = np.arange(len(of)) + np.repeat(a - np.cumsum(many) + many, many)
+            at, c, h = of - of % n + end[leg], least[of] + w[leg], fewest[of] + 1
+            good = ((c < least[at]) | ((c == least[at]) & (h < fewest[at]))) & (c <= most[at // n])
+            active, c, h = better(at[good], c[good], h[good])
+            least[active], fewest[active] = c, h
+            if not len(active):
+                break
+        new = np.flatnonzero((least != before) | (fewest != before_hops) | np.isin(np.arange(len(least)), active))
+        return pa.table({"metric": pa.repeat(rows["metric"][0], len(new)), "source": sources[new // n], "node": nodes[new % n], "cost": least[new],
+                         "round": fewest[new], "open": np.isin(new, active)})
+
+    return relax
+
+
+def _used(roads: DataFrame, reached: DataFrame) -> DataFrame:
+    """(metric, source, node, nxt) for the roads that cheapest paths use, with the cost of both ends; those inside a cell are found without a join."""
+    inner, border = _roads_by_cell(roads)
+    states = _states_in_cells(reached, _cell_and_part(reached), _HAD)
+    rows = states.unionByName(_roads_in_cells(inner, F.broadcast(states.select("metric", "cell", "part").distinct())))
+    inside = rows.groupBy("metric", "cell", "part").applyInArrow(_used_in_cell(), "metric string, source long, node long, nxt long, cost double, nxt_cost double")
+    begin = reached.select(*_STATE, "cost", "round")
+    end = reached.select("metric", "source", F.col("node").alias("nxt"), F.col("cost").alias("nxt_cost"), F.col("round").alias("nxt_round"))
+    further = (F.col("cost") < F.col("nxt_cost")) | (F.col("round") < F.col("nxt_round"))
+    across = begin.join(border.withColumnRenamed("dst", "nxt"), ["metric", "node"]).join(end, ["metric", "source", "nxt"])
+    return inside.unionByName(across.where((F.col("cost") + F.col("w") == F.col("nxt_cost")) & further).select(*_STATE, "nxt", "cost", "nxt_cost"))
+
+
+def _used_in_cell() -> Callable[[pa.Table], pa.Table]:
+    def used(rows: pa.Table) -> pa.Table:
+        kind, source, node, dst, cost, hops = (rows[c].to_numpy() for c in ("kind", "source", "node", "dst", "cost", "round"))
+        road = kind == _ROAD
+        nodes = np.unique(np.concatenate([node, dst[road]]))
+        at, begin, end, w = np.searchsorted(nodes, node), np.searchsorted(nodes, node[road]), np.searchsorted(nodes, dst[road]), cost[road]
+        out = []
+        for s in np.unique(source[~road]):
+            here = ~road & (source == s)
+            least, fewest = np.full(len(nodes), np.inf), np.zeros(len(nodes), np.int32)
+            least[at[here]], fewest[at[here]] = cost[here], hops[here]
+            b, e = least[begin], least[end]
+            i = np.flatnonzero(np.isfinite(e) & (b + w == e) & ((b < e) | (fewest[begin] < fewest[end])))
+            out.append((np.full(len(i), s), nodes[begin[i]], nodes[end[i]], b[i], e[i]))
+        columns = [np.concatenate(c) for c in zip(*out)]
+        return pa.table({"metric": pa.repeat(rows["metric"][0], len(columns[0]))} | dict(zip(("source", "node", "nxt", "cost", "nxt_cost"), columns)))
+
+    return used
+
+
+def _windows(reached: DataFrame, window_nodes: int) -> tuple[DataFrame, int]:
+    """Per (metric, source) the costs at which windows end, so that each has about ``window_nodes`` nodes (more only at equal costs), and their number."""
+    counts = reached.groupBy("metric", "source").count().agg(F.max("count")).first()[0] or 0
+    n = max(1, -(-counts // window_nodes))
+    at = [k / n for k in range(1, n)]
+    ends = F.percentile_approx("cost", at, 10_000) if at else F.array().cast("array<double>")
+    return reached.groupBy("metric", "source").agg(ends.alias("ends")), n
+
+
+def _window(cost: str) -> Column:
+    return F.size(F.filter("ends", lambda x: x < F.col(cost)))
+
+
+def _tree(used: DataFrame, wanted: DataFrame, windows: tuple[DataFrame, int]) -> DataFrame:
+    """(metric, source, node, prev, depth, win, prev_win): the last step of the smallest cheapest path to each node.
+
+    Going through the roads in use depth first, smallest next node first, meets each node first by its smallest path. One window of cost is
+    gone through at a time: roads that leave it keep their place in that order as a label and wait for the window they lead to.
     """
-    spark = roads.sparkSession
-    begin = reached.select(*_STATE, F.col("cost").alias("_c"), F.col("round").alias("_r"))
-    end = reached.select("metric", "source", F.col("node").alias("nxt"), "cost", "round")
-    further = (F.col("_c") < F.col("cost")) | (F.col("_r") < F.col("round"))
-    used = cut_lineage(
-        begin.join(roads.withColumnRenamed("dst", "nxt"), ["metric", "node"]).join(end, ["metric", "source", "nxt"])
-        .where((F.col("_c") + F.col("w") == F.col("cost")) & further).select("metric", "source", "node", "nxt").distinct())
-    before = used.select("metric", "source", F.col("nxt").alias("node"), F.col("node").alias("prev"))
-    at, files = answered.select(*_REQUEST, F.col("target").alias("node")), []
-    while True:
-        at = at.withColumn("hop", F.lit(0))
-        for k in range(rounds_per_stage):
-            met = at.withColumn("_from", F.when(F.col("hop") == k, F.col("node"))).join(
-                before.withColumnRenamed("node", "_from"), ["metric", "source", "_from"], "left")
-            both = F.array(F.struct("node", "hop"), F.struct(F.col("prev").alias("node"), F.lit(k + 1).alias("hop")))
-            at = met.select(*_REQUEST, F.inline(both)).where(F.col("node").isNotNull()).groupBy(*_REQUEST, "node").agg(F.min("hop").alias("hop"))
-        at = cut_lineage(at)
-        seen = spark.read.schema(at.schema).parquet(*files) if files else None
-        files = [*files, *at.inputFiles()]
-        last = at.where(F.col("hop") == rounds_per_stage).drop("hop")
-        if last.isEmpty():
-            break
-        at = last if seen is None else last.join(seen, [*_REQUEST, "node"], "left_anti")
-    visited = spark.read.schema(at.schema).parquet(*files).select(*_REQUEST, F.col("node").alias("nxt"))
-    return cut_lineage(visited.join(used, ["metric", "source", "nxt"]).groupBy(*_REQUEST, "node").agg(F.min("nxt").alias("nxt")))
-
-
-def _on_path(pointers: DataFrame, answered: DataFrame) -> DataFrame:
-    """(request, node) for the nodes that the pointers lead through from the source on; the reach of a pointer doubles each round."""
-    marked = answered.select(*_REQUEST, F.col("source").alias("node"))
-    jump = pointers
-    while True:
-        for _ in range(2):
-            marked = marked.unionByName(marked.join(jump, [*_REQUEST, "node"]).select(*_REQUEST, F.col("nxt").alias("node")))
-            beyond = jump.select(*_REQUEST, F.col("node").alias("nxt"), F.col("nxt").alias("_far"))
-            jump = jump.join(beyond, [*_REQUEST, "nxt"]).select(*_REQUEST, "node", F.col("_far").alias("nxt"))
-        marked, jump = cut_lineage(marked), cut_lineage(jump)
-        if jump.isEmpty():
-            return marked
+    ends, n = windows
+    legs = used.join(F.broadcast(ends), ["metric", "source"]).select(*_STATE, "nxt", _window("cost").alias("win"), _window("nxt_cost").alias("nxt_win"))
+    legs = cut_lineage(legs)
+    spark = used.sparkSession
+    shape = "metric string, source long, node long, prev long, depth int, win int, prev_win int, label binary"
+    begin = wanted.select("metric", "source").distinct().select(
+        "metric", "source", F.col("source").alias("node"), F.lit(None).cast("long").alias("prev"), F.lit(1).alias("depth"), F.lit(0).alias("win"),
+        F.lit(-1).alias("prev_win"), F.lit(b"").alias("label"))
+    waiting = [cut_lineage(begin)]
+    files: list[str] = []
+    for k in range(n):
+        here = reduce(DataFrame.unionByName, waiting).where(F.col("win") == k)
+        rows = here.select(*_STATE, F.lit(None).cast("long").alias("nxt"), F.lit(None).cast("int").alias("nxt_win"), "prev", "depth", "prev_win", "label").unionByName(
+            legs.where(F.col("win") == k).select(*_STATE, "nxt", "nxt_win"), allowMissingColumns=True)
+        done = cut_lineage(rows.groupBy("metric", "source").applyInArrow(_depth_first(k), f"{shape}, met boolean"))
+        files += done.inputFiles()
+        waiting.append(done.where("NOT met").drop("met"))
+    return spark.read.schema(f"{shape}, met boolean").parquet(*files).where("met").drop("label", "met")
+
+
+def _depth_first(k: int) -> Callable[[pa.Table], pa.Table]:
+    """One window of one source: nodes met in it (with their last step), and the first road to each node of a later window."""
+
+    def visit(rows: pa.Table) -> pa.Table:
+        legs = rows.filter(pc.is_valid(rows["nxt"])).sort_by([("node", "ascending"), ("nxt", "ascending")])
+        nodes, nxt, later = legs["node"].to_numpy(), legs["nxt"].to_pylist(), legs["nxt_win"].to_pylist()
+        starts = np.flatnonzero(np.diff(nodes, prepend=-1)).tolist()
+        legs_of = dict(zip(nodes[starts].tolist(), zip(starts, [*starts[1:], len(nodes)])))
+        come = rows.filter(pc.is_null(rows["nxt"])).select(["label", "node", "prev", "depth", "prev_win"]).sort_by("label").to_pylist()
+        met, sent, out = set(), set(), []
+        for r in come:
+            if r["node"] in met:
+                continue
+            met.add(r["node"])
+            out.append((r["node"], r["prev"], r["depth"], k, r["prev_win"], b"", True))
+            legs_left, count = [(r["node"], r["depth"] + 1, iter(range(*legs_of.get(r["node"], (0, 0)))))], 0
+            while legs_left:
+                node, depth, left = legs_left[-1]
+                for i in left:
+                    to = nxt[i]
+                    if later[i] > k:
+                        if to not in sent:
+                            sent.add(to)
+                            out.append((to, node, depth, later[i], k, r["label"] + count.to_bytes(8, "big"), False))
+                            count += 1
+                    elif to not in met:
+                        met.add(to)
+                        out.append((to, node, depth, k, k, b"", True))
+                        legs_left.append((to, depth + 1, iter(range(*legs_of.get(to, (0, 0))))))
+                        break
+                else:
+                    legs_left.pop()
+        node, prev, depth, win, prev_win, label, is_met = zip(*out) if out else ((),) * 7
+        return pa.table({"metric": pa.repeat(rows["metric"][0], len(out)), "source": pa.repeat(rows["source"][0], len(out)), "node": pa.array(node, pa.int64()),
+                         "prev": pa.array(prev, pa.int64()), "depth": pa.array(depth, pa.int32()), "win": pa.array(win, pa.int32()),
+                         "prev_win": pa.array(prev_win, pa.int32()), "label": pa.array(label, pa.binary()), "met": pa.array(is_met, pa.bool_())})
+
+    return visit
+
+
+def _walk_back(tree: DataFrame, answered: DataFrame, windows: tuple[DataFrame, int]) -> DataFrame:
+    """(request, node, depth) for the nodes of each request's path, from the last window of cost to the first."""
+    ends, n = windows
+    spark = tree.sparkSession
+    shape = "metric string, source long, target long, node long, depth int, win int"
+    at = [answered.join(F.broadcast(ends), ["metric", "source"]).select(*_REQUEST, F.col("target").alias("node"), _window("cost").alias("win"))]
+    files: list[str] = []
+    for k in reversed(range(n)):
+        here = reduce(DataFrame.unionByName, at).where(F.col("win") == k)
+        steps = tree.where(F.col("win") == k).join(F.broadcast(here.select("metric", "source").distinct()), ["metric", "source"], "left_semi")
+        rows = here.select(*_REQUEST, "node").unionByName(steps.select(*_STATE, "prev", "depth", "prev_win"), allowMissingColumns=True)
+        done = cut_lineage(rows.groupBy("metric", "source").applyInArrow(_follow(k), shape))
+        files += done.inputFiles()
+        at.append(done.where(F.col("depth") == 0).drop("depth"))
+    return spark.read.schema(shape).parquet(*files).where("depth > 0").drop("win")
+
+
+def _follow(k: int) -> Callable[[pa.Table], pa.Table]:
+    """One window of one source: the nodes of its requests' paths in it, and (depth 0) where each goes on in an earlier window."""
+
+    def follow(rows: pa.Table) -> pa.Table:
+        steps, asked = rows.filter(pc.is_null(rows["target"])), rows.filter(pc.is_valid(rows["target"]))
+        step = dict(zip(steps["node"].to_pylist(), zip(*(steps[c].to_pylist() for c in ("prev", "depth", "prev_win")))))
+        target, node, depth, win = [], [], [], []
+        for t, at in zip(asked["target"].to_pylist(), asked["node"].to_pylist()):
+            in_window, many = k, len(node)
+            while in_window == k:
+                prev, d, in_window = step[at]
+                node.append(at)
+                depth.append(d)
+                at = prev
+            if in_window >= 0:
+                node.append(at)
+                depth.append(0)
+            many = len(node) - many
+            target += [t] * many
+            win += [in_window] * many
+        return pa.table({"metric": pa.repeat(rows["metric"][0], len(node)), "source": pa.repeat(rows["source"][0], len(node)), "target": pa.array(target, pa.int64()),
+                         "node": pa.array(node, pa.int64()), "depth": pa.array(depth, pa.int32()), "win": pa.array(win, pa.int32())})
+
+    return follow
 
 
 def _relaxation(roads: DataFrame, hot_degree: int) -> Callable[[DataFrame], DataFrame]:

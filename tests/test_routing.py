@@ -99,3 +99,30 @@ def test_requests_between_separate_parts_are_left_out_before_the_search(spark):
     assert {(r.source, r.target) for r in RT._connected(roads, wanted).collect()} == {("a000", "a002"), ("zz", "zz"), ("b003", "b003")}
     got = {(r.src, r.dst): (r.cost, r.path) for r in RT.cheapest_paths(edges, requests, {"m": F.col("length")}).collect()}
     assert got == {("a000", "a002"): (2.0, ["a000", "a001", "a002"]), ("zz", "zz"): (0.0, ["zz"]), ("b003", "b003"): (0.0, ["b003"])}
+
+
+def test_smallest_paths_through_many_cells_and_windows(spark):
+    """A grid of equal roads, where almost every path has equals, in cells of a few roads and windows of a few nodes."""
+    name = lambda i, j: f"{(7 * i + 3 * j) % 10}{i}{j}"
+    at = [(i, j) for i in range(6) for j in range(6)]
+    half = [(name(i, j), name(i + a, j + b), 1.0 + (i * j) % 2) for i, j in at for a, b in ((0, 1), (1, 0)) if i + a < 6 and j + b < 6]
+    roads = half + [(b, a, w) for a, b, w in half]
+    edges = spark.createDataFrame(roads, "src string, dst string, length double")
+    asked = [(s, name(*t)) for s in (name(0, 0), name(3, 2)) for t in at]
+    requests = spark.createDataFrame(asked, "src string, dst string")
+    rows = RT.cheapest_paths(edges, requests, {"m": F.col("length")}, hot_degree=3, cell_roads=30, window_nodes=9).collect()
+    want = {(s, t): found for s in (name(0, 0), name(3, 2)) for t, found in _plain(_adjacent(roads), s).items()}
+    assert len(rows) == 72 and {(r.src, r.dst): (r.cost, r.path) for r in rows} == want
+
+
+def test_written_stages_do_not_follow_the_roads_of_a_path(spark, monkeypatch):
+    """A chain of 240 roads: its states are exchanged between cells, not after every few roads."""
+    written = []
+    cut = RT.cut_lineage
+    monkeypatch.setattr(RT, "cut_lineage", lambda df: written.append(1) or cut(df))
+    chain = [(i, i + 1, 1.0) for i in range(240)]
+    edges = spark.createDataFrame(chain + [(b, a, w) for a, b, w in chain], "src long, dst long, length double")
+    requests = spark.createDataFrame([(0, 240), (100, 7)], "src long, dst long")
+    rows = RT.cheapest_paths(edges, requests, {"m": F.col("length")}).collect()
+    assert {(r.src, r.dst): (r.cost, r.path) for r in rows} == {(0, 240): (240.0, list(range(241))), (100, 7): (93.0, list(range(100, 6, -1)))}
+    assert len(written) < 30
