@@ -10,8 +10,9 @@ from pitgauge.operators import evaluation as E
 from pitgauge.operators import modeling as M
 from pitgauge.operators import windows as W
 from pitgauge.operators.boards import apply_overrides
-from pitgauge.operators.split_forest import SplitClassForest, SplitForest
+from pitgauge.operators.split_forest import SplitForest
 from pitgauge.operators.stats import sampled_row
+from pitgauge.operators.task_forest import TaskClassForest
 from pitgauge.plans.registry import R, query, rounded
 from pitgauge.plans.score_plans import override_requests
 from pitgauge.plans.sql import PANEL
@@ -221,7 +222,9 @@ def per_zone_models(spark, folder):
 def class_forest(spark, folder):
     """Class-weighted forest on score bands of the next day."""
     d = dataset(spark, folder).withColumn("label", S.score_band(LABEL))
-    model = SplitClassForest("label", NUMERIC, ["kind"]).fit(M.with_class_weights(d.where("seed <= 2"), "label"))
+    whole = M.forest_classifier("label", NUMERIC, ["kind"]).getStages()[-1]
+    forest = TaskClassForest("label", NUMERIC, ["kind"], trees=whole.getNumTrees(), depth=whole.getMaxDepth(), seed=whole.getSeed(), minInstancesPerNode=whole.getMinInstancesPerNode())
+    model = forest.fit(M.with_class_weights(d.where("seed <= 2"), "label"))
     report = E.class_report(M.predicted_labels(model, d.where("seed = 4"), "label"))
     return rounded(report, ["label", "support", "predicted", "tp"], ["precision", "recall", "f1"])
 
