@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -18,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     GBTRegressor, IsotonicRegression, IsotonicRegressionModel, LinearRegression, RandomForestRegressor)
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitgauge.functions import scoring as S
@@ -98,6 +100,12 @@ def search_table(result: CrossValidatorModel) -> list[tuple[str, float]]:
             for m, s in zip(maps, result.avgMetrics)]
 
 
+def side_by_side(spark: SparkSession, calls: Sequence[Callable], parallelism: int = 2) -> list:
+    """The results of the calls in their order, a few of them at a time: what one does on the driver goes on while tasks of another run."""
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(lambda call: call(), [inheritable_thread_target(spark)(c) for c in calls]))
+
+
 def fold_models(pipe: Pipeline, rows: DataFrame, fold: str, k: int) -> list[PipelineModel]:
     """For each fold a model that saw the others only."""
     rows = rows.persist()
@@ -106,9 +114,10 @@ def fold_models(pipe: Pipeline, rows: DataFrame, fold: str, k: int) -> list[Pipe
 
 def predict_unseen(models: Sequence[PipelineModel], rows: DataFrame, fold: str, held_out: PipelineModel | None = None) -> DataFrame:
     """Predictions for each fold by its own model, and for rows without a fold by ``held_out``; without that, those rows are left out."""
-    parts = [m.transform(rows.where(F.col(fold) == i)) for i, m in enumerate(models)]
+    calls = [lambda i=i, m=m: m.transform(rows.where(F.col(fold) == i)) for i, m in enumerate(models)]
     if held_out is not None:
-        parts.append(held_out.transform(rows.where(F.col(fold).isNull())))
+        calls.append(lambda: held_out.transform(rows.where(F.col(fold).isNull())))
+    parts = side_by_side(rows.sparkSession, calls)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

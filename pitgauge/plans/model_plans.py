@@ -10,9 +10,8 @@ from pitgauge.operators import evaluation as E
 from pitgauge.operators import modeling as M
 from pitgauge.operators import windows as W
 from pitgauge.operators.boards import apply_overrides
-from pitgauge.operators.split_forest import SplitForest
 from pitgauge.operators.stats import sampled_row
-from pitgauge.operators.task_forest import TaskClassForest
+from pitgauge.operators.task_forest import TaskClassForest, TaskForest
 from pitgauge.plans.registry import R, query, rounded
 from pitgauge.plans.score_plans import override_requests
 from pitgauge.plans.sql import PANEL
@@ -51,13 +50,14 @@ def folded_rows(spark, folder):
 
 def whole_forest():
     """The contract's forest, 500 trees of depth 12; queries that need the same fit read the parts that the first one has published."""
-    return SplitForest(LABEL, NUMERIC, ["kind"])
+    return TaskForest(LABEL, NUMERIC, ["kind"])
 
 
 def unseen_forests(rows, forest):
     """A forest for each fold that did not see its worlds, and one on all training worlds for the others."""
     train = rows.where(F.col("fold").isNotNull() & F.col(LABEL).isNotNull()).persist()
-    return train, M.fold_models(forest, train, "fold", FOLDS), forest.fit(train)
+    models, whole = M.side_by_side(rows.sparkSession, [lambda: M.fold_models(forest, train, "fold", FOLDS), lambda: forest.fit(train)])
+    return train, models, whole
 
 
 def _parts(d):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pitgauge.operators import split_forest as SF
 from pitgauge.operators import task_forest as TF
+from pitgauge.plans import model_plans as MP
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +89,10 @@ def test_borders_are_spread_over_the_values_beside_a_common_one(spark):
     assert none == [] and len(edges) == 31 and edges[0] == 0.0 and edges[1] < 720 and edges[-1] > 970
     cells = {tuple(r.cell) for r in TF.binned(made, [edges, none]).select("cell").distinct().collect()}
     assert len(cells) == 32 and max(cells) == (31, 0)
+
+
+def test_the_queries_grow_their_forests_in_tasks():
+    """500 trees of 12 levels in the library's way did not end within the limits at six times sf0.1."""
+    forest = MP.whole_forest()
+    assert isinstance(forest, TF.TaskForest) and sum(forest.sizes) == 500 and forest.depth == 12
+    assert TF.Spec(12, 1, 32, 0, 10).some == 4 and TF.Spec(30, 2, 32, 6, 10).some == 4
