@@ -271,12 +271,16 @@ def _used_in_cell() -> Callable[[pa.Table], pa.Table]:
 
 
 def _windows(reached: DataFrame, window_nodes: int) -> tuple[DataFrame, int]:
-    """Per (metric, source) the costs at which windows end, so that each has about ``window_nodes`` nodes (more only at equal costs), and their number."""
+    """Per (metric, source) the costs at which windows end, so that each has about ``window_nodes`` nodes (more only at equal costs), and their number.
+
+    The ends are written once: approximate percentiles come out differently when their parts arrive in another order, and a node has to stay in its window.
+    """
     counts = reached.groupBy("metric", "source").count().agg(F.max("count")).first()[0] or 0
     n = max(1, -(-counts // window_nodes))
     at = [k / n for k in range(1, n)]
     ends = F.percentile_approx("cost", at, 10_000) if at else F.array().cast("array<double>")
-    return reached.groupBy("metric", "source").agg(ends.alias("ends")), n
+    written = cut_lineage(reached.groupBy("metric", "source").agg(ends.alias("ends")).select("metric", "source", F.explode_outer("ends").alias("end")))
+    return written.groupBy("metric", "source").agg(F.sort_array(F.collect_list("end")).alias("ends")), n
 
 
 def _window(cost: str) -> Column:

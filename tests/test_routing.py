@@ -126,3 +126,11 @@ def test_written_stages_do_not_follow_the_roads_of_a_path(spark, monkeypatch):
     rows = RT.cheapest_paths(edges, requests, {"m": F.col("length")}).collect()
     assert {(r.src, r.dst): (r.cost, r.path) for r in rows} == {(0, 240): (240.0, list(range(241))), (100, 7): (93.0, list(range(100, 6, -1)))}
     assert len(written) < 30
+
+
+def test_windows_of_cost_are_written_once(spark):
+    """A percentile that is worked out again can come out differently, and a node would then be looked for in another window."""
+    states = spark.range(3000).select(F.lit("m").alias("metric"), (F.col("id") % 3).alias("source"), F.col("id").alias("node"), F.rand(1).alias("cost"))
+    ends, n = RT._windows(states, 100)
+    assert n == 10 and ends.where(F.size("ends") == 9).count() == 3 and ends.inputFiles()
+    assert "percentile" not in ends._jdf.queryExecution().optimizedPlan().toString()
