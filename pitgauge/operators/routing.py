@@ -88,12 +88,14 @@ def cheapest_paths(edges: DataFrame, requests: DataFrame, costs: Mapping[str, Co
 
 _STATE = ["metric", "source", "node"]
 _REQUEST = ["metric", "source", "target"]
-#: Sources that one task relaxes together, so that its memory is bounded by this and the size of a cell.
-_SOURCES = 4
+#: A cell's tasks each get a copy of its roads: one for every few sources up to so many, more only for so many states.
+_SOURCES, _PARTS, _TASK_STATES = 4, 8, 400_000
+#: States of the sources that a task relaxes at a time, whether met or not, and states after which it leaves the rest to the next stage.
+_PLACES, _TASK_FINDS = 500_000, 1_000_000
 #: Rounds inside a cell for each of ``rounds_per_stage``; what is left over goes on in the next stage.
 _INNER_ROUNDS = 64
-#: What a row that comes to a cell is: a road, a state known there, a state that is new there.
-_ROAD, _HAD, _COME = 0, 1, 2
+#: What a row that comes to a cell is: a road, a state known there, a state that is new there, a target (its round is the number of its source's targets).
+_ROAD, _HAD, _COME, _WANT = 0, 1, 2, 3
 _NO_BOUND = float("inf")
 
 
@@ -135,15 +137,18 @@ def _roads_by_cell(roads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut_lineage(roads.where(~border).select("metric", _cell("node").alias("cell"), "node", "dst", "w")), cut_lineage(roads.where(border))
 
 
-def _cell_and_part(states: DataFrame) -> tuple[Column, Column]:
-    """Where a state is worked on: its cell, and one of as many parts as there are few sources."""
-    parts = max(1, -(-states.select("source").distinct().count() // _SOURCES))
-    return _cell("node").alias("cell"), F.pmod(F.xxhash64("source"), F.lit(parts)).cast("int").alias("part")
+def _parts(states: DataFrame) -> DataFrame:
+    """(metric, cell, parts): the tasks that a cell's states are dealt to by their source, so that copies of its roads grow with the states and not with the sources."""
+    counts = states.groupBy("metric", _cell("node").alias("cell"), "source").count().groupBy("metric", "cell").agg(F.count(F.lit(1)).alias("s"), F.sum("count").alias("n"))
+    few = F.least(F.ceil(F.col("s") / _SOURCES), F.lit(_PARTS))
+    return cut_lineage(counts.select("metric", "cell", F.greatest(few, F.ceil(F.col("n") / _TASK_STATES)).cast("int").alias("parts")))
 
 
-def _states_in_cells(states: DataFrame, at: tuple[Column, Column], kind: int) -> DataFrame:
+def _states_in_cells(states: DataFrame, parts: DataFrame, kind: int) -> DataFrame:
     bound = "bound" if "bound" in states.columns else F.lit(_NO_BOUND).alias("bound")
-    return states.select("metric", *at, F.lit(kind).alias("kind"), "source", "node", F.lit(0).cast("long").alias("dst"), "cost", "round", bound)
+    placed = states.withColumn("cell", _cell("node")).join(F.broadcast(parts), ["metric", "cell"])
+    return placed.select("metric", "cell", F.pmod(F.xxhash64("source"), F.col("parts")).cast("int").alias("part"), F.lit(kind).alias("kind"), "source", "node",
+                         F.lit(0).cast("long").alias("dst"), "cost", "round", bound)
 
 
 def _roads_in_cells(inner: DataFrame, busy: DataFrame) -> DataFrame:
@@ -155,23 +160,28 @@ def _roads_in_cells(inner: DataFrame, busy: DataFrame) -> DataFrame:
 def _distances(roads: DataFrame, wanted: DataFrame, hot_degree: int, rounds_per_stage: int) -> DataFrame:
     """Least cost per (metric, source, node) and the number of roads that first gave it.
 
-    Each stage relaxes the roads inside the cells that new costs have come to, for a few sources a task, and writes the states that
+    Each stage relaxes the roads inside the cells that new costs have come to, for some of the sources a task, and writes the states that
     improve; these are then extended by one road into other cells. A state dearer than the dearest answer its source still needs is not
-    extended. Lost executors cost one stage.
+    extended; a source whose targets are all in one cell has that bound there as soon as they are met. Lost executors cost one stage.
     """
     spark = roads.sparkSession
     inner, border = _roads_by_cell(roads)
     extend = _relaxation(border, hot_degree)
-    at = _cell_and_part(wanted)
+    targets = cut_lineage(wanted.select("metric", "source", F.col("target").alias("node"), F.lit(0.0).alias("cost")).join(
+        wanted.groupBy("metric", "source").agg(F.count(F.lit(1)).cast("int").alias("round")), ["metric", "source"]))
     relax, shape = _relax_cell(_INNER_ROUNDS * rounds_per_stage), "metric string, source long, node long, cost double, round int, open boolean"
     fresh = cut_lineage(wanted.select("metric", "source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("round"), F.lit(_NO_BOUND).alias("bound")).distinct())
     files: list[str] = []
     while not fresh.isEmpty():
-        rows = _states_in_cells(fresh, at, _COME)
+        known = [spark.read.schema(shape).parquet(*files).select(*_STATE)] if files else []
+        come_to = F.broadcast(fresh.select("metric", _cell("node").alias("cell")).distinct())
+        parts = _parts(reduce(DataFrame.unionByName, known, fresh.select(*_STATE)).withColumn("cell", _cell("node")).join(come_to, ["metric", "cell"], "left_semi"))
+        rows = _states_in_cells(fresh, parts, _COME)
         busy = F.broadcast(rows.select("metric", "cell", "part").distinct())
-        rows = rows.unionByName(_roads_in_cells(inner, busy))
+        here = _states_in_cells(targets, parts, _WANT)
         if files:
-            rows = rows.unionByName(_states_in_cells(spark.read.schema(shape).parquet(*files), at, _HAD).join(busy, ["metric", "cell", "part"], "left_semi"))
+            here = here.unionByName(_states_in_cells(spark.read.schema(shape).parquet(*files), parts, _HAD))
+        rows = rows.unionByName(_roads_in_cells(inner, busy)).unionByName(here.join(busy, ["metric", "cell", "part"], "left_semi"))
         found = cut_lineage(rows.groupBy("metric", "cell", "part").applyInArrow(relax, shape))
         files = [*files, *found.inputFiles()]
         answers = spark.read.schema(shape).parquet(*files).withColumnRenamed("node", "target").join(wanted, _REQUEST, "left_semi")
@@ -189,9 +199,10 @@ def _distances(roads: DataFrame, wanted: DataFrame, hot_degree: int, rounds_per_
 
 
 def _relax_cell(rounds: int) -> Callable[[pa.Table], pa.Table]:
-    """Relaxes the roads inside one cell for a few sources, from the states that have come, until none improves or the rounds are used up.
+    """Relaxes the roads inside one cell for some sources, from the states that have come, until none improves or the rounds are used up.
 
-    Returns the states that are better than those it had; ``open`` are those of the last round, not extended yet.
+    Returns the states that are better than those it had; ``open`` are those of the last round, not extended yet. Sources are taken a few at a
+    time, ``_PLACES`` states at most; of more than ``_TASK_FINDS`` states in a task the rest is left open.
     """
 
     def better(at: np.ndarray, cost: np.ndarray, hops: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -201,38 +212,80 @@ def _relax_cell(rounds: int) -> Callable[[pa.Table], pa.Table]:
 
     def relax(rows: pa.Table) -> pa.Table:
         kind, source, node, dst, cost, hops, bound = (rows[c].to_numpy() for c in ("kind", "source", "node", "dst", "cost", "round", "bound"))
-        road, had, come = kind == _ROAD, kind == _HAD, kind == _COME
-        nodes, sources = np.unique(np.concatenate([node, dst[road]])), np.unique(source[~road])
+        road = kind == _ROAD
+        nodes, sources = np.unique(np.concatenate([node, dst[road]])), np.unique(source[kind == _COME])
         n = len(nodes)
         begin = np.searchsorted(nodes, node[road])
         order = np.argsort(begin, kind="stable")
         first = np.searchsorted(begin[order], np.arange(n + 1))
         end, w = np.searchsorted(nodes, dst[road])[order], cost[road][order]
-        place = lambda these: np.searchsorted(sources, source[these]) * n + np.searchsorted(nodes, node[these])
-        least, fewest = np.full(len(sources) * n, np.inf), np.full(len(sources) * n, np.iinfo(np.int32).max, np.int32)
-        at, c, h = better(place(had), cost[had], hops[had])
-        least[at], fewest[at] = c, h
+        some = max(1, min(len(sources), _PLACES // n))
+        least, fewest = np.full(some * n, np.inf), np.full(some * n, np.iinfo(np.int32).max, np.int32)
         before, before_hops = least.copy(), fewest.copy()
-        most = np.full(len(sources), np.inf)
-        np.minimum.at(most, np.searchsorted(sources, source[come]), bound[come])
-        at, c, h = better(place(come), cost[come], hops[come])
-        good = (c < least[at]) | ((c == least[at]) & (h <= fewest[at]))
-        active = at[good]
-        least[active], fewest[active] = c[good], h[good]
-        for _ in range(rounds):
-            a = first[active % n]
-            many = first[active % n + 1] - a
-            of = np.repeat(active, many)
-            leg = np.arange(len(of)) + np.repeat(a - np.cumsum(many) + many, many)
-            at, c, h = of - of % n + end[leg], least[of] + w[leg], fewest[of] + 1
-            good = ((c < least[at]) | ((c == least[at]) & (h < fewest[at]))) & (c <= most[at // n])
-            active, c, h = better(at[good], c[good], h[good])
-            least[active], fewest[active] = c, h
-            if not len(active):
-                break
-        new = np.flatnonzero((least != before) | (fewest != before_hops) | np.isin(np.arange(len(least)), active))
-        return pa.table({"metric": pa.repeat(rows["metric"][0], len(new)), "source": sources[new // n], "node": nodes[new % n], "cost": least[new],
-                         "round": fewest[new], "open": np.isin(new, active)})
+
+        def by_source(these: np.ndarray) -> tuple[np.ndarray, ...]:
+            these = np.flatnonzero(these & np.isin(source, sources))
+            of = np.searchsorted(sources, source[these])
+            sort = np.argsort(of, kind="stable")
+            these, of = these[sort], of[sort]
+            return of, np.searchsorted(nodes, node[these]), cost[these], hops[these], bound[these]
+
+        had, come, want = (by_source(kind == k) for k in (_HAD, _COME, _WANT))
+        out, room = [], _TASK_FINDS
+        for low in range(0, len(sources), some):
+            high = min(low + some, len(sources))
+
+            def part(given):
+                x = slice(*np.searchsorted(given[0], (low, high)))
+                return ((given[0][x] - low) * n + given[1][x], *(c[x] for c in given[2:]))
+
+            at, c, h, _ = part(had)
+            at, c, h = better(at, c, h)
+            least[at], fewest[at] = before[at], before_hops[at] = c, h
+            met = [at]
+            places, _, all_of, _ = part(want)
+            ends = np.flatnonzero(np.diff(places // n, prepend=-1))
+            whole = np.diff(ends, append=len(places)) == all_of[ends]  # its targets are all in this cell
+            most = np.full(high - low, np.inf)
+
+            def bounded():
+                if len(places):
+                    of = places[ends] // n
+                    most[of] = np.minimum(most[of], np.where(whole, np.maximum.reduceat(least[places], ends), np.inf))
+
+            at, c, h, limit = part(come)
+            np.minimum.at(most, at // n, limit)
+            at, c, h = better(at, c, h)
+            good = (c < least[at]) | ((c == least[at]) & (h <= fewest[at]))
+            active = at[good]
+            least[active], fewest[active] = c[good], h[good]
+            met.append(active)
+            finds, share = len(active), max(0, room) * (high - low) // (len(sources) - low)
+            for _ in range(rounds):
+                bounded()
+                a = first[active % n]
+                many = first[active % n + 1] - a
+                of = np.repeat(active, many)
+                leg = np.arange(len(of)) + np.repeat(a - np.cumsum(many) + many, many)
+                at, c, h = of - of % n + end[leg], least[of] + w[leg], fewest[of] + 1
+                good = ((c < least[at]) | ((c == least[at]) & (h < fewest[at]))) & (c <= most[at // n])
+                at, c, h = better(at[good], c[good], h[good])
+                finds += np.count_nonzero(np.isinf(least[at]))
+                active = at
+                least[active], fewest[active] = c, h
+                met.append(active)
+                if not len(active) or finds > share:
+                    break
+            room -= finds
+            met = np.unique(np.concatenate(met))
+            still = np.isin(met, active)
+            new = np.flatnonzero((least[met] != before[met]) | (fewest[met] != before_hops[met]) | still)
+            at = met[new]
+            out.append((sources[low + at // n], nodes[at % n], least[at], fewest[at], still[new]))
+            least[met] = before[met] = np.inf
+            fewest[met] = before_hops[met] = np.iinfo(np.int32).max
+        columns = [np.concatenate(c) for c in zip(*out)]
+        return pa.table({"metric": pa.repeat(rows["metric"][0], len(columns[0]))} | dict(zip(("source", "node", "cost", "round", "open"), columns)))
 
     return relax
 
@@ -240,7 +293,7 @@ def _relax_cell(rounds: int) -> Callable[[pa.Table], pa.Table]:
 def _used(roads: DataFrame, reached: DataFrame) -> DataFrame:
     """(metric, source, node, nxt) for the roads that cheapest paths use, with the cost of both ends; those inside a cell are found without a join."""
     inner, border = _roads_by_cell(roads)
-    states = _states_in_cells(reached, _cell_and_part(reached), _HAD)
+    states = _states_in_cells(reached, _parts(reached), _HAD)
     rows = states.unionByName(_roads_in_cells(inner, F.broadcast(states.select("metric", "cell", "part").distinct())))
     inside = rows.groupBy("metric", "cell", "part").applyInArrow(_used_in_cell(), "metric string, source long, node long, nxt long, cost double, nxt_cost double")
     begin = reached.select(*_STATE, "cost", "round")
@@ -254,16 +307,27 @@ def _used_in_cell() -> Callable[[pa.Table], pa.Table]:
     def used(rows: pa.Table) -> pa.Table:
         kind, source, node, dst, cost, hops = (rows[c].to_numpy() for c in ("kind", "source", "node", "dst", "cost", "round"))
         road = kind == _ROAD
-        nodes = np.unique(np.concatenate([node, dst[road]]))
-        at, begin, end, w = np.searchsorted(nodes, node), np.searchsorted(nodes, node[road]), np.searchsorted(nodes, dst[road]), cost[road]
+        nodes, sources = np.unique(np.concatenate([node, dst[road]])), np.unique(source[~road])
+        n = len(nodes)
+        begin = np.searchsorted(nodes, node[road])
+        order = np.argsort(begin, kind="stable")
+        first = np.searchsorted(begin[order], np.arange(n + 1))
+        end, w = np.searchsorted(nodes, dst[road])[order], cost[road][order]
+        state = np.searchsorted(sources, source[~road]) * n + np.searchsorted(nodes, node[~road])
+        order = np.argsort(state)
+        state, least, fewest = state[order], cost[~road][order], hops[~road][order]
         out = []
-        for s in np.unique(source[~road]):
-            here = ~road & (source == s)
-            least, fewest = np.full(len(nodes), np.inf), np.zeros(len(nodes), np.int32)
-            least[at[here]], fewest[at[here]] = cost[here], hops[here]
-            b, e = least[begin], least[end]
-            i = np.flatnonzero(np.isfinite(e) & (b + w == e) & ((b < e) | (fewest[begin] < fewest[end])))
-            out.append((np.full(len(i), s), nodes[begin[i]], nodes[end[i]], b[i], e[i]))
+        for low in range(0, len(state), _PLACES // 5):
+            here = state[low:low + _PLACES // 5]
+            a = first[here % n]
+            many = first[here % n + 1] - a
+            b = np.repeat(np.arange(low, low + len(here)), many)
+            leg = np.arange(len(b)) + np.repeat(a - np.cumsum(many) + many, many)
+            to = state[b] - state[b] % n + end[leg]
+            e = np.minimum(np.searchsorted(state, to), len(state) - 1)
+            i = np.flatnonzero((state[e] == to) & (least[b] + w[leg] == least[e]) & ((least[b] < least[e]) | (fewest[b] < fewest[e])))
+            b, e = b[i], e[i]
+            out.append((sources[state[b] // n], nodes[state[b] % n], nodes[state[e] % n], least[b], least[e]))
         columns = [np.concatenate(c) for c in zip(*out)]
         return pa.table({"metric": pa.repeat(rows["metric"][0], len(columns[0]))} | dict(zip(("source", "node", "nxt", "cost", "nxt_cost"), columns)))
 
@@ -294,7 +358,7 @@ def _tree(used: DataFrame, wanted: DataFrame, windows: tuple[DataFrame, int]) ->
     gone through at a time: roads that leave it keep their place in that order as a label and wait for the window they lead to.
     """
     ends, n = windows
-    legs = used.join(F.broadcast(ends), ["metric", "source"]).select(*_STATE, "nxt", _window("cost").alias("win"), _window("nxt_cost").alias("nxt_win"))
+    legs = used.join(ends, ["metric", "source"]).select(*_STATE, "nxt", _window("cost").alias("win"), _window("nxt_cost").alias("nxt_win"))
     legs = cut_lineage(legs)
     spark = used.sparkSession
     shape = "metric string, source long, node long, prev long, depth int, win int, prev_win int, label binary"
@@ -358,11 +422,11 @@ def _walk_back(tree: DataFrame, answered: DataFrame, windows: tuple[DataFrame, i
     ends, n = windows
     spark = tree.sparkSession
     shape = "metric string, source long, target long, node long, depth int, win int"
-    at = [answered.join(F.broadcast(ends), ["metric", "source"]).select(*_REQUEST, F.col("target").alias("node"), _window("cost").alias("win"))]
+    at = [answered.join(ends, ["metric", "source"]).select(*_REQUEST, F.col("target").alias("node"), _window("cost").alias("win"))]
     files: list[str] = []
     for k in reversed(range(n)):
         here = reduce(DataFrame.unionByName, at).where(F.col("win") == k)
-        steps = tree.where(F.col("win") == k).join(F.broadcast(here.select("metric", "source").distinct()), ["metric", "source"], "left_semi")
+        steps = tree.where(F.col("win") == k).join(here.select("metric", "source").distinct(), ["metric", "source"], "left_semi")
         rows = here.select(*_REQUEST, "node").unionByName(steps.select(*_STATE, "prev", "depth", "prev_win"), allowMissingColumns=True)
         done = cut_lineage(rows.groupBy("metric", "source").applyInArrow(_follow(k), shape))
         files += done.inputFiles()

@@ -134,3 +134,31 @@ def test_windows_of_cost_are_written_once(spark):
     ends, n = RT._windows(states, 100)
     assert n == 10 and ends.where(F.size("ends") == 9).count() == 3 and ends.inputFiles()
     assert "percentile" not in ends._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _chain(spark, n):
+    chain = spark.range(n - 1)
+    return chain.select(F.col("id").alias("node"), (F.col("id") + 1).alias("dst")).unionByName(chain.select((F.col("id") + 1).alias("node"), F.col("id").alias("dst"))).select(
+        F.lit("m").alias("metric"), "node", "dst", F.lit(1.0).alias("w"))
+
+
+def test_a_source_with_near_targets_stays_near(spark):
+    wanted = spark.range(0, 300, 3).select(F.lit("m").alias("metric"), F.col("id").alias("source"), F.inline(F.array(*[F.struct((F.col("id") + d).alias("target")) for d in (0, 2)])))
+    reached = RT._distances(_chain(spark, 400), wanted, 10_000, 4)
+    assert reached.count() <= 100 * 5
+    assert reached.where("cost <> abs(node - source) or round <> abs(node - source)").isEmpty()
+    assert reached.where("node = source + 2").count() == 100
+
+
+def test_roads_are_copied_for_states_and_not_for_sources(spark, monkeypatch):
+    """A task that has found enough leaves the rest to the next stage, where its sources are dealt anew."""
+    one_each = spark.range(1000).select(F.lit("m").alias("metric"), F.col("id").alias("source"), F.col("id").alias("node"))
+    assert [tuple(r) for r in RT._parts(one_each).collect()] == [("m", 0, 8)]
+    monkeypatch.setattr(RT, "_TASK_STATES", 100)
+    assert [tuple(r) for r in RT._parts(one_each).collect()] == [("m", 0, 10)]
+    monkeypatch.setattr(RT, "_TASK_FINDS", 20)
+    monkeypatch.setattr(RT, "_PLACES", 300)
+    wanted = spark.range(7).select(F.lit("m").alias("metric"), F.col("id").alias("source"), F.lit(99).cast("long").alias("target"))
+    reached = RT._distances(_chain(spark, 100), wanted, 10_000, 4)
+    assert reached.where("cost <> abs(node - source)").isEmpty() and reached.where("node = 99").count() == 7
+    assert reached.count() == 700
